@@ -179,3 +179,35 @@ def list_metrics(log: DataFrame) -> DataFrame:
 def next_versions(runs: DataFrame) -> DataFrame:
     """Version of the next run of every pipeline."""
     return runs.groupBy("pipeline_name").agg((F.coalesce(F.max("version"), F.lit(0)) + 1).alias("next_version"))
+
+
+def confirm_drafts(registry: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Confirm many tables at once: ``registry(table_name, status, schema_json)`` is the current state,
+    ``requests(table_name, seq, schema_override)`` the confirmations. Unknown tables come back as errors."""
+    newest = latest_state(requests.select("table_name", "seq", "schema_override"), ["table_name"], ["seq"])
+    confirmed = registry.join(newest, "table_name").select(
+        "table_name", F.lit("confirmed").alias("status"),
+        F.coalesce("schema_override", "schema_json").alias("schema_json"))
+    errors = newest.join(registry.select("table_name"), "table_name", "left_anti").select(
+        "table_name", F.concat(F.lit("No schema found for table '"), "table_name", F.lit("' to confirm.")).alias("error"))
+    return confirmed, errors
+
+
+def rollback_runs(runs: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Roll many pipelines back: ``runs(pipeline_name, version, status, config_snapshot)``,
+    ``requests(pipeline_name, to_version)``.
+
+    Returns the runs with the newest one of each pipeline marked, the settings to go back to, and the requests whose
+    version does not exist, which change nothing.
+    """
+    targets = requests.join(
+        runs.select("pipeline_name", F.col("version").alias("to_version"), "config_snapshot"),
+        ["pipeline_name", "to_version"])
+    newest = runs.groupBy("pipeline_name").agg(F.max("version").alias("version"))
+    marked = newest.join(targets.select("pipeline_name").distinct(), "pipeline_name", "left_semi").withColumn(
+        "_mark", F.lit(True))
+    updated = runs.join(marked, ["pipeline_name", "version"], "left").withColumn(
+        "status", F.when(F.col("_mark"), F.lit("rolled_back")).otherwise(F.col("status"))).drop("_mark")
+    errors = requests.join(runs.select("pipeline_name", F.col("version").alias("to_version")),
+                           ["pipeline_name", "to_version"], "left_anti")
+    return updated.select(*runs.columns), targets, errors

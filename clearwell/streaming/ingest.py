@@ -72,14 +72,15 @@ def ingest_events(
 
 def ingest_landing(
     spark: SparkSession, landing: str, schema: T.StructType | str, target: str, checkpoint: str,
-    pattern: str = "machine_logs_*.csv", processed: str | None = None,
+    pattern: str = "machine_logs_*.csv", processed: str | None = None, options: dict[str, str] | None = None,
 ) -> StreamingQuery:
     """Take in every new file of a landing folder that matches a pattern.
 
     The checkpoint is what keeps a file from being read twice. With ``processed`` files are also moved there, one run
     after the one that read them.
     """
-    reader = spark.readStream.schema(schema).option("header", True).option("pathGlobFilter", pattern)
+    reader = spark.readStream.schema(schema).options(**(options or {})).option("header", True).option(
+        "pathGlobFilter", pattern)
     if processed:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", processed)
     rows = reader.csv(landing).withColumn("_source_file", F.col("_metadata.file_path"))
