@@ -58,19 +58,19 @@ def _contained(small: DataFrame, short: str, large: DataFrame, long: str) -> Dat
     """Rows of ``small`` and ``large`` where ``short`` is a substring of ``long``."""
     heads = small.withColumn("piece", F.substring(short, 1, GRAM))
     lengths = [r[0] for r in heads.select(F.length("piece")).distinct().collect()]  # at most GRAM + 1 values
-    pieces = [
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(long) - F.lit(n - 1), F.lit(1))),
-            lambda at, n=n: F.substr(F.col(long), at, F.lit(n)),
-        )
-        for n in sorted(lengths)
-    ]
+    pieces = [_pieces(F.col(long), n) for n in sorted(lengths)]
     if not pieces:
         return large.join(small, F.lit(False))
     spread = large.withColumn("piece", F.explode(F.array_distinct(F.concat(*pieces))))
     return spread.join(heads, "piece").where(F.contains(F.col(long), F.col(short))).drop("piece")
 
 
+def _pieces(text: Column, n: int) -> Column:
+    """All substrings of length ``n``."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
+    return F.transform(starts, lambda at: F.substr(text, at, F.lit(n)))
+
+
 def _risk(confidence: Column) -> Column:
     return F.when(confidence > 0.8, "low").when(confidence > 0.5, "medium").otherwise("high")
 

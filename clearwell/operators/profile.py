@@ -13,6 +13,7 @@ from clearwell.functions.numeric import missing, present
 from clearwell.functions.text import parse_timestamp
 from clearwell.functions.types import logical_type, quoted
 
+SKETCH_BITS = 14  # standard error below 1 %
 PROFILE_SCHEMA = (
     "ordinal int, column_name string, data_type string, nullable boolean, row_count bigint, null_count bigint, "
     "distinct_values bigint, min double, max double, mean double, stddev double"
@@ -107,8 +108,10 @@ def profile(
         v = present(c, dtype)
         aggs.append(F.count_if(missing(c, dtype)).alias(f"nulls{i}"))
         if not exact:
-            countable = v if not isinstance(f.dataType, (T.MapType, T.VariantType)) else v.cast("string")
-            aggs.append(F.approx_count_distinct(countable, 0.01).alias(f"distinct{i}"))
+            whole = isinstance(f.dataType, (T.IntegerType, T.LongType))
+            # one binary buffer per column; the buffers of approx_count_distinct are hundreds of columns each
+            sketch = F.hll_sketch_agg(v if whole else v.cast("string"), F.lit(SKETCH_BITS))
+            aggs.append(F.coalesce(F.hll_sketch_estimate(sketch), F.lit(0)).alias(f"distinct{i}"))
         if logical_type(f.dataType) in ("integer", "float"):
             d = v.cast("double")
             aggs += [F.min(d).alias(f"min{i}"), F.max(d).alias(f"max{i}"), F.avg(d).alias(f"mean{i}"),

@@ -16,6 +16,10 @@ REGISTRY = Registry()
 ROWS = "event_id, user_id, event_type"
 
 
+def _micros(c):
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
 @REGISTRY.add("clean_headers", "SELECT p_partkey AS part_key, p_name AS part_name, p_brand AS brand_code FROM part")
 def clean_headers(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
@@ -56,18 +60,18 @@ def fill_string(spark, sf_dir):
     return fill_nulls(rows).df
 
 
-@REGISTRY.add("drop_null_ts", "SELECT event_id, ts, value FROM events WHERE event_type <> 'click'")
+@REGISTRY.add("drop_null_ts", "SELECT event_id, epoch_us(ts) AS ts, value FROM events WHERE event_type <> 'click'")
 def drop_null_ts(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(
         "event_id", F.when(F.col("event_type") != "click", F.col("ts")).alias("ts"), "value")
-    return fill_nulls(rows).df
+    return fill_nulls(rows).df.withColumn("ts", _micros("ts"))
 
 
 @REGISTRY.add(
     "clean_metrics",
     """SELECT count(*) AS rows_input,
-              count_if(event_type = 'click') AS rows_cleaned,
-              count_if(event_type = 'view') + count_if(event_type = 'error') AS null_cells_filled
+              count(*) FILTER (WHERE event_type = 'click') AS rows_cleaned,
+              count(*) FILTER (WHERE event_type IN ('view', 'error')) AS null_cells_filled
        FROM events""",
 )
 def clean_metrics(spark, sf_dir):
@@ -90,7 +94,8 @@ def dedup_all(spark, sf_dir):
 
 def _dedup(keep):
     def run(spark, sf_dir):
-        return drop_duplicates(table(spark, sf_dir, "events"), ["user_id", "event_type"], keep, ["event_id"])
+        kept = drop_duplicates(table(spark, sf_dir, "events"), ["user_id", "event_type"], keep, ["event_id"])
+        return kept.withColumn("ts", _micros("ts"))
 
     return run
 
@@ -98,7 +103,7 @@ def _dedup(keep):
 for _keep, _direction in (("first", "ASC"), ("last", "DESC")):
     REGISTRY.add(
         f"dedup_{_keep}",
-        f"""SELECT event_id, ts, user_id, event_type, value, props FROM (
+        f"""SELECT event_id, epoch_us(ts) AS ts, user_id, event_type, value, props FROM (
             SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id {_direction}) AS r
             FROM events) WHERE r = 1""",
     )(_dedup(_keep))
@@ -167,7 +172,7 @@ def case_title(spark, sf_dir):
 @REGISTRY.add("to_utc", "SELECT event_id, epoch_us(ts) AS micros FROM events")
 def utc(spark, sf_dir):
     rows = to_utc(table(spark, sf_dir, "events").select("event_id", "ts"))
-    return rows.select("event_id", F.unix_micros("ts").alias("micros"))
+    return rows.select("event_id", _micros("ts").alias("micros"))
 
 
 @REGISTRY.add("unit_convert", "SELECT event_id, round((value - 32) * 5 / 9, 6) AS value_c FROM events")

@@ -194,7 +194,8 @@ def outcome_labels(spark, sf_dir):
     last AS (SELECT scenario_id, target_metric, round_even(c * 10, 1) AS change FROM (SELECT *, row_number() OVER (
              PARTITION BY scenario_id, target_metric ORDER BY c, seq DESC, link_id DESC) AS r FROM adj) WHERE r = 1)
     SELECT k.scenario_id AS scenario_id,
-        coalesce(least(100, floor((CAST(u AS DOUBLE) + a.change) * 10 + 0.5) / 10), CAST(u AS DOUBLE)) AS production_uptime,
+        CASE WHEN a.change IS NULL THEN CAST(u AS DOUBLE) ELSE least(100, floor((CAST(u AS DOUBLE) + a.change) * 10 + 0.5) / 10)
+        END AS production_uptime,
         coalesce(floor((CAST(v AS DOUBLE) + b.change / 10) * 10 + 0.5) / 10, CAST(v AS DOUBLE)) AS revenue
     FROM k LEFT JOIN last a ON a.scenario_id = k.scenario_id AND a.target_metric = 'production_uptime'
     LEFT JOIN last b ON b.scenario_id = k.scenario_id AND b.target_metric = 'revenue'""",
@@ -206,16 +207,19 @@ def kpi_apply(spark, sf_dir):
     return apply_to_kpis(kpis, simulate_interventions(_steps(spark, sf_dir), _links(spark, sf_dir)))
 
 
-def _sales(spark, sf_dir):
-    """Line items with the region of the customer; every step keeps only the columns it needs."""
-    t = lambda name: table(spark, sf_dir, name)
-    lines = t("lineitem").select(
+def _day(c):
+    return F.date_format(c, "yyyy-MM-dd").alias(c)
+
+
+def _revenue_lines(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
-    regions = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.col("n_nationkey").alias("nation"), F.col("r_name").alias("region"))
-    customers = t("customer").join(regions, F.col("c_nationkey") == F.col("nation")).select("c_custkey", "region")
-    orders = t("orders").select("o_orderkey", "o_custkey").join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    return lines, orders.select("o_orderkey", "region")
+
+
+def _customer_regions(spark, sf_dir):
+    regions = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    named = regions.select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("region"))
+    return table(spark, sf_dir, "customer").join(named, "c_nationkey").select("c_custkey", "region")
 
 
 @REGISTRY.add(
@@ -226,45 +230,49 @@ def _sales(spark, sf_dir):
        JOIN region ON r_regionkey = n_regionkey WHERE p_type = 'PROMO' GROUP BY r_name""",
 )
 def revenue_by_region(spark, sf_dir):
-    """Revenue per region for one category. The category cuts the line items before they meet the orders."""
-    lines, orders = _sales(spark, sf_dir)
+    """Revenue per region for one category. The category cuts the line items first, and every join is met by sums: an
+    order or a customer with a third of all rows is one row before it is joined."""
     promo = table(spark, sf_dir, "part").where("p_type = 'PROMO'").select("p_partkey")
-    sold = lines.join(promo, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
-    # an order with very many lines is one row before the join
+    sold = _revenue_lines(spark, sf_dir).join(promo, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
     per_order = sold.groupBy("l_orderkey").agg(F.sum("revenue").alias("revenue"))
-    joined = per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    per_customer = (
+        per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .groupBy("o_custkey").agg(F.sum("revenue").alias("revenue"))
+    )
+    joined = per_customer.join(_customer_regions(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
     return group_total(joined, ["region"], F.col("revenue"), "revenue").withColumn("revenue", F.round("revenue", 2))
 
 
 @REGISTRY.add(
     "uptime_trend",
-    """SELECT date_trunc('day', ts) AS period, round(100.0 * count_if(event_type <> 'error') / count(*), 6) AS uptime_pct
+    """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS period, round(100.0 * count_if(event_type <> 'error') / count(*), 6) AS uptime_pct
        FROM events GROUP BY 1""",
 )
 def uptime_trend(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     done = period_share(events, F.col("ts"), "day", F.col("event_type") != "error", "uptime_pct")
-    return done.select(F.col("period").cast("timestamp_ntz").alias("period"), F.round("uptime_pct", 6).alias("uptime_pct"))
+    return done.select(_day("period"), F.round("uptime_pct", 6).alias("uptime_pct"))
 
 
 @REGISTRY.add(
     "monthly_trend",
-    "SELECT date_trunc('month', l_shipdate) AS period, round(sum(l_extendedprice), 2) AS revenue FROM lineitem GROUP BY 1",
+    "SELECT strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') AS period, round(sum(l_extendedprice), 2) AS revenue FROM lineitem GROUP BY 1",
 )
 def monthly_trend(spark, sf_dir):
     done = period_totals(table(spark, sf_dir, "lineitem"), F.col("l_shipdate"), "month", F.col("l_extendedprice"), "revenue")
-    return done.select(F.col("period").cast("timestamp_ntz").alias("period"), F.round("revenue", 2).alias("revenue"))
+    return done.select(_day("period"), F.round("revenue", 2).alias("revenue"))
 
 
 @REGISTRY.add(
     "quarterly_cost",
-    """SELECT date_trunc('quarter', o_orderdate) AS period, o_orderpriority, round(sum(o_totalprice), 2) AS cost
+    """SELECT strftime(date_trunc('quarter', o_orderdate), '%Y-%m-%d') AS period, o_orderpriority, round(sum(o_totalprice), 2) AS cost
        FROM orders GROUP BY 1, 2""",
 )
 def quarterly_cost(spark, sf_dir):
     done = period_totals(table(spark, sf_dir, "orders"), F.col("o_orderdate"), "quarter", F.col("o_totalprice"), "cost",
                          ("o_orderpriority",))
-    return done.select(F.col("period").cast("timestamp_ntz").alias("period"), "o_orderpriority",
+    return done.select(_day("period"), "o_orderpriority",
                        F.round("cost", 2).alias("cost"))
 
 
@@ -274,7 +282,9 @@ def quarterly_cost(spark, sf_dir):
        JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY r_name""",
 )
 def events_by_region(spark, sf_dir):
-    return group_counts(_sales(spark, sf_dir)[1], ["region"])
+    per_customer = group_counts(table(spark, sf_dir, "orders"), ["o_custkey"])
+    joined = per_customer.join(_customer_regions(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
+    return group_total(joined, ["region"], F.col("event_count"), "event_count")
 
 
 @REGISTRY.add(
@@ -283,7 +293,7 @@ def events_by_region(spark, sf_dir):
        FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_brand""",
 )
 def revenue_by_product(spark, sf_dir):
-    lines, _ = _sales(spark, sf_dir)
+    lines = _revenue_lines(spark, sf_dir)
     # a part that sells a third of all lines is one row before the join
     per_part = lines.groupBy("l_partkey").agg(F.sum("revenue").alias("revenue"))
     brands = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("product"))
@@ -291,7 +301,7 @@ def revenue_by_product(spark, sf_dir):
     return group_total(joined, ["product"], F.col("revenue"), "revenue").withColumn("revenue", F.round("revenue", 2))
 
 
-TREND_SQL = """s AS (SELECT o_orderpriority AS kpi, date_trunc('quarter', o_orderdate) AS period,
+TREND_SQL = """s AS (SELECT o_orderpriority AS kpi, strftime(date_trunc('quarter', o_orderdate), '%Y-%m-%d') AS period,
         round(sum(o_totalprice), 0) AS value FROM orders GROUP BY 1, 2),
     t AS (SELECT *, lag(value) OVER (PARTITION BY kpi ORDER BY period) AS previous FROM s),
     w AS (SELECT *, value - previous AS change, CASE WHEN value > previous THEN 'improved' WHEN value < previous
@@ -301,7 +311,7 @@ TREND_SQL = """s AS (SELECT o_orderpriority AS kpi, date_trunc('quarter', o_orde
 def _trend(spark, sf_dir):
     series = period_totals(table(spark, sf_dir, "orders"), F.col("o_orderdate"), "quarter", F.col("o_totalprice"), "value",
                            ("o_orderpriority",))
-    return kpi_trend(series.select(F.col("o_orderpriority").alias("kpi"), F.col("period").cast("timestamp_ntz").alias("period"),
+    return kpi_trend(series.select(F.col("o_orderpriority").alias("kpi"), _day("period"),
                                    F.round("value", 0).alias("value")))
 
 

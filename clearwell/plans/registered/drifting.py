@@ -103,7 +103,7 @@ def null_spike(spark, sf_dir):
     "iqr_fences",
     f"""WITH b AS ({BATCH_SQL}), {FENCES_SQL}
     SELECT 'value' AS column_name, (SELECT count(value) FROM b) AS value_count,
-           (SELECT count_if(value < lo OR value > hi) FROM b, f) AS outlier_count,
+           (SELECT count(*) FILTER (WHERE value < lo OR value > hi) FROM b, f) AS outlier_count,
            round(q1, 6) AS q1, round(q3, 6) AS q3, round(lo, 6) AS lower_fence, round(hi, 6) AS upper_fence FROM f""",
 )
 def iqr_fences(spark, sf_dir):

@@ -27,7 +27,7 @@ def _findings_sql(source: str, columns: tuple[str, ...], order: str) -> str:
     for c in columns:
         hits = [f"regexp_matches({c}, '{p}')" for _, p in PII_PATTERNS]
         kind = " ".join(f"WHEN {h} THEN '{n}'" for h, (n, _) in zip(hits, PII_PATTERNS))
-        counts = ", ".join(f"count_if({h}) AS {n}_cells" for h, (n, _) in zip(hits, PII_PATTERNS))
+        counts = ", ".join(f"count(*) FILTER (WHERE {h}) AS {n}_cells" for h, (n, _) in zip(hits, PII_PATTERNS))
         any_hit = " OR ".join(hits)
         parts.append(f"SELECT '{c}' AS column_name, arg_min(CASE {kind} END, {order}) FILTER (WHERE {any_hit}) AS type, "
                      f"{counts} FROM {source} HAVING count_if({any_hit}) > 0")
@@ -43,8 +43,8 @@ def pii_columns(spark, sf_dir):
 @REGISTRY.add(
     "pii_documents",
     """SELECT 'text' AS column_name,
-        count_if(regexp_matches(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9.-]+')) AS email_cells,
-        count_if(regexp_matches(text, '(^|[^0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}([^0-9]|$)')) AS ssn_cells FROM documents""",
+        count(*) FILTER (WHERE regexp_matches(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9.-]+')) AS email_cells,
+        count(*) FILTER (WHERE regexp_matches(text, '(^|[^0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}([^0-9]|$)')) AS ssn_cells FROM documents""",
 )
 def pii_documents(spark, sf_dir):
     """Personal data inside running text, over whole texts."""

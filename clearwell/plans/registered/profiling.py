@@ -28,8 +28,8 @@ def description_sql(name: str) -> str:
 
 def _column_sql(source: str, name: str, kind: str) -> str:
     numbers = (
-        f"round(CAST(min({name}) AS DOUBLE), 6), round(CAST(max({name}) AS DOUBLE), 6), round(avg({name}), 6), "
-        f"round(stddev_samp({name}), 6)"
+        f"round(CAST(min({name}) AS DOUBLE), 6), round(CAST(max({name}) AS DOUBLE), 6), round(avg({name}), 4), "
+        f"round(stddev_samp({name}), 4)"
         if kind in ("integer", "float")
         else "CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)"
     )
@@ -46,7 +46,8 @@ def profile_sql(source: str, columns: dict[str, str], extra: str = "") -> str:
 
 
 def _rounded(df):
-    return df.drop("ordinal").withColumns({c: F.round(c, 6) for c in ("min", "max", "mean", "stddev")})
+    digits = {"min": 6, "max": 6, "mean": 4, "stddev": 4}
+    return df.drop("ordinal").withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
 GAPPED_SQL = """(SELECT event_id, ts, user_id, event_type,
@@ -240,8 +241,9 @@ def baseline_columns(spark, sf_dir):
 
 @REGISTRY.add(
     "newest_first",
-    "SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC",
+    "SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders WHERE o_orderstatus = 'F' "
+    "ORDER BY o_orderdate DESC",
 )
 def newest_first_query(spark, sf_dir):
     return newest_first(table(spark, sf_dir, "orders"), "o_orderdate", o_orderstatus="F").select(
-        "o_orderkey", "o_custkey", "o_orderdate")
+        "o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"))

@@ -104,7 +104,8 @@ def clamp_iqr(spark, sf_dir):
 @REGISTRY.add(
     "clamp_counts",
     """WITH s AS (SELECT avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS d FROM lineitem)
-    SELECT count_if(l_extendedprice < m - d) AS clamped_low, count_if(l_extendedprice > m + d) AS clamped_high
+    SELECT count(*) FILTER (WHERE l_extendedprice < m - d) AS clamped_low,
+           count(*) FILTER (WHERE l_extendedprice > m + d) AS clamped_high
     FROM lineitem, s""",
 )
 def clamp_count_rows(spark, sf_dir):
@@ -134,14 +135,14 @@ REGISTRY.add("cast_string", "SELECT event_id, CAST(user_id AS VARCHAR) AS user_i
     lambda spark, sf_dir: cast_columns(table(spark, sf_dir, "events").select("event_id", "user_id"), {"user_id": "string"}))
 REGISTRY.add(
     "cast_errors",
-    f"{TEXTS_SQL} SELECT count_if(reading IS NOT NULL AND try_cast(reading AS DOUBLE) IS NULL) AS coercion_errors FROM e",
+    f"{TEXTS_SQL} SELECT count(*) FILTER (WHERE reading IS NOT NULL AND try_cast(reading AS DOUBLE) IS NULL) AS coercion_errors FROM e",
 )(lambda spark, sf_dir: _texts(spark, sf_dir).agg(
     F.count_if(cast_errors(F.col("reading"), "integer")).alias("coercion_errors")))
 
 
 @REGISTRY.add(
     "cast_ts",
-    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE epoch_us(o_orderdate) END AS micros FROM orders""",
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN -1 ELSE epoch_us(o_orderdate) END AS micros FROM orders""",
 )
 def cast_ts(spark, sf_dir):
     """Dates as ISO text, in US layout, or as a word that cannot be read."""
@@ -150,20 +151,20 @@ def cast_ts(spark, sf_dir):
         F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority"))
         .when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "M/d/yyyy"))
         .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("day"))
-    return cast_columns(texts, {"day": "datetime"}).select("o_orderkey", F.unix_micros("day").alias("micros"))
+    return cast_columns(texts, {"day": "datetime"}).select("o_orderkey", F.coalesce(F.unix_micros("day"), F.lit(-1)).alias("micros"))
 
 
 @REGISTRY.add(
     "coerce_schema",
     """SELECT s_suppkey, s_name, CAST(0 AS BIGINT) AS orders, CAST(0 AS DOUBLE) AS rating, FALSE AS active,
-              CAST(NULL AS BIGINT) AS since, 'UNKNOWN' AS region, s_acctbal FROM supplier""",
+              TRUE AS since, 'UNKNOWN' AS region, s_acctbal FROM supplier""",
 )
 def coerce(spark, sf_dir):
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
     expected = [("s_suppkey", "integer"), ("s_name", "string"), ("orders", "integer"), ("rating", "float"),
                 ("active", "boolean"), ("since", "datetime"), ("region", "string")]
     out, _, _ = coerce_schema(supplier, expected)
-    return out.withColumn("since", F.unix_micros("since"))
+    return out.withColumn("since", F.col("since").isNull())
 
 
 @REGISTRY.add(

@@ -14,14 +14,15 @@ from clearwell.streaming.ingest import ingest_landing
 
 REGISTRY = Registry()
 
-ORDERS_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"
+ORDERS_SQL = ("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, epoch_us(o_orderdate) AS o_orderdate, "
+              "o_orderpriority FROM orders")
 
 
 @REGISTRY.add("csv_roundtrip", ORDERS_SQL)
 def csv_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "csv")
     table(spark, sf_dir, "orders").write.option("header", True).csv(path)
-    return read_csv(spark, path).withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+    return read_csv(spark, path).withColumn("o_orderdate", F.unix_micros(F.col("o_orderdate").cast("timestamp")))
 
 
 @REGISTRY.add(

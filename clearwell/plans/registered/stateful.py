@@ -38,7 +38,14 @@ def _catalog(spark, sf_dir):
     return upsert_catalog(changes.limit(0), changes)
 
 
-REGISTRY.add("latest_catalog", LATEST_SQL)(_catalog)
+@REGISTRY.add(
+    "latest_catalog",
+    f"SELECT table_name, zone, storage_path, trust_score, epoch_us(freshness_timestamp) AS freshness, seq FROM ({LATEST_SQL})",
+)
+def latest_catalog(spark, sf_dir):
+    state = _catalog(spark, sf_dir)
+    return state.withColumn("freshness", F.unix_micros(F.col("freshness_timestamp").cast("timestamp"))).drop(
+        "freshness_timestamp")
 
 
 def _scores(spark, sf_dir):
@@ -55,7 +62,7 @@ SCORES_SQL = """SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 'gone_' ELSE 'tb
 @REGISTRY.add(
     "trust_update",
     f"""WITH c AS ({LATEST_SQL}), s AS ({SCORES_SQL})
-    SELECT table_name, round(coalesce(least(greatest(new_score, 0), 100), trust_score), 6) AS trust_score
+    SELECT table_name, round(CASE WHEN new_score IS NULL THEN trust_score ELSE least(greatest(new_score, 0), 100) END, 6) AS trust_score
     FROM c LEFT JOIN s USING (table_name)""",
 )
 def trust_update(spark, sf_dir):
@@ -87,13 +94,13 @@ def links(spark, sf_dir):
 
 @REGISTRY.add(
     "feedback_row",
-    """SELECT c_custkey, round_even(least(greatest(c_acctbal / 100 +
+    """SELECT c_custkey, round_even(least(greatest(floor(c_acctbal) / 100 +
               CASE WHEN c_mktsegment = 'MACHINERY' THEN 1.5 ELSE -3.0 END, 0), 100), 2) AS trust_score FROM customer""",
 )
 def feedback_row(spark, sf_dir):
     status = F.when(F.col("c_mktsegment") == "MACHINERY", "approved").otherwise("rejected")
     return table(spark, sf_dir, "customer").select(
-        "c_custkey", trust_after(status, F.col("c_acctbal") / 100).alias("trust_score"))
+        "c_custkey", trust_after(status, F.floor("c_acctbal") / 100).alias("trust_score"))
 
 
 @REGISTRY.add(
@@ -252,10 +259,15 @@ GRADED_SQL = f"""l AS ({LESSONS_SQL}), s AS ({SUBMISSIONS_SQL}),
     FROM s LEFT JOIN l ON l.id = s.lesson_id)"""
 
 
-@REGISTRY.add("grade", f"WITH {GRADED_SQL} SELECT * FROM g")
+@REGISTRY.add(
+    "grade",
+    f"""WITH {GRADED_SQL} SELECT user_id, lesson_id, answer, status, coalesce(correct, FALSE) AS correct,
+        coalesce(points_awarded, -1) AS points_awarded FROM g""",
+)
 def graded(spark, sf_dir):
     done = grade(_submissions(spark, sf_dir), _lessons(spark, sf_dir))
-    return done.select("user_id", "lesson_id", "answer", "status", "correct", "points_awarded")
+    return done.select("user_id", "lesson_id", "answer", "status", F.coalesce("correct", F.lit(False)).alias("correct"),
+                       F.coalesce("points_awarded", F.lit(-1)).alias("points_awarded"))
 
 
 @REGISTRY.add("score", f"WITH {GRADED_SQL} SELECT user_id, CAST(100 + coalesce(sum(points_awarded), 0) AS BIGINT) AS score "

@@ -34,11 +34,10 @@ def _ingested(spark, sf_dir):
                                "WHERE event_type NOT IN ('error', 'view')")
 def stream_ingest(spark, sf_dir):
     good, _ = _ingested(spark, sf_dir)
-    # JSON texts carry milliseconds by default
     return good.select("event_id", F.unix_micros("ts").alias("micros"), "user_id", "event_type", "value")
 
 
-@REGISTRY.add("stream_quarantine", "SELECT count(*) AS messages, count_if(event_type = 'view') AS without_id FROM events "
+@REGISTRY.add("stream_quarantine", "SELECT count(*) AS messages, count(*) FILTER (WHERE event_type = 'view') AS without_id FROM events "
                                    "WHERE event_type IN ('error', 'view')")
 def stream_quarantine(spark, sf_dir):
     _, bad = _ingested(spark, sf_dir)

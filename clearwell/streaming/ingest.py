@@ -25,8 +25,9 @@ def read_topic(spark: SparkSession, servers: str, topic: str = DEFAULT_TOPIC) ->
 
 
 def to_payload(df: DataFrame) -> DataFrame:
-    """Rows as JSON texts, the form a topic takes (column ``value``)."""
-    return df.select(F.to_json(F.struct("*")).alias("value"))
+    """Rows as JSON texts, the form a topic takes (column ``value``); timestamps keep their microseconds."""
+    layout = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    return df.select(F.to_json(F.struct("*"), layout).alias("value"))
 
 
 def write_topic(df: DataFrame, servers: str, topic: str, checkpoint: str) -> StreamingQuery:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -20,9 +21,9 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _cell(v: object) -> object:
-    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return None
-    if isinstance(v, bool) or type(v).__name__ == "bool_":
+    if isinstance(v, (bool, np.bool_)):
         return bool(v)
     if isinstance(v, (int, float)) or type(v).__module__ == "numpy":
         return round(float(v), 9)
