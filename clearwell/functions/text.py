@@ -54,8 +54,8 @@ def parse_timestamp(c: Column, layouts: tuple = DATE_LAYOUTS) -> Column:
 
     A failing layout parser raises and catches an exception per row, so each one only sees text of its own shape.
     """
-    return F.coalesce(
-        F.try_to_timestamp(c),
+    slow = F.coalesce(
         F.when(c.rlike("[0-9][tz]"), F.try_to_timestamp(F.upper(c))),  # ISO text after lower-casing
         *[F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(p))) for p, shape in layouts],
     )
+    return F.coalesce(F.try_to_timestamp(c), F.when(F.length(c).between(6, 40), slow))

@@ -37,10 +37,17 @@ def match_events(scenarios: DataFrame, events: DataFrame, inline_events: int = I
 
 
 def _match_inline(scenarios: DataFrame, events: list[str]) -> DataFrame:
-    low = F.lower("scenario")
-    known = F.array(*map(F.lit, events)).cast("array<string>")
-    hits = F.filter(known, lambda e: F.contains(low, _phrase(e)) | F.contains(_phrase(e), low))
-    return scenarios.select("scenario_id", F.explode(hits).alias("source_event"))
+    if not events:
+        return scenarios.select("scenario_id", F.lit("").alias("source_event")).limit(0)
+    known = F.array(*[
+        F.struct(F.lit(e).alias("event"), F.lit(e.replace("_", " ")).alias("phrase")) for e in events
+    ])
+    # lower-cased once per scenario, not once per event
+    lowered = scenarios.select("scenario_id", F.lower("scenario").alias("_low"))
+    low = F.col("_low")
+    hits = F.filter(known, lambda e: F.contains(low, e["phrase"]) | F.contains(e["phrase"], low))
+    return lowered.select("scenario_id", F.explode(hits).alias("_hit")).select(
+        "scenario_id", F.col("_hit.event").alias("source_event"))
 
 
 def _match_pieces(scenarios: DataFrame, events: DataFrame) -> DataFrame:

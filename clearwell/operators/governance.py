@@ -20,6 +20,15 @@ def _pattern(text: str, mode: str) -> str:
     raise ValueError(f"unknown scan mode {mode!r}")
 
 
+# A character every match of a pattern has; looking for it is much cheaper than the pattern.
+NEEDED = {"email": "@", "ssn": "-"}
+
+
+def _guarded(c: Column, name: str, pattern: str, mode: str) -> Column:
+    search = c.rlike(_pattern(pattern, mode))
+    return F.contains(c, F.lit(NEEDED[name])) & search if name in NEEDED else search
+
+
 def scan_pii(df: DataFrame, mode: str = "anchored", order_by: list[str] | None = None) -> DataFrame:
     """One row per string column with personal data: type of the first hit, and the cells hit by each pattern.
 
@@ -35,14 +44,19 @@ def scan_pii(df: DataFrame, mode: str = "anchored", order_by: list[str] | None =
         f"{n}_cells bigint" for n in names)
     if not columns:
         return spark.createDataFrame([], schema)
+    # the searches run once per cell, in a projection below the aggregation
+    hits = source.select(order.alias("_at"), *[
+        F.coalesce(_guarded(F.col(quoted(c)), name, pattern, mode), F.lit(False)).alias(f"h{i}_{j}")
+        for i, c in enumerate(columns) for j, (name, pattern) in enumerate(PII_PATTERNS)
+    ])
     aggs, entries = [], []
     for i, c in enumerate(columns):
         rank: Column | None = None
-        for j, (_, pattern) in enumerate(PII_PATTERNS):
-            hit = F.col(quoted(c)).rlike(_pattern(pattern, mode))
+        for j in range(len(PII_PATTERNS)):
+            hit = F.col(f"h{i}_{j}")
             aggs.append(F.count_if(hit).alias(f"n{i}_{j}"))
             rank = F.when(hit, j) if rank is None else rank.when(hit, j)
-        aggs.append(F.min(F.when(rank.isNotNull(), F.struct(order.alias("at"), rank.alias("rank")))).alias(f"first{i}"))
+        aggs.append(F.min(F.when(rank.isNotNull(), F.struct("_at", rank.alias("rank")))).alias(f"first{i}"))
         kind = F.element_at(F.array(*map(F.lit, names)), F.col(f"first{i}.rank") + 1)
         entries.append(F.when(F.col(f"first{i}").isNotNull(), F.struct(
             F.lit(c).alias("column_name"), kind.alias("type"), F.lit("high").alias("risk"),
@@ -50,7 +64,7 @@ def scan_pii(df: DataFrame, mode: str = "anchored", order_by: list[str] | None =
             *[F.col(f"n{i}_{j}").alias(f"{n}_cells") for j, n in enumerate(names)],
         )))
     found = F.filter(F.array(*entries), lambda e: e.isNotNull())
-    return source.agg(*aggs).select(F.inline(found))
+    return hits.agg(*aggs).select(F.inline(found))
 
 
 def stale_tables(catalog: DataFrame, now: Column, hours: float = 24.0) -> DataFrame:

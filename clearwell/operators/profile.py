@@ -20,20 +20,25 @@ PROFILE_SCHEMA = (
 )
 
 
-def semantic_tags(name: Column) -> Column:
-    """Tags of all rules whose pattern is found in a column name, in rule order."""
-    hits = F.array_compact(F.array(*[F.when(name.rlike(f"(?i){p}"), F.lit(tag)) for p, tag, _ in SEMANTIC_RULES]))
-    return F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit(DEFAULT_TAG)))
+def matching_rules(name: Column) -> Column:
+    """Positions of all rules whose pattern is found in a column name, in rule order."""
+    return F.array_compact(
+        F.array(*[F.when(name.rlike(f"(?i){p}"), F.lit(i)) for i, (p, _, _) in enumerate(SEMANTIC_RULES)]))
 
 
-def semantic_description(name: Column) -> Column:
-    """Description of the last matching rule."""
-    chain = None
-    for pattern, _, text in reversed(SEMANTIC_RULES):
-        filled = F.concat(F.lit(f"{text} derived from column name '"), name, F.lit("'"))
-        hit = name.rlike(f"(?i){pattern}")
-        chain = F.when(hit, filled) if chain is None else chain.when(hit, filled)
-    return chain.otherwise(F.concat(F.lit("Generic raw input data column: "), name))
+def semantic_tags(rules: Column) -> Column:
+    """Tags of the matching rules, or the default tag."""
+    tags = F.array(*[F.lit(tag) for _, tag, _ in SEMANTIC_RULES])
+    return F.when(F.size(rules) > 0, F.transform(rules, lambda i: F.get(tags, i))).otherwise(F.array(F.lit(DEFAULT_TAG)))
+
+
+def semantic_description(rules: Column, name: Column) -> Column:
+    """Description by the last matching rule."""
+    texts = F.array(*[F.lit(text) for _, _, text in SEMANTIC_RULES])
+    last = F.get(texts, F.try_element_at(rules, F.lit(-1)))
+    return F.coalesce(
+        F.concat(last, F.lit(" derived from column name '"), name, F.lit("'")),
+        F.concat(F.lit("Generic raw input data column: "), name))
 
 
 def tag_columns(names: DataFrame, column: str = "column_name", enrichment: DataFrame | None = None) -> DataFrame:
@@ -42,8 +47,12 @@ def tag_columns(names: DataFrame, column: str = "column_name", enrichment: DataF
     ``enrichment(column_name, description, tags)`` wins over the rules where it has a row. It names each column once,
     so the join adds no rows.
     """
-    tagged = names.withColumns(
-        {"description": semantic_description(F.col(column)), "tags": semantic_tags(F.col(column))}
+    # every pattern runs once per name; tags and description both read its result
+    tagged = (
+        names.withColumn("_rules", matching_rules(F.col(column)))
+        .withColumns({"description": semantic_description(F.col("_rules"), F.col(column)),
+                      "tags": semantic_tags(F.col("_rules"))})
+        .drop("_rules")
     )
     if enrichment is None:
         return tagged

@@ -142,12 +142,12 @@ def scale_minmax(spark, sf_dir):
 
 @REGISTRY.add(
     "scale_zscore",
-    """SELECT l_orderkey, l_linenumber, round((l_extendedprice - m) / s, 6) AS l_extendedprice
+    """SELECT l_orderkey, l_linenumber, round((l_extendedprice - m) / s, 4) + 0 AS l_extendedprice
        FROM lineitem, (SELECT avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS s FROM lineitem)""",
 )
 def scale_zscore(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    return scale(rows, "zscore", ["l_extendedprice"]).withColumn("l_extendedprice", F.round("l_extendedprice", 6))
+    return scale(rows, "zscore", ["l_extendedprice"]).withColumn("l_extendedprice", F.round("l_extendedprice", 4) + F.lit(0.0))
 
 
 CUSTOMERS = ("c_custkey", "c_name", "c_mktsegment")

@@ -70,17 +70,12 @@ def _scenarios(spark, sf_dir):
     return parts.union(turns)
 
 
-def _rounded(df):
-    return df.withColumns({c: F.round(c, 6) for c in ("change_pct", "confidence")})
+SHOWN = "scenario_id, intervention, affected_metric, change_pct, confidence, risk_level, explanation"
 
 
-ROUNDED = ("scenario_id, intervention, affected_metric, round(change_pct, 6) AS change_pct, "
-           "round(confidence, 6) AS confidence, risk_level, explanation")
-
-
-@REGISTRY.add("simulate_scenarios", f"WITH {OUTCOMES_SQL} SELECT {ROUNDED} FROM outcomes")
+@REGISTRY.add("simulate_scenarios", f"WITH {OUTCOMES_SQL} SELECT {SHOWN} FROM outcomes")
 def scenarios_(spark, sf_dir):
-    return _rounded(simulate_scenarios(_scenarios(spark, sf_dir), _links(spark, sf_dir))).drop("input_order")
+    return (simulate_scenarios(_scenarios(spark, sf_dir), _links(spark, sf_dir))).drop("input_order")
 
 
 @REGISTRY.add("match_many_events", f"WITH {LINKS_SQL}, {SCENARIOS_SQL}, {MATCHED_SQL} SELECT scenario_id, source_event FROM m")
@@ -94,15 +89,15 @@ def match_many(spark, sf_dir):
     f"""WITH {OUTCOMES_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY scenario_id
             ORDER BY confidence DESC, input_order) AS rank FROM outcomes),
     f AS ({FALLBACK_SQL})
-    SELECT rank, {ROUNDED} FROM ranked UNION ALL
-    SELECT rank, {ROUNDED} FROM (SELECT scenario_id FROM scenarios WHERE scenario_id NOT IN
+    SELECT rank, {SHOWN} FROM ranked UNION ALL
+    SELECT rank, {SHOWN} FROM (SELECT scenario_id FROM scenarios WHERE scenario_id NOT IN
         (SELECT scenario_id FROM outcomes)), f""",
 )
 def ranked(spark, sf_dir):
     """Ranked outcomes of every scenario, the two fixed ones where nothing matched."""
     scenarios = _scenarios(spark, sf_dir)
     outcomes = rank_outcomes(simulate_scenarios(scenarios, _links(spark, sf_dir)))
-    return _rounded(with_fallback(scenarios, outcomes))
+    return (with_fallback(scenarios, outcomes))
 
 
 @REGISTRY.add(
@@ -123,11 +118,11 @@ def fallback_counts(spark, sf_dir):
     f"""WITH {OUTCOMES_SQL}, f AS ({FALLBACK_SQL}), best AS (
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY confidence DESC, input_order) AS r
         FROM outcomes) WHERE r = 1),
-    top AS (SELECT {ROUNDED.replace('round(change_pct, 6) AS change_pct', 'change_pct').replace('round(confidence, 6) AS confidence', 'confidence')}
+    top AS (SELECT {SHOWN}
             FROM best UNION ALL SELECT scenario_id, intervention, affected_metric, change_pct, confidence, risk_level, explanation
             FROM scenarios, f WHERE rank = 1 AND scenario_id NOT IN (SELECT scenario_id FROM best))
-    SELECT scenario_id, intervention AS recommendation, affected_metric, round(change_pct, 6) AS change_pct,
-           round(confidence, 6) AS confidence, risk_level, explanation,
+    SELECT scenario_id, intervention AS recommendation, affected_metric, change_pct,
+           confidence, risk_level, explanation,
            CASE WHEN confidence < 0.6 THEN 'warning' WHEN risk_level = 'high' THEN 'flagged' ELSE 'passed' END
            AS governance_status,
            CASE WHEN confidence < 0.6 THEN '{NOTE_LOW_CONFIDENCE}' ELSE '' END AS notes,
@@ -136,7 +131,7 @@ def fallback_counts(spark, sf_dir):
 def recommendations(spark, sf_dir):
     scenarios = _scenarios(spark, sf_dir)
     done = recommend(scenarios, simulate_scenarios(scenarios, _links(spark, sf_dir)))
-    return _rounded(done).withColumn("notes", F.array_join("governance_notes", "|")).drop("governance_notes")
+    return done.withColumn("notes", F.array_join("governance_notes", "|")).drop("governance_notes")
 
 
 # Interventions: fifty scenarios by part size, one intervention per part, its price the magnitude.
@@ -157,13 +152,12 @@ def _steps(spark, sf_dir):
 
 @REGISTRY.add(
     "simulate_interventions",
-    f"""WITH {STEPS_SQL} SELECT scenario_id, seq, target_metric AS affected_metric, round(c * 10, 6) AS change_pct,
-        round(c, 6) AS confidence, CASE WHEN c > 0.8 THEN 'low' WHEN c > 0.5 THEN 'medium' ELSE 'high' END AS risk_level,
+    f"""WITH {STEPS_SQL} SELECT scenario_id, seq, target_metric AS affected_metric, c * 10 AS change_pct, c AS confidence, CASE WHEN c > 0.8 THEN 'low' WHEN c > 0.5 THEN 'medium' ELSE 'high' END AS risk_level,
         description AS explanation FROM adj""",
 )
 def interventions(spark, sf_dir):
     done = simulate_interventions(_steps(spark, sf_dir), _links(spark, sf_dir))
-    return _rounded(done).withColumn("seq", F.col("input_order.seq")).drop("input_order", "intervention")
+    return done.withColumn("seq", F.col("input_order.seq")).drop("input_order", "intervention")
 
 
 @REGISTRY.add(
@@ -213,7 +207,7 @@ def _day(c):
 
 def _revenue_lines(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+        "l_orderkey", "l_partkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)").alias("revenue"))
 
 
 def _customer_regions(spark, sf_dir):
@@ -224,7 +218,7 @@ def _customer_regions(spark, sf_dir):
 
 @REGISTRY.add(
     "revenue_by_region",
-    """SELECT r_name AS region, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+    """SELECT r_name AS region, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS revenue
        FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey
        JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
        JOIN region ON r_regionkey = n_regionkey WHERE p_type = 'PROMO' GROUP BY r_name""",
@@ -241,7 +235,7 @@ def revenue_by_region(spark, sf_dir):
         .groupBy("o_custkey").agg(F.sum("revenue").alias("revenue"))
     )
     joined = per_customer.join(_customer_regions(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
-    return group_total(joined, ["region"], F.col("revenue"), "revenue").withColumn("revenue", F.round("revenue", 2))
+    return group_total(joined, ["region"], F.col("revenue"), "revenue").withColumn("revenue", F.col("revenue").cast("double"))
 
 
 @REGISTRY.add(
@@ -289,7 +283,7 @@ def events_by_region(spark, sf_dir):
 
 @REGISTRY.add(
     "revenue_by_product",
-    """SELECT p_brand AS product, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+    """SELECT p_brand AS product, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS revenue
        FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_brand""",
 )
 def revenue_by_product(spark, sf_dir):
@@ -298,21 +292,21 @@ def revenue_by_product(spark, sf_dir):
     per_part = lines.groupBy("l_partkey").agg(F.sum("revenue").alias("revenue"))
     brands = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("product"))
     joined = per_part.join(brands, F.col("l_partkey") == F.col("p_partkey"))
-    return group_total(joined, ["product"], F.col("revenue"), "revenue").withColumn("revenue", F.round("revenue", 2))
+    return group_total(joined, ["product"], F.col("revenue"), "revenue").withColumn("revenue", F.col("revenue").cast("double"))
 
 
 TREND_SQL = """s AS (SELECT o_orderpriority AS kpi, strftime(date_trunc('quarter', o_orderdate), '%Y-%m-%d') AS period,
-        round(sum(o_totalprice), 0) AS value FROM orders GROUP BY 1, 2),
+        round(CAST(sum(CAST(o_totalprice AS DECIMAL(15, 2))) AS DOUBLE), 0) AS value FROM orders GROUP BY 1, 2),
     t AS (SELECT *, lag(value) OVER (PARTITION BY kpi ORDER BY period) AS previous FROM s),
     w AS (SELECT *, value - previous AS change, CASE WHEN value > previous THEN 'improved' WHEN value < previous
           THEN 'declined' ELSE 'remained stable' END AS trend_word FROM t)"""
 
 
 def _trend(spark, sf_dir):
-    series = period_totals(table(spark, sf_dir, "orders"), F.col("o_orderdate"), "quarter", F.col("o_totalprice"), "value",
+    series = period_totals(table(spark, sf_dir, "orders"), F.col("o_orderdate"), "quarter", F.col("o_totalprice").cast("decimal(15,2)"), "value",
                            ("o_orderpriority",))
     return kpi_trend(series.select(F.col("o_orderpriority").alias("kpi"), _day("period"),
-                                   F.round("value", 0).alias("value")))
+                                   F.round(F.col("value").cast("double"), 0).alias("value")))
 
 
 @REGISTRY.add(

@@ -104,7 +104,7 @@ def goal_widgets(spark, sf_dir):
 @REGISTRY.add(
     "narrative",
     f"""WITH {GOALS_SQL}, d AS (SELECT goal_id, goal, {GROUP_SQL} AS dashboard FROM g),
-    s AS (SELECT o_custkey AS kpi, year(o_orderdate) AS period, round(sum(o_totalprice), 0) AS value FROM orders GROUP BY 1, 2),
+    s AS (SELECT o_custkey AS kpi, year(o_orderdate) AS period, round(CAST(sum(CAST(o_totalprice AS DECIMAL(15, 2))) AS DOUBLE), 0) AS value FROM orders GROUP BY 1, 2),
     t AS (SELECT *, lag(value) OVER (PARTITION BY kpi ORDER BY period) AS previous FROM s),
     l AS (SELECT * FROM t WHERE (kpi, period) IN (SELECT kpi, max(period) FROM t GROUP BY kpi)),
     x AS (SELECT kpi AS goal_id, 'Spend is at ' || printf('%.0f', value) || ' and has ' || CASE WHEN value > previous THEN
@@ -120,7 +120,7 @@ def narratives(spark, sf_dir):
     """A text per goal from its widgets and the newest yearly trend of its customer."""
     series = table(spark, sf_dir, "orders").groupBy(
         F.col("o_custkey").alias("kpi"), F.year("o_orderdate").alias("period")).agg(
-        F.round(F.sum("o_totalprice"), 0).alias("value"))
+        F.round(F.sum(F.col("o_totalprice").cast("decimal(15,2)")).cast("double"), 0).alias("value"))
     trend = kpi_trend(series)
     newest = trend.groupBy("kpi").agg(F.max_by(F.struct("value", "change", "trend_word"), "period").alias("t"))
     spoken = kpi_sentence(newest.select(F.col("kpi").alias("goal_id"), F.lit("Spend").alias("kpi"), "t.*"), 0)

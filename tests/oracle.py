@@ -26,7 +26,7 @@ def _cell(v: object) -> object:
     if isinstance(v, (bool, np.bool_)):
         return bool(v)
     if isinstance(v, (int, float)) or type(v).__module__ == "numpy":
-        return round(float(v), 9)
+        return round(float(v), 9) + 0.0
     if isinstance(v, pd.Timestamp):
         return str(v.tz_localize(None) if v.tzinfo else v)
     return str(v)
