@@ -73,9 +73,10 @@ def _contained(small: DataFrame, short: str, large: DataFrame, long: str) -> Dat
 
 
 def _pieces(text: Column, n: int) -> Column:
-    """All substrings of length ``n``."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
-    return F.transform(starts, lambda at: F.substr(text, at, F.lit(n)))
+    """All substrings of length ``n``, found in one walk over the text."""
+    if n == 0:
+        return F.array(F.lit(""))
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
 def _risk(confidence: Column) -> Column:

@@ -11,9 +11,8 @@ from pyspark.sql import types as T
 from clearwell.functions.fixed_values import DATE_LAYOUTS, DEFAULT_TAG, SEMANTIC_RULES
 from clearwell.functions.numeric import missing, present
 from clearwell.functions.text import parse_timestamp
-from clearwell.functions.types import logical_type, quoted
+from clearwell.functions.types import logical_type, quoted, string_columns
 
-SKETCH_BITS = 14  # standard error below 1 %
 PROFILE_SCHEMA = (
     "ordinal int, column_name string, data_type string, nullable boolean, row_count bigint, null_count bigint, "
     "distinct_values bigint, min double, max double, mean double, stddev double"
@@ -96,6 +95,25 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
     )
 
 
+def date_columns(df: DataFrame, layouts: tuple = DATE_LAYOUTS) -> DataFrame:
+    """String columns whose values all are timestamps: ``(ordinal, dates)``."""
+    found = [(i, f.name) for i, f in enumerate(df.schema.fields) if f.name in string_columns(df)]
+    one_row = df.agg(*[_all_dates(F.col(quoted(c)), layouts).alias(f"d{i}") for i, c in found])
+    return one_row.select(
+        F.inline(F.array(*[F.struct(F.lit(i).alias("ordinal"), F.col(f"d{i}").alias("dates")) for i, _ in found])))
+
+
+def sketched_counts(df: DataFrame) -> DataFrame:
+    """Distinct non-null values of all columns by sketch (5 % error): ``(ordinal, distinct_values)``."""
+    aggs, entries = [], []
+    for i, f in enumerate(df.schema.fields):
+        v = present(F.col(quoted(f.name)), f.dataType.simpleString())
+        nested = isinstance(f.dataType, (T.MapType, T.VariantType))
+        aggs.append(F.approx_count_distinct(v.cast("string") if nested else v).alias(f"d{i}"))
+        entries.append(F.struct(F.lit(i).alias("ordinal"), F.col(f"d{i}").alias("distinct_values")))
+    return df.agg(*aggs).select(F.inline(F.array(*entries)))
+
+
 def profile(
     df: DataFrame,
     exact: bool = False,
@@ -105,64 +123,45 @@ def profile(
 ) -> DataFrame:
     """One row per column: logical type, nulls, distinct values, min, max, mean, sample deviation.
 
-    One aggregation over the table. ``exact`` adds a second one for exact distinct counts; without it they come from
-    the same pass by sketch. String columns whose values all parse as timestamps are ``datetime``; ``probe_rows``
+    Three aggregations, each over the columns it needs: statistics, distinct counts (by sketch or with ``exact`` by
+    value) and the date probe. Sketches have no generated code and date parsing has too much of it; either one would
+    slow down the statistics if they shared an aggregation. String columns whose values all parse as timestamps are ``datetime``; ``probe_rows``
     bounds how many rows that check reads, ``None`` checks them all.
     """
     fields = df.schema.fields
-    strings = {f.name for f in fields if isinstance(f.dataType, (T.StringType, T.VarcharType, T.CharType))}
+    strings = string_columns(df)
     aggs: list[Column] = [F.count(F.lit(1)).alias("n")]
     for i, f in enumerate(fields):
         c, dtype = F.col(quoted(f.name)), f.dataType.simpleString()
         v = present(c, dtype)
         aggs.append(F.count_if(missing(c, dtype)).alias(f"nulls{i}"))
-        if not exact:
-            whole = isinstance(f.dataType, (T.IntegerType, T.LongType))
-            # one binary buffer per column; the buffers of approx_count_distinct are hundreds of columns each
-            sketch = F.hll_sketch_agg(v if whole else v.cast("string"), F.lit(SKETCH_BITS))
-            aggs.append(F.coalesce(F.hll_sketch_estimate(sketch), F.lit(0)).alias(f"distinct{i}"))
         if logical_type(f.dataType) in ("integer", "float"):
             d = v.cast("double")
             aggs += [F.min(d).alias(f"min{i}"), F.max(d).alias(f"max{i}"), F.avg(d).alias(f"mean{i}"),
                      F.stddev_samp(d).alias(f"std{i}")]
-        if probe_dates and f.name in strings and probe_rows is None:
-            aggs.append(_all_dates(c, date_layouts).alias(f"dates{i}"))
     one_row = df.agg(*aggs)
-    if probe_dates and strings and probe_rows is not None:
-        sample = df.limit(probe_rows).agg(
-            *[_all_dates(F.col(quoted(f.name)), date_layouts).alias(f"dates{i}")
-              for i, f in enumerate(fields) if f.name in strings]
-        )
-        probed = sample.select(F.struct("*")).scalar()
-        one_row = one_row.select(
-            "*", *[probed[f"dates{i}"].alias(f"dates{i}") for i, f in enumerate(fields) if f.name in strings]
-        )
-
     def entry(i: int, f: T.StructField) -> Column:
-        kind: Column = F.lit(logical_type(f.dataType))
-        if probe_dates and f.name in strings:
-            kind = F.when(F.col(f"dates{i}"), F.lit("datetime")).otherwise(F.lit("string"))
         numeric = logical_type(f.dataType) in ("integer", "float")
         null_double = F.lit(None).cast("double")
         return F.struct(
             F.lit(i).alias("ordinal"),
             F.lit(f.name).alias("column_name"),
-            kind.alias("data_type"),
+            F.lit(logical_type(f.dataType)).alias("data_type"),
             (F.col(f"nulls{i}") > 0).alias("nullable"),
             F.col("n").alias("row_count"),
             F.col(f"nulls{i}").alias("null_count"),
-            (F.lit(None).cast("bigint") if exact else F.col(f"distinct{i}")).alias("distinct_values"),
             *[(F.col(f"{k}{i}") if numeric else null_double).alias(a)
               for k, a in (("min", "min"), ("max", "max"), ("mean", "mean"), ("std", "stddev"))],
         )
 
     long = one_row.select(F.inline(F.array(*[entry(i, f) for i, f in enumerate(fields)])))
-    if exact:
-        long = (
-            long.drop("distinct_values")
-            .join(distinct_counts(df), "ordinal", "left")
-            .withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0).cast("bigint")))
+    if probe_dates and strings:
+        dated = date_columns(df if probe_rows is None else df.limit(probe_rows), date_layouts)
+        long = long.join(dated, "ordinal", "left").withColumn(
+            "data_type", F.when(F.col("dates"), F.lit("datetime")).otherwise(F.col("data_type"))
         )
+    counts = distinct_counts(df) if exact else sketched_counts(df)
+    long = long.join(counts, "ordinal", "left").withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0)))
     return long.select([c.split()[0] for c in PROFILE_SCHEMA.split(", ")])
 
 

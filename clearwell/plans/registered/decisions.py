@@ -75,7 +75,7 @@ SHOWN = "scenario_id, intervention, affected_metric, change_pct, confidence, ris
 
 @REGISTRY.add("simulate_scenarios", f"WITH {OUTCOMES_SQL} SELECT {SHOWN} FROM outcomes")
 def scenarios_(spark, sf_dir):
-    return (simulate_scenarios(_scenarios(spark, sf_dir), _links(spark, sf_dir))).drop("input_order")
+    return simulate_scenarios(_scenarios(spark, sf_dir), _links(spark, sf_dir)).drop("input_order")
 
 
 @REGISTRY.add("match_many_events", f"WITH {LINKS_SQL}, {SCENARIOS_SQL}, {MATCHED_SQL} SELECT scenario_id, source_event FROM m")
@@ -97,7 +97,7 @@ def ranked(spark, sf_dir):
     """Ranked outcomes of every scenario, the two fixed ones where nothing matched."""
     scenarios = _scenarios(spark, sf_dir)
     outcomes = rank_outcomes(simulate_scenarios(scenarios, _links(spark, sf_dir)))
-    return (with_fallback(scenarios, outcomes))
+    return with_fallback(scenarios, outcomes)
 
 
 @REGISTRY.add(
@@ -152,7 +152,8 @@ def _steps(spark, sf_dir):
 
 @REGISTRY.add(
     "simulate_interventions",
-    f"""WITH {STEPS_SQL} SELECT scenario_id, seq, target_metric AS affected_metric, c * 10 AS change_pct, c AS confidence, CASE WHEN c > 0.8 THEN 'low' WHEN c > 0.5 THEN 'medium' ELSE 'high' END AS risk_level,
+    f"""WITH {STEPS_SQL} SELECT scenario_id, seq, target_metric AS affected_metric, c * 10 AS change_pct, c AS confidence,
+        CASE WHEN c > 0.8 THEN 'low' WHEN c > 0.5 THEN 'medium' ELSE 'high' END AS risk_level,
         description AS explanation FROM adj""",
 )
 def interventions(spark, sf_dir):
