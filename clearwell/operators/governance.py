@@ -77,7 +77,7 @@ def stale_tables(catalog: DataFrame, now: Column, hours: float = 24.0) -> DataFr
 
 def governance_scan(
     df: DataFrame, table_name: str, catalog: DataFrame, now: Column, mode: str = "anchored",
-    order_by: list[str] | None = None, hours: float = 24.0,
+    order_by: list[str] | None = None, hours: float = 24.0, agent_name: str = "steward",
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scan one table: a one-row report, at most one masking request, and the catalog after the stale penalty.
 
@@ -94,7 +94,7 @@ def governance_scan(
     )
     listed = F.array_join("columns", ", ")
     requests = findings.where("pii_issues_found > 0").select(
-        F.lit("Data Steward AI").alias("agent_name"), F.lit("mask_pii_columns").alias("action_type"),
+        F.lit(agent_name).alias("agent_name"), F.lit("mask_pii_columns").alias("action_type"),
         F.to_json(F.struct(F.lit(table_name).alias("table"), F.col("columns").alias("columns_to_mask"))).alias(
             "proposed_payload"),
         F.concat(F.lit("Detected PII in columns: "), listed,

@@ -221,8 +221,9 @@ def apply_repairs(
         if at == len(rounds):
             rounds.append([])
         rounds[at].append(alert)
+    known: dict[str, dict] = {}  # snapshots after one round are those before the next
     for batch in rounds:
-        df, done = _repair_round(df, batch, baseline, exact)
+        df, done, known = _repair_round(df, batch, baseline, exact, known)
         actions += done
     return df, df.sparkSession.createDataFrame(actions, ACTION_SCHEMA)
 
@@ -233,7 +234,9 @@ def _action(alert: Row, status: str, before: dict, after: dict) -> tuple:
             dump(before), dump(after))
 
 
-def _repair_round(df: DataFrame, batch: list[Row], baseline, exact: bool) -> tuple[DataFrame, list[tuple]]:
+def _repair_round(
+    df: DataFrame, batch: list[Row], baseline, exact: bool, known: dict[str, dict]
+) -> tuple[DataFrame, list[tuple], dict[str, dict]]:
     by: dict[str, list[Row]] = {}
     outcome: dict[int, tuple[str, dict]] = {}
     numbers = numeric_columns(df)
@@ -251,7 +254,8 @@ def _repair_round(df: DataFrame, batch: list[Row], baseline, exact: bool) -> tup
         else:
             by.setdefault(alert["strategy"], []).append((i, c, details))
     touched = [c for group in by.values() for _, c, _ in group]
-    before = _snapshots(df, touched, exact)
+    before = {c: known[c] for c in touched if c in known}
+    before |= _snapshots(df, [c for c in touched if c not in before], exact)
 
     if group := by.get("null_backfill"):
         df, fills = backfill_nulls(df, [c for _, c, _ in group])
@@ -292,7 +296,7 @@ def _repair_round(df: DataFrame, batch: list[Row], baseline, exact: bool) -> tup
         status, details = outcome[i]
         c = alert["column_name"]
         done.append(_action(alert, status, before.get(c, {}), {**after.get(c, {}), **details}))
-    return df, done
+    return df, done, known | after
 
 
 def resolve_alerts(alerts: DataFrame, actions: DataFrame) -> DataFrame:

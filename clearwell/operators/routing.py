@@ -46,9 +46,9 @@ def task_gate(tasks: DataFrame, text: str = "task") -> DataFrame:
     return tasks.withColumn("status", F.when(risky, F.lit("queued_for_approval")).otherwise(F.lit("executed")))
 
 
-def task_requests(gated: DataFrame, id: str, text: str, at: str) -> DataFrame:
+def task_requests(gated: DataFrame, id: str, text: str, at: str, agent_name: str = "assistant") -> DataFrame:
     return gated.where("status = 'queued_for_approval'").select(
-        F.col(id).alias("id"), F.lit("Copilot Agent").alias("agent_name"),
+        F.col(id).alias("id"), F.lit(agent_name).alias("agent_name"),
         F.lit("external_report_dispatch").alias("action_type"),
         F.to_json(F.struct(F.col(text).alias("task"))).alias("proposed_payload"),
         F.lit("External task gated for explicit human review.").alias("reasoning"), F.col(at).alias("created_at"))

@@ -89,7 +89,7 @@ def scan_report(spark, sf_dir):
 @REGISTRY.add(
     "governance_requests",
     f"""WITH c AS ({PII_SQL}), p AS ({_findings_sql("c", ("c_name", "contact", "number"), "c_custkey")})
-    SELECT 'Data Steward AI' AS agent_name, 'mask_pii_columns' AS action_type,
+    SELECT 'steward' AS agent_name, 'mask_pii_columns' AS action_type,
            'Detected PII in columns: ' || string_agg(column_name, ', ' ORDER BY column_name) ||
            '. Recommend applying dynamic data masking.' AS reasoning FROM p HAVING count(*) > 0""",
 )
