@@ -11,6 +11,7 @@ from clearwell.operators.ranking import number_rows
 
 INLINE_EVENTS = 256
 GRAM = 8
+BROADCAST_LETTERS = 4_000_000
 OUTCOME_COLUMNS = (
     "scenario_id", "intervention", "affected_metric", "change_pct", "confidence", "risk_level", "explanation",
     "input_order",
@@ -54,21 +55,25 @@ def _match_pieces(scenarios: DataFrame, events: DataFrame) -> DataFrame:
     # copies of one scenario text are matched once
     texts = scenarios.select(F.lower("scenario").alias("text")).where("text is not null").distinct()
     phrases = events.select("source_event", _phrase(F.col("source_event")).alias("phrase"))
-    inside = _contained(phrases, "phrase", texts, "text")
-    around = _contained(texts, "text", phrases, "phrase")
+    letters = phrases.agg(F.coalesce(F.sum(F.length("phrase") + 1), F.lit(0)).alias("n")).first()["n"]
+    # the events travel to the scenarios only where their whole size, counted in letters, is small
+    small = letters <= BROADCAST_LETTERS
+    inside = _contained(phrases, "phrase", texts, "text", broadcast_short=small)
+    around = _contained(texts, "text", phrases, "phrase", broadcast_long=letters * (GRAM + 1) <= BROADCAST_LETTERS)
     pairs = inside.select("text", "source_event").unionByName(around.select("text", "source_event")).distinct()
     keyed = scenarios.select("scenario_id", F.lower("scenario").alias("text"))
     return keyed.join(pairs, "text").select("scenario_id", "source_event")
 
 
-def _contained(small: DataFrame, short: str, large: DataFrame, long: str) -> DataFrame:
+def _contained(
+    small: DataFrame, short: str, large: DataFrame, long: str, broadcast_short: bool = False, broadcast_long: bool = False
+) -> DataFrame:
     """Rows of ``small`` and ``large`` where ``short`` is a substring of ``long``."""
     heads = small.withColumn("piece", F.substring(short, 1, GRAM))
     lengths = [r[0] for r in heads.select(F.length("piece")).distinct().collect()]  # at most GRAM + 1 values
-    pieces = [_pieces(F.col(long), n) for n in sorted(lengths)]
-    if not pieces:
-        return large.join(small, F.lit(False))
+    pieces = [_pieces(F.col(long), n) for n in sorted(lengths) or [0]]
     spread = large.withColumn("piece", F.explode(F.array_distinct(F.concat(*pieces))))
+    spread, heads = (F.broadcast(spread) if broadcast_long else spread), (F.broadcast(heads) if broadcast_short else heads)
     return spread.join(heads, "piece").where(F.contains(F.col(long), F.col(short))).drop("piece")
 
 

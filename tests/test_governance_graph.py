@@ -96,7 +96,7 @@ def test_entity_resolution_is_idempotent(graph):
 def test_diagram_and_glossary(graph, spark):
     nodes, edges, _ = resolve_entities(*graph)
     lines = [r["line"] for r in er_diagram(nodes, edges).orderBy("line_no").collect()]
-    assert lines == ["erDiagram", '    Entity ||--o{ Entity : "RESOLVES_TO"', '    Entity ||--o{ Metric : "IMPACTS"']
+    assert lines == ["erDiagram", '    Entity ||--o{ Metric : "IMPACTS"', '    Entity ||--o{ Entity : "RESOLVES_TO"']
     assert {r["term"] for r in glossary(nodes).collect()} == {"Entity", "Customer", "Supplier", "Event", "Metric"}
     empty_nodes, empty_edges = nodes.limit(0), edges.limit(0)
     assert er_diagram(empty_nodes, empty_edges).count() == 4
