@@ -184,7 +184,8 @@ def outcome_labels(spark, sf_dir):
 
 @REGISTRY.add(
     "kpi_apply",
-    f"""WITH {STEPS_SQL}, k AS (SELECT p_size AS scenario_id, 94.3 - p_size / 10.0 AS u, 2.4 + p_size / 10.0 AS v FROM part
+    f"""WITH {STEPS_SQL}, k AS (SELECT p_size AS scenario_id, 94.3 - CAST(p_size AS DECIMAL(4, 0)) * 0.1 AS u,
+            2.4 + CAST(p_size AS DECIMAL(4, 0)) * 0.1 AS v FROM part
             GROUP BY p_size),
     last AS (SELECT scenario_id, target_metric, round_even(c * 10, 1) AS change FROM (SELECT *, row_number() OVER (
              PARTITION BY scenario_id, target_metric ORDER BY c, seq DESC, link_id DESC) AS r FROM adj) WHERE r = 1)
