@@ -211,8 +211,9 @@ REPAIRED_SQL = """WITH b AS (SELECT event_id, user_id, event_type,
 )
 def repaired(spark, sf_dir):
     found = batch(spark, sf_dir)
-    base = baseline(spark, sf_dir)
-    expected = [(r["column_name"], r["data_type"]) for r in base.collect()]
+    columns = baseline(spark, sf_dir).collect()  # one row per column, profiled once
+    base = spark.createDataFrame(columns, "column_name string, data_type string, distinct_values bigint")
+    expected = [(r["column_name"], r["data_type"]) for r in columns]
     out, _ = apply_repairs(found, detect_drift(found, base), expected, "medium")
     return out.select("event_id", "user_id", "event_type", F.round("value", 4).alias("value"), "channel", "props")
 
