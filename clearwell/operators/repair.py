@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from clearwell.functions.fixed_values import IQR_MULTIPLIER, REPAIR_STRATEGIES, RISK_ORDER
-from clearwell.functions.numeric import clamp, missing, present
+from clearwell.functions.numeric import clamp, present
 from clearwell.functions.text import parse_timestamp
 from clearwell.functions.types import numeric_columns, physical_type, quoted
 from clearwell.operators.profile import profile
@@ -308,7 +308,3 @@ def resolve_alerts(alerts: DataFrame, actions: DataFrame) -> DataFrame:
                       "resolved_by": F.when(F.col("_done"), F.lit("auto_repair"))})
         .drop("_done")
     )
-
-
-def null_count(df: DataFrame, column: str) -> Column:
-    return F.count_if(missing(F.col(quoted(column)), dict(df.dtypes)[column]))

@@ -23,10 +23,6 @@ def latest_state(events: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return picked.select(*[F.col(c) if c in keys else columns[c].alias(c) for c in events.columns])
 
 
-def first_seen(events: DataFrame, keys: list[str], time: str) -> DataFrame:
-    return events.groupBy(*keys).agg(F.min(time).alias("created_at"))
-
-
 def newest_first(table: DataFrame, time: str = "created_at", **equals: object) -> DataFrame:
     """Rows that match every given column, newest first."""
     for column, value in equals.items():

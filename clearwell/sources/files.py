@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from clearwell.functions.types import quoted
 from clearwell.operators.clean import sentinels_to_null
-from clearwell.operators.profile import all_of
 
 INTEGER = r"^[+-]?[0-9]+$"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -98,8 +97,3 @@ def publish_schema(document: DataFrame, root: str, table: str) -> str:
     target = f"{root}/schemas/{table}"
     document.write.mode("overwrite").json(target)
     return target
-
-
-def complete_rows(df: DataFrame) -> Column:
-    """Condition for rows without any null."""
-    return all_of([F.col(quoted(c)).isNotNull() for c in df.columns])
