@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clearwell.llm.blocks import table
+from clearwell.llm.chat_format import BODY, END, ESCAPES, TURN, canonical_turns, conversation_records, digest, format_turns
+from clearwell.llm.language_spans import fit, held_out, identify
+from clearwell.llm.latent_leaks import find_leaks
+from clearwell.llm.license_scan import BASE_PHRASES, TEMPLATES, WORD, compile_template, scan_licenses, template_regex
+from clearwell.llm.mixing import mix_sources
 from clearwell.llm.ngram_join import ngram_join
+from clearwell.llm.permutation_index import search
+from clearwell.llm.secret_scan import BASE_RULES, RULES, scan_secrets
+from clearwell.llm.surrogates import replace_entities
+from clearwell.llm.warc_archive import read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,3 +56,197 @@ FROM documents LEFT JOIN n USING (doc_id)
 """)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), k=3, num=9, den=10).select("doc_id", "n_shingles", "component_id")
+
+
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
+def _places(phrase: str) -> str:
+    """Where a phrase's words stand one after another in ``ws``, from 0."""
+    own = phrase.split()
+    same = " AND ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(own, 1))
+    return f"list_filter(range(0, greatest(0, len(ws) - {len(own) - 1})), lambda i: {same})"
+
+
+def _license_sql() -> str:
+    phrases = list(BASE_PHRASES.items())
+    base = ", ".join(f"{_places(p)} AS p{i}" for i, (p, _) in enumerate(phrases))
+    all_places = "list_concat(list_concat(p0, p1), p2)"
+    base_labels = ", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{label}' END" for i, (_, label) in enumerate(phrases))
+    hits = ", ".join(
+        f"regexp_matches(flat, '(^| ){_quoted(template_regex(markup))}') AS t{i}" for i, (_, _, markup) in enumerate(TEMPLATES))
+    more = ", ".join(f"CASE WHEN t{i} THEN '{label}' END" for i, (label, _, _) in enumerate(TEMPLATES))
+    sizes = [f"CASE WHEN len(p{i}) > 0 THEN {len(p.split())} END" for i, (p, _) in enumerate(phrases)]
+    sizes += [f"CASE WHEN t{i} THEN {compile_template(*t).mandatory} END" for i, t in enumerate(TEMPLATES)]
+    joined = "array_to_string(list_sort(list_distinct(list_filter([{}], lambda x: x IS NOT NULL))), ',')"
+    return rf"""
+WITH w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS ws FROM documents),
+p AS (SELECT doc_id, len(ws) AS n_words, array_to_string(ws, ' ') || ' ' AS flat, {base} FROM w),
+t AS (SELECT *, {all_places} AS places, {hits} FROM p),
+m AS (SELECT *, list_max(list_filter([{', '.join(sizes)}], lambda x: x IS NOT NULL)) AS most FROM t)
+SELECT doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
+    {joined.format(base_labels)} AS base_labels, {joined.format(base_labels + ', ' + more)} AS labels,
+    coalesce(most::DOUBLE / (most + 3), 0) AS score
+FROM m
+"""
+
+
+@query("op2_license_templates", _license_sql())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("places")
+
+
+@query("op3_permutation_index")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+@query("op4_temperature_mix", rf"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents),
+r AS (SELECT *, coalesce('=' || source, '') AS key FROM d WHERE n_tokens > 0),
+sizes AS (SELECT key, sum(n_tokens)::BIGINT AS tokens FROM r GROUP BY 1),
+shares AS (SELECT key, tokens, tokens / (SELECT sum(tokens) FROM sizes)::DOUBLE AS share FROM sizes),
+aim AS (SELECT 0.98::DOUBLE * ln(count(*)) AS h, -sum(share * ln(share)) AS own FROM shares),
+steps(k, low, width) AS (
+    SELECT 0, 0::DOUBLE, 1::DOUBLE
+    UNION ALL
+    SELECT k + 1, CASE WHEN (
+        SELECT ln(sum(exp((low + width / 2) * ln(share)))) - sum(exp((low + width / 2) * ln(share)) * (low + width / 2) * ln(share)) / sum(exp((low + width / 2) * ln(share)))
+        FROM shares) >= (SELECT h FROM aim) THEN low + width / 2 ELSE low END, width / 2
+    FROM steps WHERE k < 30),
+rep(k, low, width) AS (
+    SELECT 0, 0::DOUBLE, 1::DOUBLE
+    UNION ALL
+    SELECT k + 1, CASE WHEN (
+        SELECT max(exp((low + width / 2) * ln(share)) * (SELECT sum(tokens) FROM sizes)::DOUBLE / tokens) / sum(exp((low + width / 2) * ln(share)))
+        FROM shares) > 4 THEN low + width / 2 ELSE low END, width / 2
+    FROM rep WHERE k < 30),
+most AS (SELECT max(share * (SELECT sum(tokens) FROM sizes)::DOUBLE / tokens) AS repeats FROM shares),
+a AS (
+    SELECT greatest(
+        CASE WHEN (SELECT own < h FROM aim) THEN (SELECT low FROM steps WHERE k = 30) ELSE 1 END,
+        CASE WHEN (SELECT repeats FROM most) > 4 THEN 1 ELSE (SELECT low + width FROM rep WHERE k = 30) END)::DOUBLE AS a),
+b AS (
+    SELECT key, tokens, round(exp((SELECT a FROM a) * ln(share)) / (SELECT sum(exp((SELECT a FROM a) * ln(share))) FROM shares), 9) AS weight,
+        greatest(1, ceil(tokens / 4096::DOUBLE))::BIGINT AS n_blocks FROM shares),
+g AS (SELECT *, ceil(round(weight * (SELECT sum(tokens) FROM sizes)::DOUBLE, 3))::BIGINT AS budget FROM b),
+dealt AS (
+    SELECT r.*, g.weight, ('0x' || substr(md5('mix/' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % g.n_blocks AS block
+    FROM r JOIN g USING (key)),
+blocks AS (SELECT key, block, sum(n_tokens)::BIGINT AS tokens FROM dealt GROUP BY 1, 2),
+turns AS (
+    SELECT blocks.*, g.tokens AS all_tokens, budget, unnest(range(0, (budget - 1) // g.tokens + 1)) AS turn FROM blocks JOIN g USING (key) WHERE budget > 0),
+ordered AS (SELECT *, substr(md5('mix/' || key || '/' || turn || '/' || block), 1, 15) AS perm FROM turns),
+summed AS (
+    SELECT *, turn * all_tokens + coalesce(sum(tokens) OVER (
+        PARTITION BY key, turn ORDER BY ('0x' || substr(perm, 1, 3))::BIGINT, perm, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ordered)
+SELECT doc_id, source, n_tokens, weight, turn AS pass, block, round(before::DOUBLE / budget, 9) AS place
+FROM dealt JOIN summed USING (key, block) WHERE before < budget
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query("op5_warc_zstd", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS keeper FROM p)
+SELECT page_id, n AS payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((('0x' || substr(hex, (i // 4)::INT * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+    CASE WHEN page_id IS NOT DISTINCT FROM keeper THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
+FROM h
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_archives(write_archives(table(spark, sf_dir, "pages"))).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_latent_leaks")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_language_spans")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"))
+    return identify(docs, model).withColumn("held_out", held_out(F.col("doc_id"))).select(
+        "doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def _secret_sql() -> str:
+    def spans(k: int, rule) -> str:
+        pattern = _quoted(("(?i)" if rule.any_case else "") + rule.pattern)
+        long_enough = f"len(regexp_extract(m[i], '{pattern}', {rule.group})) >= {rule.least}" if rule.least else "true"
+        return f"""
+    SELECT doc_id, unnest(list_transform(list_filter(range(1, len(m) + 1), lambda i: {long_enough}), lambda i: {{
+        's': list_sum(list_transform(c[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0),
+        'n': len(m[i])}}), recursive := true), {k} AS k, '{rule.kind}' AS kind
+    FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{pattern}') AS m, string_split_regex(coalesce(text, ''), '{pattern}') AS c FROM documents)"""
+
+    rules = " UNION ALL ".join(spans(k, rule) for k, rule in enumerate(RULES))
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in RULES[:3])
+    said = "coalesce(string_agg(kind || ':' || s::BIGINT || ':' || (s + n)::BIGINT, ',' ORDER BY s, k){}, '')"
+    return f"""
+WITH s AS ({rules}),
+g AS (SELECT doc_id, {counts}, {said.format(' FILTER (k < 3)')} AS base, {said.format('')} AS spans FROM s GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+
+@query("op8_trigram_secrets", _secret_sql())
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*(r.kind for r in BASE_RULES)))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *(count(r.kind) for r in BASE_RULES),
+        F.sha2(said(base), 256).alias("base_sha256"), said("spans").alias("spans"))
+
+
+def _chat_sql() -> str:
+    def escaped(column: str) -> str:
+        out = f"replace({column}, '\\', '\\\\')"
+        for plain, marked in ESCAPES:
+            out = f"replace({out}, '{plain}', '{marked}')"
+        return out
+
+    return f"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(length({escaped('role')}) + length({escaped('text')}) + {len(TURN + BODY + END)})::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
+@query("op9_chat_fingerprints", _chat_sql())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    # the added conversation is a row of two, made by the engine
+    added = spark.range(1).select(F.explode(F.array(*(F.struct(
+        F.lit(-1).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text"))
+        for i, role in enumerate(("user", "assistant"))))).alias("r")).select("r.*")
+    records = conversation_records(rows.unionByName(added))
+    return digest(format_turns(canonical_turns(records)))
+
+
+@query("op10_keyed_surrogates")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(table(spark, sf_dir, "documents"), key="surrogates")
