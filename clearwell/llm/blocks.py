@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clearwell.session import scratch_path
 
@@ -45,6 +46,31 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
             start = stop
 
 
+#: Bits of the map that ``rows_asked_for`` sends to the tasks: 8 MB, whatever the number of ids.
+MAP_BITS = 1 << 26
+
+
+def rows_asked_for(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be among ``ids`` (one column of that name), before a join shuffles them.
+
+    A bit map of the ids' hashes has a fixed size: with very many ids it lets more rows pass, never fewer than it must.
+    """
+    bit = F.pmod(F.xxhash64(column), F.lit(MAP_BITS))
+    bits = ids.select(bit.alias("bit")).groupBy(F.expr("bit div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("map"))
+    filled = np.zeros(MAP_BITS, dtype=bool)
+    for r in bits.toLocalIterator():
+        filled[r.bucket * 32768 : (r.bucket + 1) * 32768] = np.unpackbits(np.frombuffer(r.map, dtype=np.uint8), bitorder="little")
+    packed = df.sparkSession.sparkContext.broadcast(np.packbits(filled))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy()
+            keep = (packed.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(keep.astype(bool))).select(list(range(batch.num_columns - 1)))
+
+    return df.withColumn("_bit", bit).mapInArrow(run, df.schema)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer, so that every bit of the input reaches every bit of the output."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

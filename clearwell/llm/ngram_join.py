@@ -25,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clearwell.llm.blocks import shingle_sets, signed, stored, text_blocks
+from clearwell.llm.blocks import rows_asked_for, shingle_sets, signed, stored, text_blocks
 from clearwell.llm.components import components
 
 #: Size bound of the table of frequent shingles that is sent to the tasks: 9 bytes for each entry.
@@ -38,17 +38,17 @@ COUNT_BLOCK = 2_000_000
 #: Members of a leader that are verified in one cell.
 CELL = 1000
 
-_SETS = "doc_id long, n int, digest long, sig long, token long, times long"
+_SETS = "doc_id long, n int, digest long, sig binary, token long, times long"
+_PARITY = ("p0", "p1", "p2", "p3")
 
 
 def _digest(x: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63
 
 
-def _signature(x: np.ndarray) -> int:
-    """How many shingles fall into each of eight ranges of the hash, a byte each, 255 and more alike."""
-    sizes = np.minimum(np.bincount((x >> np.uint64(61)).astype(np.int64), minlength=8), 255).astype(np.uint8)
-    return int(sizes.view(np.int64)[0])
+def _signature(x: np.ndarray) -> bytes:
+    """For each of 256 ranges of the hash, whether the set holds an odd number of shingles there."""
+    return np.packbits(np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=256).astype(np.uint8) & 1).tobytes()
 
 
 def _describe(k: int):
@@ -61,7 +61,7 @@ def _describe(k: int):
             x, times = x[times > 1], times[times > 1]
             none = pa.nulls(len(x), pa.int64())
             return pa.record_batch(
-                [none, pa.nulls(len(x), pa.int32()), none, none, pa.array(signed(x)), pa.array(times.astype(np.int64))],
+                [none, pa.nulls(len(x), pa.int32()), none, pa.nulls(len(x), pa.binary()), pa.array(signed(x)), pa.array(times.astype(np.int64))],
                 names=["doc_id", "n", "digest", "sig", "token", "times"])
 
         for batch in text_blocks(batches):
@@ -70,7 +70,7 @@ def _describe(k: int):
             none = pa.nulls(len(sets), pa.int64())
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int32()), pa.array(digests, pa.int64()),
-                 pa.array([_signature(x) for x in sets], pa.int64()), none, none],
+                 pa.array([_signature(x) for x in sets], pa.binary()), none, none],
                 names=["doc_id", "n", "digest", "sig", "token", "times"])
             for x, d in zip(sets, digests):
                 if len(x) and (len(x), d) not in held:
@@ -167,18 +167,16 @@ _LISTS = ("token long, digest long, n int, pos int, first_digest long, first_n i
           "last_digest long, last_n int, last_pos int")
 
 
-def _may_link(num: int, den: int, a: str, b: str) -> F.Column:
+def _may_link(num: int, den: int, a: str, b: str) -> Column:
     """Length filter, and the positional filter for a shingle taken as the first that both have."""
     na, nb, pa_, pb = (F.col(c).cast("long") for c in (f"{a}n", f"{b}n", f"{a}pos", f"{b}pos"))
     return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (
         F.least(na - pa_, nb - pb) * (num + den) >= (na + nb) * num)
 
 
-def _suffix_ok(num: int, den: int) -> F.Column:
-    """The sizes of eight hash ranges bound the symmetric difference from below."""
-    diff = sum(
-        (F.abs(F.shiftrightunsigned("a_sig", 8 * i).bitwiseAND(255) - F.shiftrightunsigned("b_sig", 8 * i).bitwiseAND(255)) for i in range(8)),
-        start=F.lit(0))
+def _suffix_ok(num: int, den: int) -> Column:
+    """Suffix filter: a range where one set has an odd and the other an even number of shingles holds a differing one."""
+    diff = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in _PARITY), start=F.lit(0))
     size = F.col("a_n").cast("long") + F.col("b_n")
     # intersection >= size * num / (num + den), so difference <= size - 2 * size * num / (num + den)
     return diff * (num + den) <= size * (den - num)
@@ -217,7 +215,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
                           F.lit(True).alias("is_member"), F.col("b_n").alias("n"), F.col("b_digest").alias("digest"))
     heads = celled.select(F.col("a").alias("doc_id"), F.col("a").alias("leader"), "salt", F.col("a").alias("member"),
                           F.lit(False).alias("is_member"), F.col("a_n").alias("n"), F.col("a_digest").alias("digest")).distinct()
-    rows = asked.union(heads).join(docs.select("doc_id", "text"), "doc_id")
+    rows = asked.union(heads)
+    rows = rows.join(rows_asked_for(docs.select("doc_id", "text"), rows.select("doc_id"), "doc_id"), "doc_id")
     return (rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "is_member")
             .select("leader", "salt", "member", "is_member", "n", "digest", "text")
             .mapInArrow(_cells(k, num, den), "u long, v long").distinct())
@@ -226,7 +225,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
 def _named(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of classes by digest and size to pairs of their smallest doc_ids that pass the suffix filter."""
     for side in ("a", "b"):
-        own = classes.select(F.col("digest").alias(f"{side}_digest"), F.col("n").alias(f"{side}_n"), F.col("rep").alias(side), F.col("sig").alias(f"{side}_sig"))
+        own = classes.select(F.col("digest").alias(f"{side}_digest"), F.col("n").alias(f"{side}_n"), F.col("rep").alias(side), *(F.col(p).alias(f"{side}_{p}") for p in _PARITY))
         pairs = pairs.join(own, [f"{side}_digest", f"{side}_n"])
     return pairs.where(_suffix_ok(num, den)).select("a", "a_n", "a_digest", "b", "b_n", "b_digest")
 
@@ -244,9 +243,10 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10) -> Data
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = stored(docs.mapInArrow(_describe(k), _SETS), "shingle-sets")
     sets = described.where("times is null").select("doc_id", "n", "digest", "sig")
+    parity = [F.conv(F.hex(F.substring("sig", 8 * i + 1, 8)), 16, -10).cast("long").alias(p) for i, p in enumerate(_PARITY)]
     classes = stored(
-        sets.where("n > 0 and doc_id is not null").groupBy("digest", "n")
-        .agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.count("*").alias("class_size")), "classes")
+        sets.where("n > 0 and doc_id is not null").select("doc_id", "digest", "n", *parity).groupBy("digest", "n")
+        .agg(F.min("doc_id").alias("rep"), *(F.min(p).alias(p) for p in _PARITY), F.count("*").alias("class_size")), "classes")
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(described.where("times is not null").select("token", "times")))
 
     postings = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(
@@ -278,22 +278,26 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10) -> Data
 def _across(lists: DataFrame, classes: DataFrame, found: DataFrame, tried: DataFrame, num: int, den: int) -> DataFrame:
     """Candidate pairs of different components that are left after the first round.
 
-    On each list, the classes outside its largest component meet all the list's classes; those inside it need no pair.
+    Lists of up to three classes have had all their pairs. On each other list, the classes outside its largest component meet
+    all the list's classes; those inside it need no pair. All filters stand in the join's condition.
     """
+    long_ones = lists.groupBy("token").count().where("count >= 3").select("token")  # a list's first class is no row of its own
+    rows = stored(lists.join(long_ones, "token", "left_semi"), "long-lists")
     parts = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "digest", "n", F.coalesce("component", "rep").alias("part"))
-    # a list's first class is no row of its own in ``lists``
-    members = lists.select("token", "digest", "n", "pos").union(
-        lists.where("first_digest = last_digest and first_n = last_n").select("token", "first_digest", "first_n", "first_pos")).join(parts, ["digest", "n"])
+        "digest", "n", *_PARITY, F.coalesce("component", "rep").alias("part"))
+    members = rows.select("token", "digest", "n", "pos").union(
+        rows.where("first_digest = last_digest and first_n = last_n").select("token", "first_digest", "first_n", "first_pos")).join(parts, ["digest", "n"])
+    members = stored(members, "open-lists")
     split = members.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token")
-    members = stored(members.join(split, "token", "left_semi"), "open-lists")
-    largest = members.groupBy("token", "part").count().groupBy("token").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
+    largest = members.join(split, "token", "left_semi").groupBy("token", "part").count().groupBy("token").agg(
+        F.max_by("part", F.struct("count", "part")).alias("main"))
     a = members.join(largest, "token").where("part <> main")
-    side = lambda x, s: x.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("digest", "n", "pos", "part")))
-    pairs = side(a, "a").join(side(members, "b"), "token").where(F.col("a_part") != F.col("b_part")).where(_may_link(num, den, "a_", "b_"))
+    side = lambda x, s: x.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("digest", "n", "pos", "part", *_PARITY)))
     # a pair may come from both sides: the smaller digest leads
     low = F.struct("a_digest", "a_n") < F.struct("b_digest", "b_n")
-    pairs = pairs.select(*(F.when(low, F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{x}_{c}")
-                           for x, y in (("a", "b"), ("b", "a")) for c in ("digest", "n"))).distinct()
+    pairs = (side(a, "a").join(side(members, "b"), "token")
+             .where((F.col("a_part") != F.col("b_part")) & _may_link(num, den, "a_", "b_") & _suffix_ok(num, den))
+             .select(*(F.when(low, F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{x}_{c}")
+                       for x, y in (("a", "b"), ("b", "a")) for c in ("digest", "n"))).distinct())
     done = tried.select("a_digest", "a_n", "b_digest", "b_n")
     return _named(pairs.join(done, ["a_digest", "a_n", "b_digest", "b_n"], "left_anti"), classes, num, den)
