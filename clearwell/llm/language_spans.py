@@ -158,15 +158,15 @@ def fit(labelled: DataFrame) -> Model:
                 held[lang] = held[lang] + new if lang in held else new
         yield pa.record_batch([pa.array(list(held), pa.string()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["lang", "counts"])
 
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum(np.frombuffer(x.as_py()) for b in batches for x in b.column("counts"))
-        yield pa.record_batch([pa.array([key[0].as_py()]), pa.array([total.tobytes()], pa.binary())], names=["lang", "counts"])
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py()) for x in rows.column("counts"))
+        return pa.table([pa.array([key[0].as_py()], pa.string()), pa.array([total.tobytes()], pa.binary())], names=["lang", "counts"])
 
     parts = labelled.where("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     packed = parts.mapInArrow(count, "lang string, counts binary")
     # first by lang and piece, then by lang, so that no task adds up all tasks' rows of one language
-    packed = packed.withColumn("piece", F.spark_partition_id() % 16).groupBy("lang", "piece").applyInArrow(lambda key, batches: add(key, batches), "lang string, counts binary")
-    rows = sorted(packed.groupBy("lang").applyInArrow(lambda key, batches: add(key, batches), "lang string, counts binary").collect())
+    packed = packed.withColumn("piece", F.spark_partition_id() % 16).groupBy("lang", "piece").applyInArrow(add, "lang string, counts binary")
+    rows = sorted(packed.groupBy("lang").applyInArrow(add, "lang string, counts binary").collect())
     counts = np.array([np.frombuffer(r.counts) for r in rows]).reshape(len(rows), BINS + len(SCRIPTS))
     return Model([r.lang for r in rows], counts[:, :BINS], counts[:, BINS:])
 

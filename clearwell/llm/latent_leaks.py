@@ -72,15 +72,11 @@ def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def _summed(parts: DataFrame) -> np.ndarray:
     """The sum of all tasks' vectors (rows: number of the slice, bytes), added slice by slice in the engine."""
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for b in batches:
-            for x in b.column("part"):
-                x = np.frombuffer(x.as_py())
-                total = x if total is None else total + x
-        yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "part"])
-
-    rows = parts.groupBy("slice").applyInArrow(lambda key, batches: add(key, batches), "slice int, part binary").collect()
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py()) for x in rows.column("part"))
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "part"])
+
+    rows = parts.groupBy("slice").applyInArrow(add, "slice int, part binary").collect()
     return np.concatenate([np.frombuffer(r.part) for r in sorted(rows)]) if rows else np.zeros(0)
 
 

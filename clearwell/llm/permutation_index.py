@@ -11,8 +11,6 @@ ones is the order of inner products. Pivots are a bounded sample; every vector i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -112,8 +110,8 @@ def search(
     n_queries = asked.count()
     cells_v, cells_q = max(1, -(-n // BLOCK_VECTORS)), max(1, -(-n_queries // BLOCK_QUERIES))
 
-    def cell(key: tuple, left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vs, qs = [b for b in left if b.num_rows], [b for b in right if b.num_rows]
+    def cell(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        vs, qs = left.to_batches(), right.to_batches()
         out = []
         if vs and qs:
             ids = np.concatenate([b.column("vec_id").to_numpy() for b in vs])
@@ -126,7 +124,7 @@ def search(
                     found, score = block.search(i, row, own, k, share, least)
                     out.append((np.full(len(found), i), found, score))
         cols = [np.concatenate([o[j] for o in out]) if out else [] for j in range(3)]
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
     # the salt differs from the pivots' order, so blocks are even
     left = base.withColumn("v", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(cells_v)).cast("int")).withColumn(
