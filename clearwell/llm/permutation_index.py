@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from clearwell.llm.blocks import stored
 
 #: Pivots, and how many of the nearest are posted for a vector.
-PIVOTS, POSTED = 256, 64
+PIVOTS, POSTED = 256, 64  # ranks are kept as bytes, so POSTED is 255 at most
 #: Share of a block's vectors that is reranked, and the least number.
-RERANKED, LEAST_RERANKED = 0.2, 256
+RERANKED, LEAST_RERANKED = 0.15, 256
 #: Vectors and queries of a cell.
 BLOCK_VECTORS, BLOCK_QUERIES = 8192, 1024
 
@@ -62,25 +62,24 @@ class Block:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, lifted: np.ndarray, pivots: np.ndarray, posted: int) -> None:
         self.ids, self.vectors, self.posted = ids, vectors, min(posted, len(pivots))
         lists = nearest_pivots(lifted, pivots, self.posted)
-        order = np.argsort(lists.ravel(), kind="stable")
-        self.rows = (order // self.posted).astype(np.int32)
-        self.ranks = (order % self.posted).astype(np.int32)
-        self.at = np.searchsorted(lists.ravel()[order], np.arange(len(pivots) + 1))
-
-    def closeness(self, pivots_of_query: np.ndarray) -> np.ndarray:
-        """Constant minus half the footrule distance: absent pivots rank last, so a shared pivot adds posted - max(ranks)."""
-        out = np.zeros(len(self.ids), dtype=np.int32)
-        for rank, p in enumerate(pivots_of_query.tolist()):
-            s, e = self.at[p], self.at[p + 1]
-            out[self.rows[s:e]] += self.posted - np.maximum(self.ranks[s:e], rank)
-        return out
+        # the file of pivot p is row p: its rank in each vector's list, ``posted`` where it is not posted
+        self.files = np.full((len(pivots), len(ids)), self.posted, dtype=np.uint8)
+        self.files[lists.ravel(), np.repeat(np.arange(len(ids)), self.posted)] = np.tile(np.arange(self.posted, dtype=np.uint8), len(ids))
+
+    def farness(self, pivots_of_query: np.ndarray) -> np.ndarray:
+        """Half the footrule distance plus a constant: absent pivots rank last, so each pivot of the query adds the larger rank."""
+        ranks = np.arange(len(pivots_of_query), dtype=np.uint8)[:, None]
+        return np.maximum(self.files[pivots_of_query], ranks).sum(axis=0, dtype=np.uint16)
 
     def search(self, query_id: int, query: np.ndarray, pivots_of_query: np.ndarray, k: int, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-        near = self.closeness(pivots_of_query)
-        n = min(len(near), max(least, k + 1, int(len(near) * share)))
-        cand = np.argpartition(-near, n - 1)[:n] if n < len(near) else np.arange(n)
+        far = self.farness(pivots_of_query)
+        n = min(len(far), max(least, k + 1, int(len(far) * share)))
+        cand = np.argpartition(far, n - 1)[:n] if n < len(far) else np.arange(n)
         cand = cand[self.ids[cand] != query_id]
         score = (self.vectors[cand] * query).sum(axis=1)
+        if len(cand) > k:  # ties with the k-th stay in
+            top = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+            cand, score = cand[top], score[top]
         best = np.lexsort((self.ids[cand], -score))[:k]
         return self.ids[cand[best]], score[best]
 
