@@ -54,9 +54,9 @@ def parse_timestamp(c: Column, layouts: tuple = DATE_LAYOUTS) -> Column:
 
     A failing layout parser raises and catches an exception per row, so each one only sees text of its own shape.
     """
+    c = strip(c)
     slow = F.coalesce(
         F.when(c.rlike("[0-9][tz]"), F.upper(c).try_cast("timestamp")),  # ISO text after lower-casing
         *[F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(p))) for p, shape in layouts],
     )
-    # no timestamp is shorter than a year or longer than a stamp with fraction and zone
-    return F.when(F.length(c).between(4, 64), F.coalesce(c.try_cast("timestamp"), F.when(F.length(c) >= 6, slow)))
+    return F.coalesce(c.try_cast("timestamp"), slow)

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from clearwell.functions.fixed_values import FALLBACK_OUTCOMES, NOTE_HIGH_RISK, NOTE_LOW_CONFIDENCE
 from clearwell.functions.numeric import clamp
 from clearwell.operators.ranking import number_rows
+from clearwell.session import scratch_path
 
-INLINE_EVENTS = 256
 GRAM = 8
-BROADCAST_LETTERS = 4_000_000
 OUTCOME_COLUMNS = (
     "scenario_id", "intervention", "affected_metric", "change_pct", "confidence", "risk_level", "explanation",
     "input_order",
@@ -22,59 +21,50 @@ def _phrase(event: Column) -> Column:
     return F.replace(event, F.lit("_"), F.lit(" "))
 
 
-def match_events(scenarios: DataFrame, events: DataFrame, inline_events: int = INLINE_EVENTS) -> DataFrame:
+def match_events(scenarios: DataFrame, events: DataFrame) -> DataFrame:
     """Pairs ``(scenario_id, source_event)`` where the event phrase is part of the lower-cased scenario or the
     scenario is part of the phrase.
 
-    Up to ``inline_events`` events are tested inside one projection over the scenarios. Beyond that the texts meet in
-    equi-joins on short pieces: a text that is part of another brings its first letters along, so it suffices to join
-    those with all pieces of the same length of the other text and test what is left.
+    The texts meet in equi-joins on short pieces, the same way for any number of either: a text that is part of another
+    brings all its own pieces along, so it suffices to look for its rarest one in the other text and to test what is left.
     """
-    distinct = events.select("source_event").where("source_event is not null").distinct()
-    head = [r[0] for r in distinct.limit(inline_events + 1).collect()]
-    if len(head) <= inline_events:
-        return _match_inline(scenarios, sorted(head))
-    return _match_pieces(scenarios, distinct)
-
-
-def _match_inline(scenarios: DataFrame, events: list[str]) -> DataFrame:
-    if not events:
-        return scenarios.select("scenario_id", F.lit("").alias("source_event")).limit(0)
-    known = F.array(*[
-        F.struct(F.lit(e).alias("event"), F.lit(e.replace("_", " ")).alias("phrase")) for e in events
-    ])
-    # lower-cased once per scenario, not once per event
-    lowered = scenarios.select("scenario_id", F.lower("scenario").alias("_low"))
-    low = F.col("_low")
-    hits = F.filter(known, lambda e: F.contains(low, e["phrase"]) | F.contains(e["phrase"], low))
-    return lowered.select("scenario_id", F.explode(hits).alias("_hit")).select(
-        "scenario_id", F.col("_hit.event").alias("source_event"))
-
-
-def _match_pieces(scenarios: DataFrame, events: DataFrame) -> DataFrame:
     # copies of one scenario text are matched once
     texts = scenarios.select(F.lower("scenario").alias("text")).where("text is not null").distinct()
-    phrases = events.select("source_event", _phrase(F.col("source_event")).alias("phrase"))
-    letters = phrases.agg(F.coalesce(F.sum(F.length("phrase") + 1), F.lit(0)).alias("n")).first()["n"]
-    # the events travel to the scenarios only where their whole size, counted in letters, is small
-    small = letters <= BROADCAST_LETTERS
-    inside = _contained(phrases, "phrase", texts, "text", broadcast_short=small)
-    around = _contained(texts, "text", phrases, "phrase", broadcast_long=letters * (GRAM + 1) <= BROADCAST_LETTERS)
-    pairs = inside.select("text", "source_event").unionByName(around.select("text", "source_event")).distinct()
+    phrases = events.select("source_event").where("source_event is not null").distinct().select(
+        "source_event", _phrase(F.col("source_event")).alias("phrase"))
+    inside = _contained(phrases.select("phrase").distinct(), "phrase", texts, "text")
+    around = _contained(texts, "text", phrases.select("phrase").distinct(), "phrase")
+    pairs = inside.select("text", "phrase").unionByName(around.select("text", "phrase")).distinct()
     keyed = scenarios.select("scenario_id", F.lower("scenario").alias("text"))
-    return keyed.join(pairs, "text").select("scenario_id", "source_event")
+    return keyed.join(pairs, "text").join(phrases, "phrase").select("scenario_id", "source_event")
 
 
-def _contained(
-    small: DataFrame, short: str, large: DataFrame, long: str, broadcast_short: bool = False, broadcast_long: bool = False
-) -> DataFrame:
-    """Rows of ``small`` and ``large`` where ``short`` is a substring of ``long``."""
-    heads = small.withColumn("piece", F.substring(short, 1, GRAM))
-    lengths = [r[0] for r in heads.select(F.length("piece")).distinct().collect()]  # at most GRAM + 1 values
-    pieces = [_pieces(F.col(long), n) for n in sorted(lengths) or [0]]
-    spread = large.withColumn("piece", F.explode(F.array_distinct(F.concat(*pieces))))
-    spread, heads = (F.broadcast(spread) if broadcast_long else spread), (F.broadcast(heads) if broadcast_short else heads)
-    return spread.join(heads, "piece").where(F.contains(F.col(long), F.col(short))).drop("piece")
+def _contained(small: DataFrame, short: str, large: DataFrame, long: str) -> DataFrame:
+    """Pairs of distinct texts ``(short, long)`` of ``small`` and ``large`` where ``short`` is a substring of ``long``.
+
+    Only hashes and pieces are multiplied, never a whole text. Pieces of long texts that no short text has are dropped before
+    anything else; of a short text's pieces, the one in the fewest long texts is joined.
+    """
+    spark = small.sparkSession
+    longest = large.agg(F.max(F.length(long))).first()[0] or 0
+    small = small.where(F.length(short) <= longest)
+    size = F.least(F.length(short), F.lit(GRAM))
+    own = small.select(F.md5(short).alias("short_id"), F.explode(F.array_distinct(F.expr(
+        f"transform(sequence(1, greatest(1, length({short}) - {GRAM - 1})), i -> substring({short}, i, {GRAM}))"))).alias("piece"))
+    lengths = sorted(r[0] for r in small.select(size.alias("n")).distinct().collect())  # at most GRAM + 1 values
+    spread = large.select(F.md5(long).alias("long_id"), F.explode(F.array_distinct(F.concat(
+        *[_pieces(F.col(long), n) for n in lengths or [0]]))).alias("piece"))
+    path = scratch_path(spark, "pieces")
+    spread.join(own.select("piece").distinct(), "piece", "left_semi").write.parquet(path)
+    hits = spark.read.schema(spread.select("piece", "long_id").schema).parquet(path)
+    # a piece that no long text has makes its short text match nothing
+    counted = own.join(hits.groupBy("piece").count(), "piece", "left").groupBy("short_id").agg(
+        F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "piece")).alias("best"))
+    rare = counted.where("best.n > 0").select("short_id", F.col("best.piece").alias("piece"))
+    pairs = rare.join(hits, "piece").select("short_id", "long_id")
+    named = pairs.join(small.select(F.md5(short).alias("short_id"), short), "short_id").join(
+        large.select(F.md5(long).alias("long_id"), long), "long_id")
+    return named.where(F.contains(F.col(long), F.col(short))).select(short, long)
 
 
 def _pieces(text: Column, n: int) -> Column:
@@ -88,10 +78,14 @@ def _risk(confidence: Column) -> Column:
     return F.when(confidence > 0.8, "low").when(confidence > 0.5, "medium").otherwise("high")
 
 
-def simulate_scenarios(scenarios: DataFrame, links: DataFrame, inline_events: int = INLINE_EVENTS) -> DataFrame:
+def simulate_scenarios(scenarios: DataFrame, links: DataFrame) -> DataFrame:
     """Outcomes of the links each scenario text touches. ``scenarios(scenario_id, scenario)``,
-    ``links(link_id, source_event, target_metric, confidence_score, description)``."""
-    matched = match_events(scenarios, links, inline_events).join(links, "source_event")
+    ``links(link_id, source_event, target_metric, confidence_score, description)``.
+
+    Ties keep the order in which events first appear among the links, and within an event that of its links.
+    """
+    first = links.groupBy("source_event").agg(F.min("link_id").alias("first_link"))
+    matched = match_events(scenarios, links).join(first, "source_event").join(links, "source_event")
     confidence = F.col("confidence_score")
     return matched.select(
         "scenario_id",
@@ -101,14 +95,15 @@ def simulate_scenarios(scenarios: DataFrame, links: DataFrame, inline_events: in
         confidence.alias("confidence"),
         F.when(confidence > 0.8, "low").otherwise("medium").alias("risk_level"),
         F.col("description").alias("explanation"),
-        F.col("link_id").alias("input_order"),
+        F.struct("first_link", "link_id").alias("input_order"),
     )
 
 
 def simulate_interventions(interventions: DataFrame, links: DataFrame) -> DataFrame:
     """Outcomes of explicit interventions ``(scenario_id, seq, event, magnitude)``; unknown events give none.
 
-    The confidence is left unrounded; :func:`shown` rounds it.
+    The confidence is rounded to two digits, halves of the decimal number to even, and ranked in that form; change and
+    risk come from the unrounded one.
     """
     magnitude = F.coalesce("magnitude", F.lit(1.0))
     adjusted = clamp(F.col("confidence_score") * magnitude, 0.0, 1.0)
@@ -118,7 +113,7 @@ def simulate_interventions(interventions: DataFrame, links: DataFrame) -> DataFr
         F.concat(F.lit("Adjust "), "event", F.lit(" by "), magnitude.cast("string"), F.lit("x")).alias("intervention"),
         F.col("target_metric").alias("affected_metric"),
         (F.col("adjusted") * 10).alias("change_pct"),
-        F.col("adjusted").alias("confidence"),
+        F.bround("adjusted", 2).alias("confidence"),
         _risk(F.col("adjusted")).alias("risk_level"),
         F.col("description").alias("explanation"),
         F.struct("seq", "link_id").alias("input_order"),

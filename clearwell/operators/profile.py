@@ -22,7 +22,7 @@ PROFILE_SCHEMA = (
 def matching_rules(name: Column) -> Column:
     """Positions of all rules whose pattern is found in a column name, in rule order."""
     return F.array_compact(
-        F.array(*[F.when(name.rlike(f"(?i){p}"), F.lit(i)) for i, (p, _, _) in enumerate(SEMANTIC_RULES)]))
+        F.array(*[F.when(name.rlike(p), F.lit(i)) for i, (p, _, _) in enumerate(SEMANTIC_RULES)]))
 
 
 def semantic_tags(rules: Column) -> Column:
@@ -127,15 +127,14 @@ def profile(
     df: DataFrame,
     exact: bool = False,
     probe_dates: bool = True,
-    probe_rows: int | None = None,
     date_layouts: tuple = DATE_LAYOUTS,
 ) -> DataFrame:
     """One row per column: logical type, nulls, distinct values, min, max, mean, sample deviation.
 
     Three aggregations, each over the columns it needs: statistics, distinct counts (by sketch or with ``exact`` by
     value) and the date probe. Sketches have no generated code and date parsing has too much of it; either one would
-    slow down the statistics if they shared an aggregation. String columns whose values all parse as timestamps are ``datetime``; ``probe_rows``
-    bounds how many rows that check reads, ``None`` checks them all.
+    slow down the statistics if they shared an aggregation.
+    String columns whose values all parse as timestamps are ``datetime``.
     """
     fields = df.schema.fields
     strings = string_columns(df)
@@ -165,7 +164,7 @@ def profile(
 
     long = one_row.select(F.inline(F.array(*[entry(i, f) for i, f in enumerate(fields)])))
     if probe_dates and strings:
-        dated = date_columns(df if probe_rows is None else df.limit(probe_rows), date_layouts)
+        dated = date_columns(df, date_layouts)
         long = long.join(dated, "ordinal", "left").withColumn(
             "data_type", F.when(F.col("dates"), F.lit("datetime")).otherwise(F.col("data_type"))
         )

@@ -20,7 +20,6 @@ from clearwell.functions.types import quoted
 
 ACCURACY = 10_000
 MAX_INSIDE = 50_000
-DIRECT_ROWS = 1_000_000
 COLUMNS_PER_JOB = 16
 
 
@@ -56,13 +55,11 @@ def exact_quantiles(
     columns: list[str],
     probabilities: list[float],
     max_inside: int = MAX_INSIDE,
-    direct_rows: int = DIRECT_ROWS,
 ) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles per column, null and NaN ignored; ``None`` where a column has no value.
 
     Runs a few jobs over ``df``; what reaches the driver is one row of counts and at most ``max_inside`` values per
-    rank. Columns with at most ``direct_rows`` values use ``percentile``, whose memory that count bounds. Persist or
-    write an expensive ``df`` first.
+    rank. The path is the same for every number of rows. Persist or write an expensive ``df`` first.
     """
     out: dict[str, list[float | None]] = {}
     for start in range(0, len(columns), COLUMNS_PER_JOB):
@@ -72,14 +69,9 @@ def exact_quantiles(
             *[present(F.col(quoted(c)), types[c]).cast("double").alias(f"v{i}") for i, c in enumerate(chunk)]
         )
         counts = narrow.agg(*[F.count(v).alias(v) for v in narrow.columns]).first().asDict()
-        direct = [v for v, n in counts.items() if n <= direct_rows]
-        found = {}
-        if direct:
-            found = narrow.agg(*[F.percentile(v, probabilities).alias(v) for v in direct]).first().asDict()
-        large = {v: n for v, n in counts.items() if n > direct_rows}
-        if large:
-            found.update(_narrowing(narrow, large, probabilities, max_inside))
-        out.update({c: found[f"v{i}"] or [None] * len(probabilities) for i, c in enumerate(chunk)})
+        filled = {v: n for v, n in counts.items() if n}
+        found = _narrowing(narrow, filled, probabilities, max_inside) if filled else {}
+        out.update({c: found.get(f"v{i}") or [None] * len(probabilities) for i, c in enumerate(chunk)})
     return out
 
 

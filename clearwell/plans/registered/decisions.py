@@ -80,8 +80,8 @@ def scenarios_(spark, sf_dir):
 
 @REGISTRY.add("match_many_events", f"WITH {LINKS_SQL}, {SCENARIOS_SQL}, {MATCHED_SQL} SELECT scenario_id, source_event FROM m")
 def match_many(spark, sf_dir):
-    """The form for more events than fit one projection: equi-joins on short pieces of the texts."""
-    return match_events(_scenarios(spark, sf_dir), _links(spark, sf_dir), inline_events=0)
+    """Which events each text touches."""
+    return match_events(_scenarios(spark, sf_dir), _links(spark, sf_dir))
 
 
 @REGISTRY.add(
@@ -139,7 +139,8 @@ STEPS_SQL = f"""{LINKS_SQL}, steps AS (SELECT p_size AS scenario_id, p_partkey A
     CASE WHEN p_brand = 'Brand#1' THEN 'unknown_event' ELSE replace(p_name, ' ', '_') END AS event,
     p_retailprice / 1000 - 0.5 AS magnitude FROM part),
     adj AS (SELECT scenario_id, seq, event, target_metric, description, link_id,
-            least(greatest(confidence_score * magnitude, 0), 1) AS c FROM steps JOIN links ON event = source_event)"""
+            least(greatest(confidence_score * magnitude, 0), 1) AS c, round_even(c, 2) AS rc
+            FROM steps JOIN links ON event = source_event)"""
 
 
 def _steps(spark, sf_dir):
@@ -152,7 +153,7 @@ def _steps(spark, sf_dir):
 
 @REGISTRY.add(
     "simulate_interventions",
-    f"""WITH {STEPS_SQL} SELECT scenario_id, seq, target_metric AS affected_metric, c * 10 AS change_pct, c AS confidence,
+    f"""WITH {STEPS_SQL} SELECT scenario_id, seq, target_metric AS affected_metric, c * 10 AS change_pct, rc AS confidence,
         CASE WHEN c > 0.8 THEN 'low' WHEN c > 0.5 THEN 'medium' ELSE 'high' END AS risk_level,
         description AS explanation FROM adj""",
 )
@@ -164,7 +165,7 @@ def interventions(spark, sf_dir):
 @REGISTRY.add(
     "rank_interventions",
     f"""WITH {STEPS_SQL} SELECT scenario_id, seq, row_number() OVER (PARTITION BY scenario_id
-        ORDER BY c DESC, seq, link_id) AS rank FROM adj""",
+        ORDER BY rc DESC, seq, link_id) AS rank FROM adj""",
 )
 def rank_interventions(spark, sf_dir):
     """Ranks inside fifty large scenarios, whose rows spread over all tasks."""
@@ -174,7 +175,7 @@ def rank_interventions(spark, sf_dir):
 
 @REGISTRY.add(
     "outcome_labels",
-    f"""WITH {STEPS_SQL} SELECT seq, round_even(c, 2) AS confidence,
+    f"""WITH {STEPS_SQL} SELECT seq, rc AS confidence,
         '+' || printf('%.1f', round_even(c * 10, 1)) || '%' AS predicted_change FROM adj""",
 )
 def outcome_labels(spark, sf_dir):
@@ -188,7 +189,7 @@ def outcome_labels(spark, sf_dir):
             2.4 + CAST(p_size AS DECIMAL(4, 0)) * 0.1 AS v FROM part
             GROUP BY p_size),
     last AS (SELECT scenario_id, target_metric, round_even(c * 10, 1) AS change FROM (SELECT *, row_number() OVER (
-             PARTITION BY scenario_id, target_metric ORDER BY c, seq DESC, link_id DESC) AS r FROM adj) WHERE r = 1)
+             PARTITION BY scenario_id, target_metric ORDER BY rc, seq DESC, link_id DESC) AS r FROM adj) WHERE r = 1)
     SELECT k.scenario_id AS scenario_id,
         CASE WHEN a.change IS NULL THEN CAST(u AS DOUBLE) ELSE least(100, floor((CAST(u AS DOUBLE) + a.change) * 10 + 0.5) / 10)
         END AS production_uptime,

@@ -14,13 +14,13 @@ REGISTRY = Registry()
 
 
 def tags_sql(name: str) -> str:
-    hits = ", ".join(f"CASE WHEN regexp_matches({name}, '(?i){p}') THEN '{tag}' END" for p, tag, _ in SEMANTIC_RULES)
+    hits = ", ".join(f"CASE WHEN regexp_matches({name}, '{p}') THEN '{tag}' END" for p, tag, _ in SEMANTIC_RULES)
     return f"coalesce(nullif(concat_ws(',', {hits}), ''), '{DEFAULT_TAG}')"
 
 
 def description_sql(name: str) -> str:
     rules = " ".join(
-        f"WHEN regexp_matches({name}, '(?i){p}') THEN '{text} derived from column name ''' || {name} || ''''"
+        f"WHEN regexp_matches({name}, '{p}') THEN '{text} derived from column name ''' || {name} || ''''"
         for p, _, text in reversed(SEMANTIC_RULES)
     )
     return f"CASE {rules} ELSE 'Generic raw input data column: ' || {name} END"

@@ -59,13 +59,47 @@ def raw_landing(spark, sf_dir):
     source, root = scratch_path(spark, "incoming"), scratch_path(spark, "lake")
     table(spark, sf_dir, "events").write.option("header", True).csv(source)
     land_raw(spark, source, "csv", root, "events", datetime(2024, 2, 1))
-    return read_raw(spark, root, "events").select(
-        "event_id", "event_type", "user_id", F.col("value").cast("double").alias("value"),
+    lines = read_raw(spark, root, "events").where(F.col("value") != "event_id,ts,user_id,event_type,value,props")
+    cell = F.from_csv("value", "event_id string, ts string, user_id string, event_type string, value double, props string", {"escape": '"'})
+    return lines.withColumn("r", cell).select(
+        "r.event_id", "r.event_type", "r.user_id", "r.value",
         F.col("ingest_ts").cast("string").alias("ingest_ts"),
         F.contains("_source_file", F.lit("incoming")).alias("has_source"),
     )
 
 
+@REGISTRY.add("json_array_roundtrip", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def json_array_roundtrip(spark, sf_dir):
+    """Files that each hold one array of records."""
+    path = scratch_path(spark, "json-array")
+    records = table(spark, sf_dir, "customer").select("c_custkey", F.to_json(F.struct("c_custkey", "c_name", "c_acctbal")).alias("j"))
+    # an array holds at most 500 customers
+    arrays = records.groupBy(F.expr("c_custkey div 500").alias("part")).agg(
+        F.concat(F.lit("[\n"), F.array_join(F.collect_list("j"), ",\n"), F.lit("\n]")).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return read_json(spark, path, "c_custkey bigint, c_name string, c_acctbal double")
+
+
+@REGISTRY.add("json_lines_landing", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def json_lines_landing(spark, sf_dir):
+    """JSON lines are landed line by line and parsed from the landed text."""
+    source, root = scratch_path(spark, "incoming"), scratch_path(spark, "lake")
+    table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal").write.json(source)
+    land_raw(spark, source, "json", root, "customer", datetime(2024, 2, 1))
+    return read_raw(spark, root, "customer").select(
+        F.from_json("value", "c_custkey bigint, c_name string, c_acctbal double").alias("r")).select("r.*")
+
+
+@REGISTRY.add(
+    "csv_quoted_breaks", "SELECT o_orderkey, o_orderstatus || chr(10) || '\"' || o_orderpriority || '\"' AS note FROM orders")
+def csv_quoted_breaks(spark, sf_dir):
+    """Line breaks and quotes inside quoted cells."""
+    path = scratch_path(spark, "csv-breaks")
+    note = F.concat("o_orderstatus", F.lit('\n"'), "o_orderpriority", F.lit('"'))
+    table(spark, sf_dir, "orders").select("o_orderkey", note.alias("note")).write.option("header", True).option("escape", '"').csv(path)
+    return read_csv(spark, path, multi_line=True)
+
+
 @REGISTRY.add("landing_ingest", "SELECT event_id, user_id, event_type, value, props FROM events")
 def landing_ingest(spark, sf_dir):
     """New files of a landing folder, read once each by a checkpointed stream."""

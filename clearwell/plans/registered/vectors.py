@@ -62,6 +62,21 @@ def knn_one(spark, sf_dir):
     return nearest(vectors, [r["m"] for r in means], 10).select("vec_id", "label", F.round("distance", 5).alias("distance"))
 
 
+@REGISTRY.add(
+    "knn_all",
+    """WITH d AS (
+        SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS distance
+        FROM embeddings a, embeddings b)
+    SELECT query_id, vec_id, round(distance, 5) AS distance, CAST(r AS INTEGER) AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS r FROM d) WHERE r <= 3""",
+)
+def knn_all(spark, sf_dir):
+    """Three nearest vectors of every vector."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = nearest_batch(vectors, vectors.withColumnRenamed("vec_id", "query_id"), 3)
+    return found.select("query_id", "vec_id", F.round("distance", 5).alias("distance"), "rank")
+
+
 @REGISTRY.add(
     "knn_batch",
     f"""WITH {CENTRES_SQL}, d AS (

@@ -111,11 +111,14 @@ class RunResult:
 
 def ingest_batch(
     spark: SparkSession, catalog: Catalog, path: str | list[str], file_format: str, table: str, now: datetime,
-    enrichment: DataFrame | None = None, **profile_options,
+    enrichment: DataFrame | None = None, read_options: dict | None = None, **profile_options,
 ) -> DataFrame:
-    """Land a batch, profile it and register its schema as a draft, replacing an earlier registration."""
+    """Land a batch, profile it and register its schema as a draft, replacing an earlier registration.
+
+    ``read_options`` go to the reader: ``lines`` for JSON with one record per line, ``multi_line`` for CSV.
+    """
     raw_path = land_raw(spark, path, file_format, catalog.root, table, now)
-    document = schema_document(read_batch(spark, path, file_format), table, enrichment, **profile_options)
+    document = schema_document(read_batch(spark, path, file_format, **(read_options or {})), table, enrichment, **profile_options)
     row = document.select(F.to_json(F.struct("*")).alias("j")).first()["j"]  # as long as the table is wide
     _register(spark, catalog, table, "draft", row, now)
     return spark.createDataFrame([(row, raw_path)], "schema_json string, raw_path string")

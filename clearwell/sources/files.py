@@ -17,10 +17,20 @@ BOOLEANS = ("True", "TRUE", "true", "False", "FALSE", "false")
 FORMATS = ("csv", "json")
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, multi_line: bool = False
+) -> DataFrame:
     """CSV with a header. Without a schema every cell is read as text, null sentinels become null and the types are
-    inferred from what is left; ``inferSchema`` would take a numeric column with one ``NA`` for text."""
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", False)
+    inferred from what is left; ``inferSchema`` would take a numeric column with one ``NA`` for text.
+
+    ``multi_line`` keeps line breaks inside quoted cells; each file is then read by one task. Without it a file is split
+    by lines, and an input with a line whose quotes do not balance is refused rather than torn apart.
+    """
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    if not multi_line:
+        torn = spark.read.text(path).where(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1)
+        if not torn.isEmpty():
+            raise ValueError("a quoted cell goes over a line break; read this input with multi_line=True")
     if schema is not None:
         return reader.schema(schema).csv(path)
     return infer_column_types(sentinels_to_null(reader.option("inferSchema", False).csv(path)))
@@ -56,7 +66,14 @@ def infer_column_types(df: DataFrame) -> DataFrame:
 def read_json(
     spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, lines: bool = False
 ) -> DataFrame:
-    """An array of records per file, or one record per line (``lines``), the form Spark can split."""
+    """An array of records per file, or one record per line (``lines``), the form Spark can split.
+
+    A file that is no array is refused in the first form: of several records, Spark would read one.
+    """
+    if not lines:
+        opening = F.substring(F.btrim("value", F.lit("\ufeff \t\r\n")), 1, 1)
+        if not spark.read.text(path, wholetext=True).where(opening != "[").isEmpty():
+            raise ValueError("not an array of records; read one record per line with lines=True")
     reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
@@ -68,14 +85,14 @@ def read_batch(spark: SparkSession, path: str | list[str], file_format: str, sch
 
 
 def land_raw(spark: SparkSession, path: str | list[str], file_format: str, root: str, table: str, at: datetime) -> str:
-    """Keep a batch as it came: cells as text, with their source file, under ``raw/{table}/ingest_ts=…``.
+    """Keep a batch as it came: its lines as text (``value``), their source file and order, under ``raw/{table}/ingest_ts=…``.
 
-    Reruns for the same time replace their own folder only. Returns the folder.
+    CSV and JSON are landed alike, in any layout; nothing is parsed, so no number or space changes. ``_line`` rises with
+    the place in a file. Reruns for the same time replace their own folder only. Returns the folder.
     """
-    if file_format.lower() == "csv":
-        raw = spark.read.option("header", True).option("escape", '"').csv(path)
-    else:
-        raw = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
+    if file_format.lower() not in FORMATS:
+        raise ValueError(f"unsupported file format {file_format!r}, expected one of {FORMATS}")
+    raw = spark.read.text(path).withColumns({"_block": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()})
     target = f"{root}/raw/{table}/ingest_ts={at:%Y%m%d_%H%M%S}"
     raw.withColumn("_source_file", F.col("_metadata.file_path")).write.mode("overwrite").parquet(target)
     return target

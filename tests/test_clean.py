@@ -109,7 +109,7 @@ def test_quantiles_by_narrowing(spark, max_inside):
         .otherwise(F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.col("id") * 1.5)).alias("x"),
         F.lit(None).cast("double").alias("none"), F.when(F.col("id") == 5, 1).alias("one"))
     probabilities = [0.0, 0.1, 0.25, 0.3333, 0.5, 0.75, 0.999, 1.0]
-    got = exact_quantiles(df, ["x", "none", "one"], probabilities, max_inside, direct_rows=0)
+    got = exact_quantiles(df, ["x", "none", "one"], probabilities, max_inside)
     want = df.agg(F.percentile("x", probabilities).alias("q")).first()["q"]
     assert got["x"] == pytest.approx(want, rel=1e-12)
     assert got["none"] == [None] * len(probabilities)

@@ -30,10 +30,9 @@ def scenarios_of(spark, *texts):
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "scenario_id int, scenario string")
 
 
-@pytest.mark.parametrize("inline", [256, 0])
-def test_matching_both_ways(spark, links, inline):
+def test_matching_both_ways(spark, links):
     s = scenarios_of(spark, "What about Supply Disruptions now", "storm", "s", "nothing", "TRANSFORMER", "", None)
-    got = {(r[0], r[1]) for r in match_events(s, links, inline).collect()}
+    got = {(r[0], r[1]) for r in match_events(s, links).collect()}
     events = {e for _, e, *_ in LINKS}
     want = {(i, e) for i, t in [(0, "what about supply disruptions now"), (1, "storm"), (2, "s"), (3, "nothing"),
                                 (4, "transformer"), (5, "")]
@@ -47,7 +46,7 @@ def test_pieces_equal_brute_force(spark):
     texts, events = words(30, 150), sorted(set(words(12, 60)))
     s = scenarios_of(spark, *(texts + [texts[0]] * 100))
     e = spark.createDataFrame([(x,) for x in events], "source_event string")
-    got = sorted((r[0], r[1]) for r in match_events(s, e, inline_events=0).collect())
+    got = sorted((r[0], r[1]) for r in match_events(s, e).collect())
     all_texts = texts + [texts[0]] * 100
     assert got == sorted((i, x) for i, t in enumerate(all_texts) for x in events if x in t.lower() or t.lower() in x)
 
@@ -60,7 +59,7 @@ def test_interventions(spark, links):
     done = simulate_interventions(steps, links)
     one = {r["affected_metric"]: r for r in done.where("scenario_id = 1").collect()}
     assert one["production_uptime"]["confidence"] == 0.92 and one["production_uptime"]["risk_level"] == "low"
-    assert one["revenue"]["confidence"] == pytest.approx(0.595) and one["revenue"]["risk_level"] == "medium"
+    assert one["revenue"]["confidence"] == 0.6 and one["revenue"]["risk_level"] == "medium"
     assert one["delivery_delay_hours"]["risk_level"] == "high"
     assert shown(done).where("affected_metric = 'production_uptime' and scenario_id = 1").first()["predicted_change"] == "+9.2%"
     assert sorted(r["confidence"] for r in done.where("scenario_id = 3").collect()) == [0.92, 1.0]
@@ -123,8 +122,8 @@ def test_nearest_neighbours_equal_brute_force(spark):
     for q, target in enumerate(queries):
         d = np.sqrt(((points.astype("float64") - np.asarray(target, dtype="float64")) ** 2).sum(axis=1))
         want += [(q, int(i), r + 1) for r, i in enumerate(np.lexsort((np.arange(400), d))[:5])]
-    for cells in (4_000_000, 8, 16):
-        got = nearest_batch(vectors, table, 5, max_query_cells=cells)
+    for blocks in ((16_384, 1_024), (50, 1), (33, 2)):
+        got = nearest_batch(vectors, table, 5, block_vectors=blocks[0], block_queries=blocks[1])
         assert sorted((r["query_id"], r["vec_id"], r["rank"]) for r in got.collect()) == sorted(want)
     one = [r["vec_id"] for r in nearest(vectors, [float(x) for x in queries[1]], 5).collect()]
     assert one == [i for q, i, _ in want if q == 1]

@@ -18,10 +18,10 @@ from clearwell.streaming.ingest import ingest_events, ingest_landing, parse_even
 
 NOW = datetime(2026, 7, 17, 12)
 CSV = """timestamp,machine_id,temperature,status
-2026-07-17T10:00:00Z,CNC-01,75.5,ACTIVE
-2026-07-17T10:01:00Z,CNC-02,,IDLE
-2026-07-17T10:01:00Z,CNC-02,,IDLE
-2026-07-17T10:02:00Z,CNC-01,80.1,ACTIVE
+2025-03-04T05:06:07Z,press-a,61.25,RUN
+2025-03-04T05:21:07Z,press-b,,HALT
+2025-03-04T05:21:07Z,press-b,,HALT
+2025-03-04T06:00:30Z,press-a,64.75,RUN
 """
 
 
@@ -50,7 +50,7 @@ def test_draft_then_confirmed(spark, catalog, csv_file):
     assert confirmed_baseline(catalog, "machine_logs").count() == 4
     published = read_json(spark, f"{catalog.root}/schemas/machine_logs", lines=True).first()
     assert published["table_name"] == "machine_logs"
-    assert read_raw(spark, catalog.root, "machine_logs").count() == 4
+    assert read_raw(spark, catalog.root, "machine_logs").count() == 5  # with the header
     override = {"table_name": "machine_logs", "columns": [{"name": "a", "data_type": "float"}]}
     confirm_schema(spark, catalog, "machine_logs", NOW, override)
     assert [r["column_name"] for r in confirmed_baseline(catalog, "machine_logs").collect()] == ["a"]
@@ -67,7 +67,7 @@ def test_end_to_end_run(spark, catalog, csv_file):
     done = run_table(spark, catalog, df, "machine_logs", NOW)
     assert (done.run["status"], done.run["version"]) == ("success", 1)
     assert (done.run["rows_input"], done.run["rows_deduplicated"], done.run["rows_output"]) == (4, 1, 3)
-    assert {r["status"] for r in done.df.collect()} == {"active", "idle"}
+    assert {r["status"] for r in done.df.collect()} == {"run", "halt"}
     assert [r["version"] for r in catalog["pipeline_runs"].listing(pipeline_name="default_transform").collect()] == [1]
     assert done.alerts is None
 
@@ -98,7 +98,7 @@ def test_failed_run_is_recorded(spark, catalog):
 def test_drift_and_repair_reach_the_ledgers(spark, catalog, tmp_path, csv_file):
     ingest_batch(spark, catalog, csv_file, "csv", "machine_logs", NOW, exact=True)
     confirm_schema(spark, catalog, "machine_logs", NOW)
-    rows = [("2026-07-18T10:00:00Z", "CNC-01", None if i % 3 else 70.0 + i, "extra") for i in range(30)]
+    rows = [("2026-07-18T10:00:00Z", "press-a", None if i % 3 else 70.0 + i, "extra") for i in range(30)]
     df = spark.createDataFrame(rows, "timestamp string, `Machine-ID` string, temperature double, note string")
     done = run_table(spark, catalog, df, "machine_logs", NOW)
     alerts = {(a["alert_type"], a["column_name"]): a for a in catalog["drift_alerts"].latest().collect()}
@@ -135,18 +135,18 @@ def test_landing_folder_reads_each_file_once(spark, tmp_path):
     schema = "log_id string, current_state string"
     write = lambda name, body: (landing / name).write_text("log_id,current_state\n" + body)
     run = lambda: ingest_landing(spark, str(landing), schema, target, str(tmp_path / "cp"), processed=str(done)).awaitTermination()
-    write("machine_logs_1.csv", "LOG-1,ACTIVE\n")
-    write("other.csv", "LOG-X,ACTIVE\n")
+    write("machine_logs_1.csv", "L1,RUN\n")
+    write("other.csv", "LX,RUN\n")
     run()
-    write("machine_logs_2.csv", "LOG-2,IDLE\n")
+    write("machine_logs_2.csv", "L2,HALT\n")
     run()
     run()
-    assert sorted(r["log_id"] for r in spark.read.parquet(target).collect()) == ["LOG-1", "LOG-2"]
+    assert sorted(r["log_id"] for r in spark.read.parquet(target).collect()) == ["L1", "L2"]
     assert not (landing / "machine_logs_1.csv").exists() and (landing / "other.csv").exists()
 
 
 def test_sensor_events(spark, tmp_path):
-    good = '{"timestamp":"2026-07-17T10:00:00Z","machine_id":"CNC-01","temperature_celsius":72.5}'
+    good = '{"timestamp":"2025-03-04T05:06:07Z","machine_id":"press-a","temperature_celsius":72.5}'
     rows = [(good,), ('{"timestamp":"soon","machine_id":"x"}',), ("not json",), (None,)]
     messages = spark.createDataFrame(rows, "payload string")
     parsed = parse_events(messages)
@@ -156,5 +156,5 @@ def test_sensor_events(spark, tmp_path):
     out, bad = str(tmp_path / "out"), str(tmp_path / "bad")
     ingest_events(stream, out, bad, str(tmp_path / "cp")).awaitTermination()
     row = spark.read.parquet(out).first()
-    assert row["machine_id"] == "CNC-01" and row["temperature_celsius"] == 72.5
+    assert row["machine_id"] == "press-a" and row["temperature_celsius"] == 72.5
     assert spark.read.parquet(bad).where(F.col("payload") == "not json").count() == 1

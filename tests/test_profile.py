@@ -63,10 +63,9 @@ def test_date_probe(spark):
                      "number": "string", "clock": "datetime"}
 
 
-def test_date_probe_of_first_rows_only(spark):
-    df = spark.createDataFrame([("2024-01-01",), ("later",)], "d string").coalesce(1)
-    assert profile(df, probe_rows=1).first()["data_type"] == "datetime"
-    assert profile(df).first()["data_type"] == "string"
+def test_date_probe_reads_every_row_and_ignores_padding(spark):
+    df = spark.createDataFrame([("2024-01-01", "2024-01-01"), ("later", " " * 60 + "2024-01-01 10:00:00")], "d string, p string").coalesce(1)
+    assert [r["data_type"] for r in profile(df).orderBy("ordinal").collect()] == ["string", "datetime"]
 
 
 def test_odd_column_names(spark):
