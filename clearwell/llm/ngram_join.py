@@ -13,6 +13,9 @@ Each pair passes the length, positional and suffix filters and is verified once,
 components is left unverified, and the components are those of all links. Components are the result, not the number of
 links, which for one group of near copies is quadratic whatever the plan.
 
+Joins are sort-merge joins at every size: none of the tables of ids, classes or lists has a bound that would let it be
+broadcast.
+
 Order of rareness: shingles that several sets of a block of text share are counted over all blocks; the most frequent
 (up to ``ORDER_ENTRIES``) are kept by the power of two of their count and sent to the tasks. All others count as
 rare and are ordered by hash. The order steers only the work: with any order the result is the same.
@@ -216,7 +219,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
     heads = celled.select(F.col("a").alias("doc_id"), F.col("a").alias("leader"), "salt", F.col("a").alias("member"),
                           F.lit(False).alias("is_member"), F.col("a_n").alias("n"), F.col("a_digest").alias("digest")).distinct()
     rows = asked.union(heads)
-    rows = rows.join(rows_asked_for(docs.select("doc_id", "text"), rows.select("doc_id"), "doc_id"), "doc_id")
+    rows = rows.join(rows_asked_for(docs.select("doc_id", "text"), rows.select("doc_id"), "doc_id").hint("merge"), "doc_id")
     return (rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "is_member")
             .select("leader", "salt", "member", "is_member", "n", "digest", "text")
             .mapInArrow(_cells(k, num, den), "u long, v long").distinct())
@@ -226,7 +229,7 @@ def _named(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFram
     """Pairs of classes by digest and size to pairs of their smallest doc_ids that pass the suffix filter."""
     for side in ("a", "b"):
         own = classes.select(F.col("digest").alias(f"{side}_digest"), F.col("n").alias(f"{side}_n"), F.col("rep").alias(side), *(F.col(p).alias(f"{side}_{p}") for p in _PARITY))
-        pairs = pairs.join(own, [f"{side}_digest", f"{side}_n"])
+        pairs = pairs.join(own.hint("merge"), [f"{side}_digest", f"{side}_n"])
     return pairs.where(_suffix_ok(num, den)).select("a", "a_n", "a_digest", "b", "b_n", "b_digest")
 
 
@@ -266,9 +269,9 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10) -> Data
     rest = stored(_across(lists, classes, found, tried, num, den), "candidates")
     if not rest.isEmpty():
         found = components(links.union(_verified(rest, docs, k, num, den)))
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
+    named = classes.join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select(
         "digest", "n", "class_size", F.coalesce("component", "rep").alias("component_id"))
-    linked = sets.join(named, ["digest", "n"], "left")
+    linked = sets.join(named.hint("merge"), ["digest", "n"], "left")
     alone = F.when(F.col("n") == 0, F.col("doc_id"))
     return linked.select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
@@ -282,20 +285,20 @@ def _across(lists: DataFrame, classes: DataFrame, found: DataFrame, tried: DataF
     all the list's classes; those inside it need no pair. All filters stand in the join's condition.
     """
     long_ones = lists.groupBy("token").count().where("count >= 3").select("token")  # a list's first class is no row of its own
-    rows = stored(lists.join(long_ones, "token", "left_semi"), "long-lists")
-    parts = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
+    rows = stored(lists.join(long_ones.hint("merge"), "token", "left_semi"), "long-lists")
+    parts = classes.join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select(
         "digest", "n", *_PARITY, F.coalesce("component", "rep").alias("part"))
     members = rows.select("token", "digest", "n", "pos").union(
-        rows.where("first_digest = last_digest and first_n = last_n").select("token", "first_digest", "first_n", "first_pos")).join(parts, ["digest", "n"])
+        rows.where("first_digest = last_digest and first_n = last_n").select("token", "first_digest", "first_n", "first_pos")).join(parts.hint("merge"), ["digest", "n"])
     members = stored(members, "open-lists")
     split = members.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token")
-    largest = members.join(split, "token", "left_semi").groupBy("token", "part").count().groupBy("token").agg(
+    largest = members.join(split.hint("merge"), "token", "left_semi").groupBy("token", "part").count().groupBy("token").agg(
         F.max_by("part", F.struct("count", "part")).alias("main"))
-    a = members.join(largest, "token").where("part <> main")
+    a = members.join(largest.hint("merge"), "token").where("part <> main")
     side = lambda x, s: x.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("digest", "n", "pos", "part", *_PARITY)))
     # a pair may come from both sides: the smaller digest leads
     low = F.struct("a_digest", "a_n") < F.struct("b_digest", "b_n")
-    pairs = (side(a, "a").join(side(members, "b"), "token")
+    pairs = (side(a, "a").join(side(members, "b").hint("merge"), "token")
              .where((F.col("a_part") != F.col("b_part")) & _may_link(num, den, "a_", "b_") & _suffix_ok(num, den))
              .select(*(F.when(low, F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{x}_{c}")
                        for x, y in (("a", "b"), ("b", "a")) for c in ("digest", "n"))).distinct())
