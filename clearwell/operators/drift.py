@@ -18,7 +18,7 @@ from clearwell.functions.fixed_values import (
     NULL_RATE_MAX,
     OUTLIER_SHARE_MAX,
 )
-from clearwell.functions.numeric import present
+from clearwell.functions.numeric import missing, present
 from clearwell.functions.types import LOGICAL_TYPES, numeric_columns, quoted
 from clearwell.operators.profile import profile
 from clearwell.operators.quantiles import exact_quantiles
@@ -179,6 +179,17 @@ def outlier_stats(
     return df.agg(*aggs).select(F.inline(F.array(*entries))).where("value_count > 2")
 
 
+def null_counts(df: DataFrame) -> DataFrame:
+    """(column_name, null_count, row_count) in one aggregation."""
+    names = df.columns
+    types = dict(df.dtypes)
+    one_row = df.agg(F.count(F.lit(1)).alias("n"), *[
+        F.count_if(missing(F.col(quoted(c)), types[c])).alias(f"m{i}") for i, c in enumerate(names)])
+    return one_row.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"m{i}").alias("null_count"), F.col("n").alias("row_count"))
+        for i, c in enumerate(names)])))
+
+
 def null_spikes(current: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
     return _emit(current, [_null_alert(thresholds)])
 
@@ -206,7 +217,7 @@ def detect_drift(
     """
     current = profile(df, exact=exact, probe_dates=probe_dates)
     if raw is not None:
-        nulls = profile(raw, probe_dates=False).select("column_name", "null_count", "row_count")
+        nulls = null_counts(raw)
         current = current.drop("null_count", "row_count").join(nulls, "column_name", "left")
     stats = _joined(current, baseline).join(
         outlier_stats(df, multiplier=thresholds.iqr_multiplier, approximate=not exact), "column_name", "left"

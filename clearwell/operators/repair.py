@@ -119,13 +119,18 @@ def clamp_outliers(df: DataFrame, bounds: dict[str, Bounds]) -> DataFrame:
 def clamp_counts(df: DataFrame, bounds: dict[str, Bounds]) -> dict[str, tuple[int, int]]:
     if not bounds:
         return {}
+    row = clamp_count_row(df, bounds).first()
+    return {c: (row[f"l{i}"], row[f"h{i}"]) for i, c in enumerate(bounds)}
+
+
+def clamp_count_row(df: DataFrame, bounds: dict[str, Bounds]) -> DataFrame:
+    """One row: values below (``l0``, ``l1``, ...) and above (``h0``, ...) the bounds, by the order of the columns."""
     types = dict(df.dtypes)
     aggs = []
     for i, (c, b) in enumerate(bounds.items()):
         v = present(F.col(quoted(c)), types[c]).cast("double")
         aggs += [F.count_if(v < b.low).alias(f"l{i}"), F.count_if(v > b.high).alias(f"h{i}")]
-    row = df.agg(*aggs).first()
-    return {c: (row[f"l{i}"], row[f"h{i}"]) for i, c in enumerate(bounds)}
+    return df.agg(*aggs)
 
 
 def cast_expression(c: Column, target: str) -> Column:

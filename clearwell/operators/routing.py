@@ -58,14 +58,18 @@ def dashboard_group(c: Column) -> Column:
     return first_group(c, DASHBOARD_PHRASES, DEFAULT_DASHBOARD)
 
 
+WIDGET_SETTINGS = ("data_source", "x_axis", "y_axis", "simulation_endpoint", "value", "max")
+
+
 def dashboards(goals: DataFrame, text: str = "goal") -> DataFrame:
     """Group and widget list per goal; the widget sets are fixed, so they are literals of a case expression."""
 
     def widgets(group: str) -> Column:
         return F.array(*[
             F.struct(F.lit(name).alias("id"), F.lit(kind).alias("type"), F.lit(row).alias("row"),
-                     F.lit(col).alias("col"), F.lit(width).alias("width"), F.lit(title).cast("string").alias("title"))
-            for g, name, kind, row, col, width, title in DASHBOARD_WIDGETS if g in ("all", group)
+                     F.lit(col).alias("col"), F.lit(width).alias("width"), F.lit(title).cast("string").alias("title"),
+                     *[F.lit(settings.get(s)).cast("string").alias(s) for s in WIDGET_SETTINGS])
+            for g, name, kind, row, col, width, title, settings in DASHBOARD_WIDGETS if g in ("all", group)
         ])
 
     chosen = None

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearwell.functions.fixed_values import TRUST_APPROVED, TRUST_NOT_APPROVED
 from clearwell.functions.numeric import clamp
+from clearwell.operators.ranking import number_rows
 
 DECISIONS = ("approved", "rejected")
+#: Steps of a table's history that are folded to one triple.
+STRETCH = 4096
 
 
 def latest_state(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -33,9 +33,16 @@ def newest_first(table: DataFrame, time: str = "created_at", **equals: object) -
 
 def upsert_catalog(catalog: DataFrame, changes: DataFrame) -> DataFrame:
     """Insert or replace tables by name. Both sides: table_name, zone, storage_path, trust_score,
-    freshness_timestamp, seq; a change has a higher ``seq`` than what it replaces."""
+    freshness_timestamp, seq; a change has a higher ``seq`` than what it replaces. Where the catalog has ``created_at``, a
+    table keeps that of its oldest entry."""
     changes = changes.withColumn("trust_score", F.coalesce("trust_score", F.lit(100.0)))
-    return latest_state(catalog.unionByName(changes), ["table_name"], ["seq"])
+    both = catalog.unionByName(changes)
+    state = latest_state(both, ["table_name"], ["seq"])
+    if "created_at" not in catalog.columns:
+        return state
+    first = both.groupBy(F.col("table_name").alias("_name")).agg(F.min_by("created_at", "seq").alias("_created"))
+    return state.join(first, F.col("table_name").eqNullSafe(F.col("_name")), "left").withColumn(
+        "created_at", F.col("_created")).drop("_name", "_created")
 
 
 def update_trust(catalog: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,48 +76,32 @@ def fold_feedback(feedback: DataFrame, start: float = 100.0, partitions: int | N
     """Trust per table after all its feedback in order: ``feedback(table_name, seq, status)``.
 
     Each step is ``min(100, max(0, x + a))``. Steps compose into the triple (shift, low, high), so a table's history
-    can be cut anywhere: rows are range-partitioned by table and sequence, every task reduces its stretch to one
-    triple per table, and a table's few triples are then composed in order. A hot table spreads over many tasks.
+    can be cut anywhere: its rows are numbered, runs of ``STRETCH`` rows are folded to one triple each, and a table's
+    triples are then composed in order. A hot table spreads over many tasks. A null table name is a name of its own.
     """
-    spark = feedback.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     steps = feedback.select(
-        "table_name", "seq",
+        F.struct("table_name").alias("name"), "seq",
         F.when(F.col("status") == "approved", TRUST_APPROVED).otherwise(TRUST_NOT_APPROVED).alias("shift"),
-    )
-    stretches = (
-        steps.repartitionByRange(n, "table_name", "seq")
-        .sortWithinPartitions("table_name", "seq")
-        .mapInPandas(_compose_stretches, "table_name string, seq bigint, shift double, low double, high double")
-    )
+    ).withColumn("key", F.to_json("name"))
+    numbered = number_rows(steps, ["key"], [F.asc("seq"), F.asc("shift")], "n", partitions)
+
+    def step(x: Column, a: Column) -> Column:
+        bound = lambda v: F.least(F.lit(100.0), F.greatest(F.lit(0.0), v))
+        return F.struct((x["shift"] + a["shift"]).alias("shift"), bound(x["low"] + a["shift"]).alias("low"),
+                        bound(x["high"] + a["shift"]).alias("high"))
 
     def compose(x: Column, t: Column) -> Column:
         return F.least(t["high"], F.greatest(t["low"], x + t["shift"]))
 
-    # one triple per table and task that holds rows of it
-    triples = F.sort_array(F.collect_list(F.struct("seq", "shift", "low", "high")))
-    return stretches.groupBy("table_name").agg(
-        F.bround(F.aggregate(triples, F.lit(float(start)), compose), 2).alias("trust_score")
-    )
-
-
-def _compose_stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Reduce sorted steps to one (shift, low, high) triple per table."""
-    table, first, shift, low, high = None, 0, 0.0, 0.0, 100.0
-    for pdf in batches:
-        done = []
-        for name, seq, a in zip(pdf["table_name"], pdf["seq"], pdf["shift"]):
-            if name != table:
-                if table is not None:
-                    done.append((table, first, shift, low, high))
-                table, first, shift, low, high = name, seq, a, 0.0, 100.0
-            else:
-                shift += a
-                low, high = min(100.0, max(0.0, low + a)), min(100.0, max(0.0, high + a))
-        if done:
-            yield pd.DataFrame(done, columns=["table_name", "seq", "shift", "low", "high"])
-    if table is not None:
-        yield pd.DataFrame([(table, first, shift, low, high)], columns=["table_name", "seq", "shift", "low", "high"])
+    # nothing done yet: any score stays what it is
+    idle = F.struct(F.lit(0.0).alias("shift"), F.lit(0.0).alias("low"), F.lit(100.0).alias("high"))
+    run = F.sort_array(F.collect_list(F.struct("n", "shift")))  # STRETCH rows at most
+    stretches = numbered.groupBy("key", F.expr(f"(n - 1) div {STRETCH}").alias("stretch")).agg(
+        F.first("name").alias("name"), F.aggregate(run, idle, step).alias("t"))
+    triples = F.sort_array(F.collect_list(F.struct("stretch", "t")))
+    return stretches.groupBy("key").agg(F.first("name").alias("name"), F.bround(F.aggregate(
+        F.transform(triples, lambda x: x["t"]), F.lit(float(start)), compose), 2).alias("trust_score")).select(
+            "name.table_name", "trust_score")
 
 
 def queue_actions(requests: DataFrame) -> DataFrame:

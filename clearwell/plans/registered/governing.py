@@ -124,9 +124,17 @@ def mask_redact(spark, sf_dir):
     return mask_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], "redact")
 
 
-@REGISTRY.add("noise_mask")
+@REGISTRY.add(
+    "noise_mask", "SELECT count(*) AS n, TRUE AS most_changed, TRUE AS mean_fits, TRUE AS tail_fits, TRUE AS balanced FROM orders")
 def noise(spark, sf_dir):
-    return noise_mask(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 0.5, 42, row_key=["o_orderkey"])
+    """What must hold of the draw: scale 2 is the mean distance, a quarter lies beyond 2 ln 4, and signs are balanced."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    noisy = noise_mask(orders.withColumn("noisy", F.col("o_totalprice")), 0.5, 42, row_key=["o_orderkey", "o_totalprice"])
+    d = F.col("noisy") - F.col("o_totalprice")
+    return noisy.agg(
+        F.count(F.lit(1)).alias("n"), (F.avg((d != 0).cast("int")) > 0.95).alias("most_changed"), (F.abs(F.avg(F.abs(d)) - 2) < 0.2).alias("mean_fits"),
+        (F.abs(F.avg((F.abs(d) > 2.772588722239781).cast("int")) - 0.25) < 0.03).alias("tail_fits"),
+        (F.abs(F.avg((d > 0).cast("int")) - 0.5) < 0.05).alias("balanced"))
 
 
 @REGISTRY.add("noise_mask_keys", "SELECT o_orderkey, o_orderstatus, TRUE AS changed_little FROM orders")

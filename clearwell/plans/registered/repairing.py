@@ -13,7 +13,7 @@ from clearwell.operators.repair import (
     cast_errors,
     choose_repair,
     clamp_bounds,
-    clamp_counts,
+    clamp_count_row,
     clamp_outliers,
     coerce_schema,
     gate,
@@ -110,8 +110,8 @@ def clamp_iqr(spark, sf_dir):
 )
 def clamp_count_rows(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_extendedprice")
-    low, high = clamp_counts(lines, clamp_bounds(lines, ["l_extendedprice"], sigma=1.0))["l_extendedprice"]
-    return lines.limit(0).agg(F.lit(low).cast("bigint").alias("clamped_low"), F.lit(high).cast("bigint").alias("clamped_high"))
+    counts = clamp_count_row(lines, clamp_bounds(lines, ["l_extendedprice"], sigma=1.0))
+    return counts.select(F.col("l0").alias("clamped_low"), F.col("h0").alias("clamped_high"))
 
 
 # Readings as text: purchases are words, views lose their fraction, the others are plain numbers.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clearwell.functions.fixed_values import DASHBOARD_PHRASES, INTENT_PHRASES, RISKY_TASK_PHRASES, SPECIALIST_PHRASES
 from clearwell.operators.bi import kpi_sentence, kpi_trend, narrative
-from clearwell.operators.routing import dashboards, intent, route, routed_requests, task_gate, task_requests
+from clearwell.operators.routing import WIDGET_SETTINGS, dashboards, intent, route, routed_requests, task_gate, task_requests
 from clearwell.operators.state import queue_actions
 from clearwell.plans.registered.base import Registry, table
 
@@ -83,8 +83,16 @@ GOAL = """CASE c_mktsegment WHEN 'MACHINERY' THEN 'Improve Production at ' || c_
     ELSE 'Overview of ' || c_name END"""
 GROUP_SQL = groups_sql(DASHBOARD_PHRASES, "overview", "goal")
 GOALS_SQL = f"g AS (SELECT c_custkey AS goal_id, {GOAL} AS goal FROM customer)"
-WIDGETS_SQL = """CASE dashboard WHEN 'production' THEN 'kpi-row,production-trend,maintenance-schedule,what-if-sim'
-    WHEN 'finance' THEN 'kpi-row,revenue-breakdown,cost-trend' ELSE 'kpi-row,data-quality,agent-activity' END"""
+# Every field of every widget, in the order of the dashboard.
+WIDGETS_SQL = """CASE dashboard WHEN 'production' THEN
+    'kpi-row;kpi_row;0;0;12;;;;;;;,production-trend;line_chart;1;0;6;Production Uptime Trend;/api/v1/bi/query;month;uptime_pct;;;'
+    || ',maintenance-schedule;bar_chart;1;6;6;Maintenance Events by Region;/api/v1/bi/query;region;event_count;;;'
+    || ',what-if-sim;what_if_widget;2;0;12;What-If: Adjust Maintenance Budget;;;;/api/v1/decision/simulate;;'
+    WHEN 'finance' THEN
+    'kpi-row;kpi_row;0;0;12;;;;;;;,revenue-breakdown;bar_chart;1;0;6;Revenue by Product Line;/api/v1/bi/query;product;revenue;;;'
+    || ',cost-trend;line_chart;1;6;6;Operating Cost Trend;/api/v1/bi/query;quarter;cost;;;'
+    ELSE 'kpi-row;kpi_row;0;0;12;;;;;;;,data-quality;gauge_chart;1;0;4;Data Quality Score;;;;;87;100'
+    || ',agent-activity;table;1;4;8;Recent Agent Actions;/api/v1/agents/approvals;;;;;' END"""
 
 
 def _goals(spark, sf_dir):
@@ -98,7 +106,9 @@ def _goals(spark, sf_dir):
 )
 def goal_widgets(spark, sf_dir):
     done = dashboards(_goals(spark, sf_dir))
-    return done.select("goal_id", "dashboard", F.array_join(F.transform("widgets", lambda w: w["id"]), ",").alias("widgets"))
+    fields = ("id", "type", "row", "col", "width", "title", *WIDGET_SETTINGS)
+    shown = lambda w: F.array_join(F.array(*[F.coalesce(w[f].cast("string"), F.lit("")) for f in fields]), ";")
+    return done.select("goal_id", "dashboard", F.array_join(F.transform("widgets", shown), ",").alias("widgets"))
 
 
 @REGISTRY.add(

@@ -18,6 +18,8 @@ from clearwell.operators.state import (
     upsert_catalog,
 )
 from clearwell.plans.registered.base import Registry, table
+from clearwell.session import scratch_path
+from clearwell.sources.ledger import Catalog
 
 REGISTRY = Registry()
 
@@ -48,6 +50,39 @@ def latest_catalog(spark, sf_dir):
         "freshness_timestamp")
 
 
+@REGISTRY.add(
+    "catalog_upsert",
+    """WITH o AS (SELECT 'tbl_' || o_custkey AS table_name, o_orderstatus AS zone, o_totalprice / 10000 AS trust_score, o_orderdate, o_orderkey FROM orders)
+    SELECT table_name, arg_max(zone, (o_orderdate, o_orderkey)) AS zone, arg_max(trust_score, (o_orderdate, o_orderkey)) AS trust_score,
+           epoch_us(min(o_orderdate)) AS created FROM o GROUP BY table_name""",
+)
+def catalog_upsert(spark, sf_dir):
+    """Orders of the later years replace the catalog of the earlier ones; a table keeps the time it was made."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("tbl_"), "o_custkey").alias("table_name"), F.col("o_orderstatus").alias("zone"),
+        F.lit("lake").alias("storage_path"), (F.col("o_totalprice") / 10000).alias("trust_score"),
+        F.col("o_orderdate").alias("freshness_timestamp"), F.col("o_orderdate").alias("created_at"),
+        (F.unix_date(F.to_date("o_orderdate")).cast("long") * 10_000_000_000 + F.col("o_orderkey")).alias("seq"))
+    early = F.year("created_at") < 1995
+    catalog = upsert_catalog(orders.limit(0), orders.where(early))
+    done = upsert_catalog(catalog, orders.where(~early))
+    return done.select("table_name", "zone", "trust_score", F.unix_micros(F.col("created_at").cast("timestamp")).alias("created"))
+
+
+@REGISTRY.add(
+    "ledger_listing",
+    "SELECT epoch_us(o_orderdate) AS at, o_totalprice AS value, CAST(o_orderkey AS VARCHAR) AS tag FROM orders WHERE o_orderstatus = 'F'")
+def ledger_listing(spark, sf_dir):
+    """Orders appended to the metric ledger in three batches, and one metric listed."""
+    ledger = Catalog(spark, scratch_path(spark, "ledgers"))["metric_log"]
+    orders = table(spark, sf_dir, "orders")
+    for part in range(3):
+        ledger.append(orders.where(F.col("o_orderkey") % 3 == part).select(
+            F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderstatus").alias("metric"),
+            F.col("o_totalprice").cast("double").alias("value"), F.create_map(F.lit("order"), F.col("o_orderkey").cast("string")).alias("tags")))
+    return ledger.listing(metric="F").select(F.unix_micros("ts").alias("at"), "value", F.col("tags")["order"].alias("tag"))
+
+
 def _scores(spark, sf_dir):
     customer = table(spark, sf_dir, "customer")
     return customer.select(

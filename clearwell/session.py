@@ -19,6 +19,7 @@ def build_session(app_name: str = "clearwell", master: str | None = None, **conf
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # a hot join key is worth one more shuffle when a later step needs the same key
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     )

@@ -16,6 +16,10 @@ SENSOR_SCHEMA = (
 )
 
 
+#: Take what is there now and stop.
+ONCE = {"availableNow": True}
+
+
 def read_topic(spark: SparkSession, servers: str, topic: str = DEFAULT_TOPIC) -> DataFrame:
     """Messages of a topic as text; needs the Kafka connector on the class path."""
     stream = (
@@ -53,27 +57,31 @@ def parse_events(messages: DataFrame, schema: str = SENSOR_SCHEMA, required: tup
 
 def ingest_events(
     messages: DataFrame, target: str, quarantine: str, checkpoint: str, schema: str = SENSOR_SCHEMA,
-    required: tuple[str, ...] = ("timestamp", "machine_id"),
+    required: tuple[str, ...] = ("timestamp", "machine_id"), trigger: dict | None = None,
 ) -> StreamingQuery:
     """Write readable messages to ``target`` and the others, untouched, to ``quarantine``.
 
-    Each batch goes to its own ``batch_id`` folder with overwrite, so a repeated batch replaces itself.
+    Each batch goes to its own ``batch_id`` folder with overwrite, so a repeated batch replaces itself. ``trigger`` is what
+    ``DataStreamWriter.trigger`` takes, ``{"processingTime": "10 seconds"}`` for a stream that keeps running.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         parsed = parse_events(batch, schema, required)
         parsed.persist()
-        parsed.where("valid").drop("payload", "valid").write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
-        parsed.where("not valid").select("payload").write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
-        parsed.unpersist()
+        try:
+            parsed.where("valid").drop("payload", "valid").write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+            parsed.where("not valid").select("payload").write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
+        finally:
+            parsed.unpersist()
 
     return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start()
+        **(trigger or ONCE)).start()
 
 
 def ingest_landing(
     spark: SparkSession, landing: str, schema: T.StructType | str, target: str, checkpoint: str,
     pattern: str = "machine_logs_*.csv", processed: str | None = None, options: dict[str, str] | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Take in every new file of a landing folder that matches a pattern.
 
@@ -86,7 +94,7 @@ def ingest_landing(
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", processed)
     rows = reader.csv(landing).withColumn("_source_file", F.col("_metadata.file_path"))
     return rows.writeStream.format("parquet").option("path", target).option(
-        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        "checkpointLocation", checkpoint).trigger(**(trigger or ONCE)).start()
 
 
 def dedup_events(events: DataFrame, keys: list[str], time: str, lateness: str = "10 minutes") -> DataFrame:
@@ -105,23 +113,25 @@ def rollup(events: DataFrame, time: str, window: str, by: list[str], value: str,
     )
 
 
-def write_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append a stream to Parquet files and stop at the end of what is there now."""
+def write_files(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append a stream to Parquet files; without a ``trigger`` it stops at the end of what is there now."""
     return stream.writeStream.format("parquet").outputMode("append").option("path", path).option(
-        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        "checkpointLocation", checkpoint).trigger(**(trigger or ONCE)).start()
 
 
 def watch_drift(
     stream: DataFrame, baseline: DataFrame, target: str, checkpoint: str, thresholds: Thresholds = Thresholds(),
-    exact: bool = False,
+    exact: bool = False, trigger: dict | None = None,
 ) -> StreamingQuery:
     """Check every micro-batch against a baseline and write its alerts to its own ``batch_id`` folder."""
 
     def check(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        alerts = detect_drift(batch, baseline, thresholds, exact=exact)
-        alerts.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
-        batch.unpersist()
+        try:
+            alerts = detect_drift(batch, baseline, thresholds, exact=exact)
+            alerts.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start()
+        **(trigger or ONCE)).start()
