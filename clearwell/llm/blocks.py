@@ -31,8 +31,8 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``BLOCK_BYTES`` of text."""
+def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``limit`` bytes of text."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -41,7 +41,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + BLOCK_BYTES, side="right")))
+            stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
 

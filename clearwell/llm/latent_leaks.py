@@ -32,6 +32,8 @@ PASSAGE, STEP = 64, 8
 COSINE, COVERED, ANSWER_WORDS, ANSWER_COVERED = 0.6, 0.75, 5, 0.6
 #: Items that are sent to the tasks at once: RANK * 4 bytes and their words each.
 ITEM_BLOCK = 20_000
+#: Packed terms that a task unfolds at once: half a million words, each a row of floats.
+TERM_BYTES = 1 << 20
 #: Items with fewer words are too short to say anything.
 LEAST_WORDS = 5
 
@@ -88,7 +90,7 @@ def inverse_frequencies(terms: DataFrame) -> np.ndarray:
     """log((1 + documents) / (1 + documents with the term)) + 1, over all documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(TERMS + 1)
-        for batch in text_blocks(batches, "terms"):
+        for batch in text_blocks(batches, "terms", TERM_BYTES):
             x, at = _unpacked(batch)
             doc = np.repeat(np.arange(batch.num_rows), np.diff(at))
             # a term's first place in a document, found without sorting: the last write of a reversed pass is the first place
@@ -120,7 +122,7 @@ def latent_basis(terms: DataFrame, idf: np.ndarray, rank: int = RANK, extra: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = weighted.value
         z = np.zeros((TERMS, g.shape[1]))
-        for batch in text_blocks(batches, "terms"):
+        for batch in text_blocks(batches, "terms", TERM_BYTES):
             x, at = _unpacked(batch)
             if not len(x):
                 continue
@@ -170,7 +172,7 @@ def _finder(basis, items, cosine: float, covered: float, answer_covered: float):
         sizes = sorted(set(windows))
         by_size = {n: np.flatnonzero(np.array(windows) == n) for n in sizes}
         targets = {n: _unit(np.array([b[words[i]].sum(axis=0) for i in by_size[n]])) for n in sizes}
-        for batch in text_blocks(batches, "terms"):
+        for batch in text_blocks(batches, "terms", TERM_BYTES):
             x, at = _unpacked(batch)
             out = []
             if len(x) and sizes:
