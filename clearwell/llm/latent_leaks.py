@@ -24,12 +24,16 @@ from clearwell.llm.blocks import hash_strings, split_words, stored, text_blocks
 #: Term numbers that words are hashed to; also the height of the random matrix.
 TERMS = 1 << 14
 #: Latent dimensions, and further random directions that are cut off after the decomposition.
-RANK, EXTRA = 32, 8
+RANK, EXTRA = 40, 8
 #: Words of a passage for the decomposition, and the step between windows.
 PASSAGE, STEP = 64, 8
 #: Least cosine of a candidate window, least share of an item's words in the common subsequence, words of an answer and
 #: least share of them that the window must hold in order.
-COSINE, COVERED, ANSWER_WORDS, ANSWER_COVERED = 0.6, 0.75, 5, 0.6
+COSINE, COVERED, ANSWER_WORDS, ANSWER_COVERED = 0.65, 0.75, 5, 0.6
+#: Log-frequency that is taken off a term's weight: terms in more than a fifth of the documents are left with ``LEAST_WEIGHT``.
+COMMON, LEAST_WEIGHT = 1.5, 0.05
+#: Cosines that a task holds at once.
+COSINE_CELLS = 8 << 20
 #: Items that are sent to the tasks at once: RANK * 4 bytes and their words each.
 ITEM_BLOCK = 20_000
 #: Packed terms that a task unfolds at once: half a million words, each a row of floats.
@@ -87,7 +91,7 @@ def _sliced(x: np.ndarray, slices: int = 16) -> pa.RecordBatch:
 
 
 def inverse_frequencies(terms: DataFrame) -> np.ndarray:
-    """log((1 + documents) / (1 + documents with the term)) + 1, over all documents."""
+    """log((1 + documents) / (1 + documents with the term)) - COMMON, LEAST_WEIGHT at least, over all documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(TERMS + 1)
         for batch in text_blocks(batches, "terms", TERM_BYTES):
@@ -106,11 +110,11 @@ def inverse_frequencies(terms: DataFrame) -> np.ndarray:
     held = _summed(terms.select("terms").mapInArrow(run, "slice int, part binary"))
     if not len(held):
         return np.ones(TERMS)
-    return np.log((1 + held[TERMS]) / (1 + held[:TERMS])) + 1
+    return np.maximum(np.log((1 + held[TERMS]) / (1 + held[:TERMS])) - COMMON, LEAST_WEIGHT)
 
 
 def latent_basis(terms: DataFrame, idf: np.ndarray, rank: int = RANK, extra: int = EXTRA) -> np.ndarray:
-    """TERMS x rank: IDF times the leading right singular vectors of all passages' TF-IDF matrix A.
+    """TERMS x rank: IDF times the leading right singular vectors of all passages' TF-IDF matrix A, each over its singular value.
 
     One pass over the corpus forms Z = A^T (A G) for a random G. Q is an orthonormal basis of Z, and the small matrix
     T = (Q^T Z)(Q^T G)^+ stands for Q^T A^T A Q; its eigenvectors turn Q to singular vectors.
@@ -144,7 +148,9 @@ def latent_basis(terms: DataFrame, idf: np.ndarray, rank: int = RANK, extra: int
     q, _ = np.linalg.qr(z)
     t = (q.T @ z) @ np.linalg.pinv(q.T @ random)
     values, vectors = np.linalg.eigh((t + t.T) / 2)
-    return ((q @ vectors[:, np.argsort(-values)[:rank]]) * idf[:, None]).astype(np.float32)
+    top = np.argsort(-values)[:rank]
+    singular = np.sqrt(np.maximum(values[top], 1e-4 * max(values[top[0]], 1e-9)))
+    return ((q @ vectors[:, top]) * idf[:, None] / singular).astype(np.float32)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -164,46 +170,63 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
 
 
+def _marks(terms: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which of 256 marks the terms of each run set; a run without a mark lacks all terms of that mark."""
+    out = np.zeros((len(starts), 4), dtype=np.uint64)
+    bit = np.left_shift(np.uint64(1), (terms & 63).astype(np.uint64))
+    for k in range(4):
+        out[:, k] = np.bitwise_or.reduceat(np.where((terms >> 6) & 3 == k, bit, np.uint64(0)), starts)
+    return out
+
+
 def _finder(basis, items, cosine: float, covered: float, answer_covered: float):
-    """Leaks (doc_id, item_id, start, cosine, covered) in batches of packed terms."""
+    """Leaks (doc_id, item_id, start, cosine, covered) in batches of packed terms.
+
+    A near window whose marks lack more of an item's than may be missing cannot cover it, which spares most subsequences.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = basis.value
         ids, words, answers, windows = items.value
         sizes = sorted(set(windows))
         by_size = {n: np.flatnonzero(np.array(windows) == n) for n in sizes}
         targets = {n: _unit(np.array([b[words[i]].sum(axis=0) for i in by_size[n]])) for n in sizes}
+        marks = np.concatenate([_marks(w, np.zeros(1, dtype=np.int64)) for w in words]) if words else None
+        may_miss = np.array([len(w) - int(np.ceil(covered * len(w))) for w in words])
         for batch in text_blocks(batches, "terms", TERM_BYTES):
             x, at = _unpacked(batch)
-            out = []
+            best: dict[tuple[int, int], tuple[float, float, int]] = {}
             if len(x) and sizes:
                 size = np.diff(at)
                 # sums over steps of STEP words, begun anew in each document; windows are runs of steps
                 own = np.arange(len(x)) - np.repeat(at[:-1], size)
                 starts = np.flatnonzero(own % STEP == 0)
                 steps = np.vstack([np.zeros((1, b.shape[1])), np.cumsum(np.add.reduceat(b[x], starts, axis=0), axis=0, dtype=np.float64)])
+                step_marks = np.pad(_marks(x, starts), ((1, sizes[-1] // STEP + 1), (0, 0)))
                 steps_of = -(-size // STEP)
                 first = np.concatenate([[0], np.cumsum(steps_of)])
                 doc = np.repeat(np.arange(len(size)), steps_of)
                 last = first[1:][doc]
                 for n in sizes:
                     ends = np.minimum(np.arange(len(doc)) + n // STEP, last)
-                    near = _unit((steps[ends] - steps[:-1]).astype(np.float32)) @ targets[n].T
-                    at_step, item = np.nonzero(near >= cosine)
-                    done: set[tuple[int, int]] = set()
-                    for s, j in zip(at_step.tolist(), item.tolist()):
-                        d, i = int(doc[s]), int(by_size[n][j])
-                        if (d, i) in done:
-                            continue
-                        low = at[d] + (s - first[d]) * STEP
-                        window = x[max(at[d], low - STEP) : min(at[d + 1], low + n + STEP)]
-                        share = common_subsequence(words[i], window) / len(words[i])
-                        if share >= covered and common_subsequence(answers[i], window) >= answer_covered * len(answers[i]):
-                            done.add((d, i))
-                            out.append((d, ids[i], int(low - at[d]), float(near[s, j]), share))
-            keep = [o for o in out]
-            docs = batch.column("doc_id").take(pa.array([o[0] for o in keep], pa.int64()))
+                    window = _unit((steps[ends] - steps[:-1]).astype(np.float32))
+                    lacks = ~np.bitwise_or.reduce([step_marks[j : j + len(doc)] for j in range(n // STEP + 2)])
+                    height = max(1, COSINE_CELLS // len(by_size[n]))
+                    for low in range(0, len(doc), height):
+                        near = window[low : low + height] @ targets[n].T
+                        at_step, item = np.nonzero(near >= cosine)
+                        cos, at_step, item = near[at_step, item], at_step + low, by_size[n][item]
+                        missing = np.bitwise_count(marks[item] & lacks[at_step]).sum(axis=1, dtype=np.int64)
+                        keep = np.flatnonzero(missing <= may_miss[item])
+                        for s, i, c in zip(at_step[keep].tolist(), item[keep].tolist(), cos[keep].tolist()):
+                            d, at_word = int(doc[s]), int(s - first[doc[s]]) * STEP
+                            held = x[at[d] + max(0, at_word - STEP) : min(at[d + 1], at[d] + at_word + n + STEP)]
+                            share = common_subsequence(words[i], held) / len(words[i])
+                            if share >= covered and common_subsequence(answers[i], held) >= answer_covered * len(answers[i]):
+                                best[d, i] = max(best.get((d, i), (0.0, 0.0, 0)), (share, c, -at_word))
+            found = [(d, ids[i], -at_word, c, share) for (d, i), (share, c, at_word) in best.items()]
+            docs = batch.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
             yield pa.record_batch(
-                [docs, *(pa.array([o[k] for o in keep], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()), (4, pa.float64())))],
+                [docs, *(pa.array([f[k] for f in found], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()), (4, pa.float64())))],
                 names=["doc_id", "item_id", "start", "cosine", "covered"])
 
     return run
@@ -233,8 +256,8 @@ def find_leaks(
         numbers, at = term_numbers(pa.array([r.text for r in own], pa.string()))
         words = [numbers[s:e].astype(np.int64) for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
         kept = [i for i, w in enumerate(words) if len(w) >= LEAST_WORDS]
-        # windows have a few lengths only, each the next multiple of two steps
-        sizes = [max(2 * STEP, -(-len(words[i]) // (2 * STEP)) * 2 * STEP) for i in kept]
+        # windows are as long as the item, up to the next step
+        sizes = [-(-len(words[i]) // STEP) * STEP for i in kept]
         items = spark.sparkContext.broadcast(([own[i].item_id for i in kept], [words[i] for i in kept], [words[i][-answer_words:] for i in kept], sizes))
         part = terms.where("doc_id is not null").mapInArrow(
             _finder(basis, items, cosine, covered, answer_covered), "doc_id long, item_id long, start long, cosine double, covered double")
