@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from clearwell.operators.drift import (
 from clearwell.operators.profile import profile
 from clearwell.operators.repair import choose_repair, gate
 from clearwell.plans.registered.base import Registry, table
+from clearwell.plans.runs import confirm_schema, ingest_batch, run_table
+from clearwell.session import scratch_path
+from clearwell.sources.ledger import Catalog
 
 REGISTRY = Registry()
 
@@ -63,9 +68,12 @@ SUITE_SQL = f"""WITH a AS ({BASE_SQL}), b AS ({BATCH_SQL}), {FENCES_SQL}
     UNION ALL {CARDINALITY_SQL}"""
 
 
+def baseline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").where(F.col("ts") < F.lit(SPLIT).cast("timestamp_ntz"))
+
+
 def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = table(spark, sf_dir, "events").where(F.col("ts") < F.lit(SPLIT).cast("timestamp_ntz"))
-    return profile(first, exact=True).select("column_name", "data_type", "distinct_values")
+    return profile(baseline_rows(spark, sf_dir), exact=True).select("column_name", "data_type", "distinct_values")
 
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,3 +165,24 @@ def suite_repairs(spark, sf_dir):
     """What the repair gate does with the alerts of the whole suite."""
     gated = gate(choose_repair(detect_drift(batch(spark, sf_dir), baseline(spark, sf_dir))))
     return gated.select("alert_type", "column_name", "drift_kind", "strategy", "status")
+
+
+@REGISTRY.add(
+    "run_flow_ledger",
+    f"""WITH b AS ({BATCH_SQL}) SELECT 'success' AS status, 1 AS version, count(*) AS rows_input, count(*) AS rows_output,
+        count(*) AS clean_rows, 'channel,props' AS schema_drift FROM b""",
+)
+def run_flow_ledger(spark, sf_dir):
+    """The upload flow end to end: land and profile a file, confirm its schema, run the next batch, read the ledgers."""
+    root, now = scratch_path(spark, "flow"), datetime(2024, 2, 1)
+    source, catalog = f"{root}/incoming", Catalog(spark, f"{root}/lake")
+    baseline_rows(spark, sf_dir).write.option("header", True).option("escape", '"').csv(source)
+    ingest_batch(spark, catalog, source, "csv", "events", now, exact=True)
+    confirm_schema(spark, catalog, "events", now)
+    done = run_table(spark, catalog, batch(spark, sf_dir), "events", now)
+    clean_rows = done.df.agg(F.count(F.lit(1)).alias("clean_rows"))
+    drifted = catalog["drift_alerts"].latest().where("alert_type = 'schema_drift'").agg(
+        F.array_join(F.sort_array(F.collect_set("column_name")), ",").alias("schema_drift"))
+    runs = catalog["pipeline_runs"].latest().select("status", "version", "rows_input", "rows_output")
+    parts = runs.unionByName(clean_rows, True).unionByName(drifted, True)  # a row each
+    return parts.agg(*[F.max(c).alias(c) for c in parts.columns])

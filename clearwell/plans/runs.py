@@ -162,7 +162,7 @@ def run_table(
 ) -> RunResult:
     """Transform a batch, check it against the confirmed schema, repair low-risk findings and write the clean table.
 
-    Every step leaves rows in the ledgers. Null rates are checked on the batch as it came, all else on the clean rows.
+    Every step leaves rows in the ledgers. Each run has its own folder ``run=…`` in the clean table, so earlier batches stay. Null rates are checked on the batch as it came, all else on the clean rows.
     """
     runs = catalog["pipeline_runs"]
     version = 1 + (runs.latest().where(F.col("pipeline_name") == pipeline).agg(F.max("version")).first()[0] or 0)
@@ -215,8 +215,8 @@ def run_table(
                 catalog["repair_actions"].append(stamped)
                 alerts = resolve_alerts(alerts, actions)
                 catalog["drift_alerts"].append(alerts.where("resolved"))
-    write_table(out, catalog.root, "clean", table)
-    return RunResult(spark.read.parquet(f"{catalog.root}/clean/{table}"), base, alerts, actions)
+    written = write_table(out, catalog.root, "clean", f"{table}/run={run_id}")
+    return RunResult(spark.read.parquet(written), base, alerts, actions)
 
 
 def _names(schema: str) -> list[str]:
@@ -235,7 +235,8 @@ def rollback(
 ) -> RunConfig:
     """Mark the newest run rolled back and return the target version's settings.
 
-    With ``raw`` and ``table`` the clean table is written again from the raw rows under those settings.
+    With ``raw`` and ``table`` the newest run's folder of the clean table is written again from the raw rows under those
+    settings.
     """
     runs = catalog["pipeline_runs"].latest().where(F.col("pipeline_name") == pipeline)
     target = runs.where(F.col("version") == to_version).first()
@@ -246,5 +247,5 @@ def rollback(
     config = RunConfig.from_json(target["config_snapshot"])
     if raw is not None and table is not None:
         restored = transform(raw, config, f"{catalog.root}/staging/{table}/rollback_to={to_version}_{now:%Y%m%d_%H%M%S}")
-        write_table(restored.df, catalog.root, "clean", table)
+        write_table(restored.df, catalog.root, "clean", f"{table}/run={newest['id']}")
     return config
