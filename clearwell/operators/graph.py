@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearwell.functions.fixed_values import BOOKKEEPING_LABELS, FALLBACK_ER_LINES, FALLBACK_GLOSSARY
+from clearwell.operators.ranking import number_rows
 
 NODE_COLUMNS = {
     "id": "string", "labels": "array<string>", "name": "string", "type": "string", "description": "string",
@@ -93,18 +94,17 @@ def er_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def er_diagram(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Lines of a Mermaid ER diagram ``(line_no, line)``; a static set where the graph has no edge.
 
-    The pairs of labels are as few as the graph has kinds of relations.
+    Relations are numbered and rendered row by row, however many kinds there are.
     """
     found = er_edges(nodes, edges)
-    static = nodes.sparkSession.createDataFrame(
-        FALLBACK_ER_LINES, "source string, rel string, target string")
-    pairs = F.sort_array(F.collect_list(F.struct("source", "rel", "target")))
-    picked = found.agg(pairs.alias("found"))
-    fallback = static.agg(pairs.alias("s")).select("s").scalar()
-    lines = picked.select(F.when(F.size("found") > 0, F.col("found")).otherwise(fallback).alias("pairs"))
-    rendered = F.transform("pairs", lambda p: F.concat(
-        F.lit("    "), p["source"], F.lit(" ||--o{ "), p["target"], F.lit(' : "'), p["rel"], F.lit('"')))
-    return lines.select(F.posexplode(F.concat(F.array(F.lit("erDiagram")), rendered)).alias("line_no", "line"))
+    spark = nodes.sparkSession
+    static = spark.createDataFrame(FALLBACK_ER_LINES, "source string, rel string, target string")
+    none = found.agg((F.count(F.lit(1)) == 0).alias("none")).select("none").scalar()
+    numbered = number_rows(found.unionByName(static.where(none)).withColumn("_all", F.lit(0)), ["_all"],
+                           [F.asc("source"), F.asc("rel"), F.asc("target")], "line_no")
+    head = spark.range(1).select(F.lit(0).alias("line_no"), F.lit("erDiagram").alias("line"))
+    return head.unionByName(numbered.select(F.col("line_no").cast("int").alias("line_no"), F.concat(
+        F.lit("    "), "source", F.lit(" ||--o{ "), "target", F.lit(' : "'), "rel", F.lit('"')).alias("line")))
 
 
 def glossary(nodes: DataFrame) -> DataFrame:

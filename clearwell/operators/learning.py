@@ -11,24 +11,21 @@ START_SCORE = 100
 def learning_paths(learners: DataFrame, lessons: DataFrame) -> DataFrame:
     """Lessons of each learner's role, or all lessons where the role has none.
 
-    A role without lessons is mapped to one catch-all path key first; lessons are listed under their role and under
-    that key, so both cases are one equi-join. Roles and lessons are hand-written lists, learners are not: the roles
-    are resolved before the learners are touched.
+    Lessons are a hand-written list, learners are not: a role's lessons are one array, learners are joined with the small
+    table of roles, and the array is unfolded where the learner stands. No key is shared by all learners without
+    lessons of their own.
     """
-    own = lessons.withColumn("path", F.concat(F.lit("role:"), "role"))
-    every = lessons.withColumn("path", F.lit("all"))
-    listed = own.unionByName(every).withColumnRenamed("role", "lesson_role")
-    known = lessons.select("role").distinct().withColumn("_known", F.lit(True))
-    keyed = learners.join(known, "role", "left").withColumn(
-        "path", F.when(F.col("_known"), F.concat(F.lit("role:"), "role")).otherwise(F.lit("all"))
-    )
-    return keyed.join(listed, "path").drop("path", "_known")
+    entry = F.struct(*[F.col(c).alias("lesson_role" if c == "role" else c) for c in lessons.columns])
+    own = lessons.groupBy("role").agg(F.collect_list(entry).alias("_own"))
+    every = lessons.agg(F.collect_list(entry).alias("l")).select("l").scalar()
+    chosen = learners.join(own, "role", "left").withColumn("_own", F.coalesce("_own", every))
+    return chosen.select(*[c for c in learners.columns], F.inline("_own"))
 
 
 def grade(submissions: DataFrame, lessons: DataFrame) -> DataFrame:
     """Points for exact answers, 0 for others, an error for unknown lessons: ``submissions(lesson_id, answer, …)``."""
-    key = lessons.select(F.col("id").alias("lesson_id"), "correct_answer", "points")
-    known, right = F.col("correct_answer").isNotNull(), F.col("correct_answer").eqNullSafe(F.col("answer"))
+    key = lessons.select(F.col("id").alias("lesson_id"), "correct_answer", "points", F.lit(True).alias("_known"))
+    known, right = F.coalesce("_known", F.lit(False)), F.col("correct_answer").eqNullSafe(F.col("answer"))
     return (
         submissions.join(key, "lesson_id", "left")
         .withColumns({
@@ -36,11 +33,11 @@ def grade(submissions: DataFrame, lessons: DataFrame) -> DataFrame:
             "correct": F.when(known, right),
             "points_awarded": F.when(known & right, F.col("points")).when(known, F.lit(0)),
             "explanation": F.when(known, F.concat(
-                F.lit("The correct answer is '"), "correct_answer", F.lit("'. "),
+                F.lit("The correct answer is '"), F.coalesce("correct_answer", F.lit("")), F.lit("'. "),
                 F.when(right, F.lit("Excellent work!")).otherwise(F.lit("Review the lesson material and try again!")),
             )).otherwise(F.lit("Lesson not found")),
         })
-        .drop("correct_answer", "points")
+        .drop("correct_answer", "points", "_known")
     )
 
 

@@ -43,7 +43,7 @@ def pii_columns(spark, sf_dir):
 @REGISTRY.add(
     "pii_documents",
     """SELECT 'text' AS column_name,
-        count(*) FILTER (WHERE regexp_matches(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9.-]+')) AS email_cells,
+        count(*) FILTER (WHERE regexp_matches(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9-.]+')) AS email_cells,
         count(*) FILTER (WHERE regexp_matches(text, '(^|[^0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}([^0-9]|$)')) AS ssn_cells FROM documents""",
 )
 def pii_documents(spark, sf_dir):
