@@ -26,6 +26,8 @@ SWITCH = 3.0
 #: A language stays a candidate for a script that at least this share of its learned letters is written in.
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
+#: Distinct words whose n-grams a task holds at once, and bytes of text whose words are coded together.
+WORD_BLOCK, TEXT_BYTES = 32_768, 8 << 20
 
 # First code points of blocks and the scripts that they hold (0 is any other).
 SCRIPT_STARTS = (0x0, 0x41, 0x5B, 0x61, 0x7B, 0xC0, 0x250, 0x370, 0x400, 0x530, 0x590, 0x600, 0x780, 0x900, 0x980, 0xA00, 0xB80,
@@ -96,14 +98,17 @@ class Model:
 
     def word_scores(self, words: pa.StringArray) -> np.ndarray:
         """Mean log probability of each word's n-grams by language; far below all others where no script of it allows one."""
-        rows, bins = _features(words)
         out = np.zeros((len(words), len(self.languages)))
-        n = np.maximum(1, np.bincount(rows, minlength=len(words)))
-        for k in range(len(self.languages)):
-            out[:, k] = np.bincount(rows, weights=self.log[bins, k], minlength=len(words)) / n
-        # words in a script that nobody has learned stay open to all
-        main = self.allowed[_scripts(words).argmax(axis=1)]
-        return np.where(main | ~main.any(axis=1, keepdims=True), out, out - 50)
+        for low in range(0, len(words), WORD_BLOCK):
+            part = words.slice(low, WORD_BLOCK)
+            rows, bins = _features(part)
+            n = np.maximum(1, np.bincount(rows, minlength=len(part)))
+            for k in range(len(self.languages)):
+                out[low : low + len(part), k] = np.bincount(rows, weights=self.log[bins, k], minlength=len(part)) / n
+            # words in a script that nobody has learned stay open to all
+            main = self.allowed[_scripts(part).argmax(axis=1)]
+            out[low : low + len(part)] -= 50.0 * ~(main | ~main.any(axis=1, keepdims=True))
+        return out
 
 
 def label_words(scores: np.ndarray, at: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -143,19 +148,22 @@ def fit(labelled: DataFrame) -> Model:
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
-        for batch in text_blocks(batches):
+        for batch in text_blocks(batches, limit=TEXT_BYTES):
             coded, at = _words(batch.column("text"))
             if not len(coded):
                 continue
-            rows, bins = _features(coded.dictionary)
-            scripts = _scripts(coded.dictionary)
             langs = np.array(batch.column("lang").to_pylist(), dtype=object)
             index = coded.indices.to_numpy(zero_copy_only=False)
-            for lang in sorted(set(langs)):
-                mask = np.repeat(langs == lang, np.diff(at))
-                times = np.bincount(index[mask], minlength=len(coded.dictionary)).astype(np.float64)
-                new = np.concatenate([np.bincount(bins, weights=times[rows], minlength=BINS), times @ scripts])
-                held[lang] = held[lang] + new if lang in held else new
+            times = {lang: np.bincount(index[np.repeat(langs == lang, np.diff(at))], minlength=len(coded.dictionary)).astype(np.float64)
+                     for lang in sorted(set(langs))}
+            for low in range(0, len(coded.dictionary), WORD_BLOCK):
+                part = coded.dictionary.slice(low, WORD_BLOCK)
+                rows, bins = _features(part)
+                scripts = _scripts(part)
+                for lang, all_times in times.items():
+                    own = all_times[low : low + len(part)]
+                    new = np.concatenate([np.bincount(bins, weights=own[rows], minlength=BINS), own @ scripts])
+                    held[lang] = held[lang] + new if lang in held else new
         yield pa.record_batch([pa.array(list(held), pa.string()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["lang", "counts"])
 
     def add(key: tuple, rows: pa.Table) -> pa.Table:
@@ -198,7 +206,7 @@ def identify(df: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         langs = model.languages
-        for batch in text_blocks(batches):
+        for batch in text_blocks(batches, limit=TEXT_BYTES):
             labels, text, at, by = _letters_by(batch.column("text"), model, switch)
             total, top = by.sum(axis=1), by.argmax(axis=1)
             pred = [langs[k] if n else UNKNOWN for k, n in zip(top.tolist(), total.tolist())]
@@ -228,7 +236,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in text_blocks(batches):
+        for batch in text_blocks(batches, limit=TEXT_BYTES):
             by = _letters_by(batch.column("text"), model, SWITCH)[-1]
             yield batch.filter(pa.array((by.sum(axis=1) > 0) & (by.max(axis=1) >= least * by.sum(axis=1))))
 

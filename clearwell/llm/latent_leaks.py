@@ -26,10 +26,12 @@ TERMS = 1 << 14
 #: Latent dimensions, and further random directions that are cut off after the decomposition.
 RANK, EXTRA = 40, 8
 #: Words of a passage for the decomposition, and the step between windows.
-PASSAGE, STEP = 64, 8
+PASSAGE, STEP = 64, 4
 #: Least cosine of a candidate window, least share of an item's words in the common subsequence, words of an answer and
 #: least share of them that the window must hold in order.
-COSINE, COVERED, ANSWER_WORDS, ANSWER_COVERED = 0.65, 0.75, 5, 0.6
+COSINE, COVERED, ANSWER_WORDS, ANSWER_COVERED = 0.7, 0.75, 5, 0.6
+#: Steps on either side of a window in which the rest of an item may stand.
+AROUND = 3
 #: Log-frequency that is taken off a term's weight: terms in more than a fifth of the documents are left with ``LEAST_WEIGHT``.
 COMMON, LEAST_WEIGHT = 1.5, 0.05
 #: Cosines that a task holds at once.
@@ -49,7 +51,7 @@ def _strip(texts: pa.Array) -> pa.Array:
 
 def term_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Term numbers of all words and where each text's words begin."""
-    words, at = split_words(_strip(texts))
+    words, at = split_words(_strip(pc.utf8_lower(texts.cast(pa.string()))))
     coded = words.dictionary_encode()
     terms = (hash_strings(coded.dictionary) >> np.uint64(64 - 14)).astype(np.uint16)
     return terms[coded.indices.to_numpy(zero_copy_only=False)], at
@@ -201,7 +203,7 @@ def _finder(basis, items, cosine: float, covered: float, answer_covered: float):
                 own = np.arange(len(x)) - np.repeat(at[:-1], size)
                 starts = np.flatnonzero(own % STEP == 0)
                 steps = np.vstack([np.zeros((1, b.shape[1])), np.cumsum(np.add.reduceat(b[x], starts, axis=0), axis=0, dtype=np.float64)])
-                step_marks = np.pad(_marks(x, starts), ((1, sizes[-1] // STEP + 1), (0, 0)))
+                step_marks = np.pad(_marks(x, starts), ((AROUND, sizes[-1] // STEP + AROUND), (0, 0)))
                 steps_of = -(-size // STEP)
                 first = np.concatenate([[0], np.cumsum(steps_of)])
                 doc = np.repeat(np.arange(len(size)), steps_of)
@@ -209,7 +211,7 @@ def _finder(basis, items, cosine: float, covered: float, answer_covered: float):
                 for n in sizes:
                     ends = np.minimum(np.arange(len(doc)) + n // STEP, last)
                     window = _unit((steps[ends] - steps[:-1]).astype(np.float32))
-                    lacks = ~np.bitwise_or.reduce([step_marks[j : j + len(doc)] for j in range(n // STEP + 2)])
+                    lacks = ~np.bitwise_or.reduce([step_marks[j : j + len(doc)] for j in range(n // STEP + 2 * AROUND)])
                     height = max(1, COSINE_CELLS // len(by_size[n]))
                     for low in range(0, len(doc), height):
                         near = window[low : low + height] @ targets[n].T
@@ -219,7 +221,7 @@ def _finder(basis, items, cosine: float, covered: float, answer_covered: float):
                         keep = np.flatnonzero(missing <= may_miss[item])
                         for s, i, c in zip(at_step[keep].tolist(), item[keep].tolist(), cos[keep].tolist()):
                             d, at_word = int(doc[s]), int(s - first[doc[s]]) * STEP
-                            held = x[at[d] + max(0, at_word - STEP) : min(at[d + 1], at[d] + at_word + n + STEP)]
+                            held = x[at[d] + max(0, at_word - AROUND * STEP) : min(at[d + 1], at[d] + at_word + n + AROUND * STEP)]
                             share = common_subsequence(words[i], held) / len(words[i])
                             if share >= covered and common_subsequence(answers[i], held) >= answer_covered * len(answers[i]):
                                 best[d, i] = max(best.get((d, i), (0.0, 0.0, 0)), (share, c, -at_word))
@@ -239,7 +241,7 @@ def find_leaks(
     """Leaks of ``benchmark`` (item_id, text, ...) in ``docs`` (doc_id, text, ...): (doc_id, item_id, start, cosine, covered).
 
     One row for each document and item, the best window's; ``start`` is in words, ``covered`` the share of the item's words in
-    the common subsequence. Words are what stands between white space and punctuation, A-Z in lower case. Items of
+    the common subsequence. Words are what stands between white space and punctuation, in lower case. Items of
     fewer than ``LEAST_WORDS`` words, null texts and rows without an id are never matched. Repeated rows are one in
     the result; other columns are ignored; empty tables give no leaks. Jobs run when this is called. Items are sent to the tasks
     in blocks of ``ITEM_BLOCK``, each with one pass over the packed terms.
@@ -256,8 +258,8 @@ def find_leaks(
         numbers, at = term_numbers(pa.array([r.text for r in own], pa.string()))
         words = [numbers[s:e].astype(np.int64) for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
         kept = [i for i, w in enumerate(words) if len(w) >= LEAST_WORDS]
-        # windows are as long as the item, up to the next step
-        sizes = [-(-len(words[i]) // STEP) * STEP for i in kept]
+        # windows are a little shorter than the item, so that one of them lies within a copy, wherever it begins
+        sizes = [max(STEP, (len(words[i]) - STEP + 1) // STEP * STEP) for i in kept]
         items = spark.sparkContext.broadcast(([own[i].item_id for i in kept], [words[i] for i in kept], [words[i][-answer_words:] for i in kept], sizes))
         part = terms.where("doc_id is not null").mapInArrow(
             _finder(basis, items, cosine, covered, answer_covered), "doc_id long, item_id long, start long, cosine double, covered double")
