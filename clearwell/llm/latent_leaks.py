@@ -2,8 +2,9 @@
 
 1. Words of all documents are hashed to ``TERMS`` term numbers once and kept as packed arrays.
 2. Document frequencies over all documents give the inverse document frequencies.
-3. A distributed randomised SVD of the TF-IDF matrix of all passages gives a latent basis: every task multiplies its passages
-   with a random matrix and back (A^T A G), the parts are added up, and the small factor is decomposed on the driver.
+3. A distributed randomised SVD of the TF-IDF matrix of the passages gives a latent basis: every task multiplies its passages
+   with a random matrix and back (A^T A G), the parts are added up, and the small factor is decomposed on the driver. Up to
+   ``BASIS_DOCUMENTS`` documents take part in this fit; every window of every document is searched.
 4. Windows of all documents and the benchmark's items are projected on the basis; windows near an item by cosine are candidates.
 5. A candidate is a leak if the longest common subsequence of words covers enough of the item and its answer, the item's
    last words, stands in the window as well. This catches copies and paraphrases that keep most words in order.
@@ -29,9 +30,11 @@ RANK, EXTRA = 40, 8
 PASSAGE, STEP = 64, 4
 #: Least cosine of a candidate window, least share of an item's words in the common subsequence, words of an answer and
 #: least share of them that the window must hold in order.
-COSINE, COVERED, ANSWER_WORDS, ANSWER_COVERED = 0.7, 0.75, 5, 0.6
-#: Steps on either side of a window in which the rest of an item may stand.
-AROUND = 3
+COSINE, COVERED, ANSWER_WORDS, ANSWER_COVERED = 0.65, 0.75, 5, 0.6
+#: Lengths of windows in words; an item is looked for by the longest one that must lie within a copy of it.
+LADDER = (4, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024)
+#: The decomposition is fitted on the passages of about so many documents at most, chosen by a hash of their id.
+BASIS_DOCUMENTS = 50_000
 #: Log-frequency that is taken off a term's weight: terms in more than a fifth of the documents are left with ``LEAST_WEIGHT``.
 COMMON, LEAST_WEIGHT = 1.5, 0.05
 #: Cosines that a task holds at once.
@@ -44,14 +47,22 @@ TERM_BYTES = 1 << 20
 LEAST_WORDS = 5
 
 
-def _strip(texts: pa.Array) -> pa.Array:
-    """Punctuation is blank, so that it parts words and never belongs to one."""
-    return pc.replace_substring_regex(pc.fill_null(texts.cast(pa.string()), ""), r"[!-/:-@\[-`{-~]+", " ")
+def _strip(texts: pa.StringArray) -> pa.StringArray:
+    """Punctuation is blank, so that it parts words and never belongs to one; ASCII bytes never stand inside other characters."""
+    if not len(texts):
+        return texts
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer((offsets - offsets[0]).astype(np.int32)), pa.py_buffer(_BLANKED[data]))
+
+
+_BLANKED = np.arange(256, dtype=np.uint8)
+_BLANKED[[i for i in range(33, 127) if not chr(i).isalnum()]] = 32
 
 
 def term_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Term numbers of all words and where each text's words begin."""
-    words, at = split_words(_strip(pc.utf8_lower(texts.cast(pa.string()))))
+    words, at = split_words(_strip(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), ""))))
     coded = words.dictionary_encode()
     terms = (hash_strings(coded.dictionary) >> np.uint64(64 - 14)).astype(np.uint16)
     return terms[coded.indices.to_numpy(zero_copy_only=False)], at
@@ -143,7 +154,9 @@ def latent_basis(terms: DataFrame, idf: np.ndarray, rank: int = RANK, extra: int
                 z[:, j] += np.bincount(x, weights=y[which, j], minlength=TERMS)
         yield _sliced((z * scale.value[:, None]).ravel())
 
-    z = _summed(terms.select("terms").mapInArrow(run, "slice int, part binary"))
+    share = int(2**31 * min(1.0, BASIS_DOCUMENTS / max(1, terms.count())))
+    fitted = terms.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2**31)) < share)
+    z = _summed(fitted.select("terms").mapInArrow(run, "slice int, part binary"))
     if not len(z) or not np.any(z):
         return (random[:, :rank] * idf[:, None]).astype(np.float32)
     z = z.reshape(TERMS, -1)
@@ -192,6 +205,8 @@ def _finder(basis, items, cosine: float, covered: float, answer_covered: float):
         sizes = sorted(set(windows))
         by_size = {n: np.flatnonzero(np.array(windows) == n) for n in sizes}
         targets = {n: _unit(np.array([b[words[i]].sum(axis=0) for i in by_size[n]])) for n in sizes}
+        # steps around a window that the rest of its items may take
+        around = {n: 1 + max(-(-(len(words[i]) - n) // STEP) for i in by_size[n]) for n in sizes}
         marks = np.concatenate([_marks(w, np.zeros(1, dtype=np.int64)) for w in words]) if words else None
         may_miss = np.array([len(w) - int(np.ceil(covered * len(w))) for w in words])
         for batch in text_blocks(batches, "terms", TERM_BYTES):
@@ -203,25 +218,27 @@ def _finder(basis, items, cosine: float, covered: float, answer_covered: float):
                 own = np.arange(len(x)) - np.repeat(at[:-1], size)
                 starts = np.flatnonzero(own % STEP == 0)
                 steps = np.vstack([np.zeros((1, b.shape[1])), np.cumsum(np.add.reduceat(b[x], starts, axis=0), axis=0, dtype=np.float64)])
-                step_marks = np.pad(_marks(x, starts), ((AROUND, sizes[-1] // STEP + AROUND), (0, 0)))
+                pad = max(around.values())
+                step_marks = np.pad(_marks(x, starts), ((pad, sizes[-1] // STEP + pad), (0, 0)))
                 steps_of = -(-size // STEP)
                 first = np.concatenate([[0], np.cumsum(steps_of)])
                 doc = np.repeat(np.arange(len(size)), steps_of)
                 last = first[1:][doc]
                 for n in sizes:
                     ends = np.minimum(np.arange(len(doc)) + n // STEP, last)
-                    window = _unit((steps[ends] - steps[:-1]).astype(np.float32))
-                    lacks = ~np.bitwise_or.reduce([step_marks[j : j + len(doc)] for j in range(n // STEP + 2 * AROUND)])
-                    height = max(1, COSINE_CELLS // len(by_size[n]))
+                    lacks = ~np.bitwise_or.reduce([step_marks[j : j + len(doc)] for j in range(pad - around[n], pad + n // STEP + around[n])])
+                    height = max(1, COSINE_CELLS // max(len(by_size[n]), b.shape[1]))
                     for low in range(0, len(doc), height):
-                        near = window[low : low + height] @ targets[n].T
-                        at_step, item = np.nonzero(near >= cosine)
-                        cos, at_step, item = near[at_step, item], at_step + low, by_size[n][item]
+                        window = (steps[ends[low : low + height]] - steps[low : min(low + height, len(doc))]).astype(np.float32)
+                        norm = np.sqrt(np.einsum("ij,ij->i", window, window)) + np.float32(1e-9)
+                        near = window @ targets[n].T
+                        at_step, item = np.nonzero(near >= cosine * norm[:, None])
+                        cos, at_step, item = near[at_step, item] / norm[at_step], at_step + low, by_size[n][item]
                         missing = np.bitwise_count(marks[item] & lacks[at_step]).sum(axis=1, dtype=np.int64)
                         keep = np.flatnonzero(missing <= may_miss[item])
                         for s, i, c in zip(at_step[keep].tolist(), item[keep].tolist(), cos[keep].tolist()):
-                            d, at_word = int(doc[s]), int(s - first[doc[s]]) * STEP
-                            held = x[at[d] + max(0, at_word - AROUND * STEP) : min(at[d + 1], at[d] + at_word + n + AROUND * STEP)]
+                            d, at_word, slack = int(doc[s]), int(s - first[doc[s]]) * STEP, around[n] * STEP
+                            held = x[at[d] + max(0, at_word - slack) : min(at[d + 1], at[d] + at_word + n + slack)]
                             share = common_subsequence(words[i], held) / len(words[i])
                             if share >= covered and common_subsequence(answers[i], held) >= answer_covered * len(answers[i]):
                                 best[d, i] = max(best.get((d, i), (0.0, 0.0, 0)), (share, c, -at_word))
@@ -258,8 +275,8 @@ def find_leaks(
         numbers, at = term_numbers(pa.array([r.text for r in own], pa.string()))
         words = [numbers[s:e].astype(np.int64) for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
         kept = [i for i, w in enumerate(words) if len(w) >= LEAST_WORDS]
-        # windows are a little shorter than the item, so that one of them lies within a copy, wherever it begins
-        sizes = [max(STEP, (len(words[i]) - STEP + 1) // STEP * STEP) for i in kept]
+        # windows are shorter than the item, so that one of them lies within a copy, wherever it begins
+        sizes = [max(n for n in LADDER if n == STEP or n <= len(words[i]) - STEP + 1) for i in kept]
         items = spark.sparkContext.broadcast(([own[i].item_id for i in kept], [words[i] for i in kept], [words[i][-answer_words:] for i in kept], sizes))
         part = terms.where("doc_id is not null").mapInArrow(
             _finder(basis, items, cosine, covered, answer_covered), "doc_id long, item_id long, start long, cosine double, covered double")
