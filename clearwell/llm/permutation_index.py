@@ -3,10 +3,11 @@
 A vector is represented by the ordered list of its nearest pivots. Blocks of vectors hold inverted files, pivot ->
 (vector, rank of the pivot); a query reads the files of its own nearest pivots, which gives the footrule distance of
 the two lists for every vector that shares a pivot with it. The nearest share of a block by footrule is reranked by the exact
-inner product in double precision, and the best of all blocks are the answer.
+inner product in double precision, and the best of all blocks are the answer. A block indexes each distinct vector once, so
+copies take no places in that share, and vectors as far as the last one of the share are reranked as well.
 
 Vectors are lifted by one coordinate, sqrt(M^2 - |x|^2) with M the largest norm, so that nearness of the lifted
-ones is the order of inner products. Pivots are a bounded sample; every vector is indexed.
+ones is the order of inner products. Pivots are a bounded sample of the distinct ones; every vector is indexed.
 """
 
 from __future__ import annotations
@@ -57,14 +58,20 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, posted: int) -> np.ndarray
 
 
 class Block:
-    """The inverted files of one block of vectors."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, lifted: np.ndarray, pivots: np.ndarray, posted: int) -> None:
-        self.ids, self.vectors, self.posted = ids, vectors, min(posted, len(pivots))
-        lists = nearest_pivots(lifted, pivots, self.posted)
+    """The inverted files of the distinct vectors of one block, and the ids of each."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest: float, pivots: np.ndarray, posted: int) -> None:
+        vectors = np.ascontiguousarray(vectors + 0.0)  # no negative zeros: equal vectors have equal bytes
+        raw = vectors.view(np.dtype((np.void, vectors.itemsize * vectors.shape[1]))).ravel()
+        _, first, which = np.unique(raw, return_index=True, return_inverse=True)
+        order = np.lexsort((ids, which))
+        # the ids of distinct vector i, smallest first, are those from at[i] to at[i + 1]
+        self.ids, self.at = ids[order], np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(first)))])
+        self.vectors, self.posted = vectors[first], min(posted, len(pivots))
+        lists = nearest_pivots(_lift(self.vectors, largest), pivots, self.posted)
         # the file of pivot p is row p: its rank in each vector's list, ``posted`` where it is not posted
-        self.files = np.full((len(pivots), len(ids)), self.posted, dtype=np.uint8)
-        self.files[lists.ravel(), np.repeat(np.arange(len(ids)), self.posted)] = np.tile(np.arange(self.posted, dtype=np.uint8), len(ids))
+        self.files = np.full((len(pivots), len(first)), self.posted, dtype=np.uint8)
+        self.files[lists.ravel(), np.repeat(np.arange(len(first)), self.posted)] = np.tile(np.arange(self.posted, dtype=np.uint8), len(first))
 
     def farness(self, pivots_of_query: np.ndarray) -> np.ndarray:
         """Half the footrule distance plus a constant: absent pivots rank last, so each pivot of the query adds the larger rank."""
@@ -74,14 +81,18 @@ class Block:
     def search(self, query_id: int, query: np.ndarray, pivots_of_query: np.ndarray, k: int, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
         far = self.farness(pivots_of_query)
         n = min(len(far), max(least, k + 1, int(len(far) * share)))
-        cand = np.argpartition(far, n - 1)[:n] if n < len(far) else np.arange(n)
-        cand = cand[self.ids[cand] != query_id]
+        cand = np.flatnonzero(far <= np.partition(far, n - 1)[n - 1])  # ties with the n-th stay in
         score = (self.vectors[cand] * query).sum(axis=1)
-        if len(cand) > k:  # ties with the k-th stay in
+        # of the ids of one vector, k besides the query's own are enough
+        count = np.minimum(self.at[cand + 1] - self.at[cand], k + 1)
+        ids = self.ids[np.repeat(self.at[cand] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        score = np.repeat(score, count)[ids != query_id]
+        ids = ids[ids != query_id]
+        if len(ids) > k:  # ties with the k-th stay in
             top = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
-            cand, score = cand[top], score[top]
-        best = np.lexsort((self.ids[cand], -score))[:k]
-        return self.ids[cand[best]], score[best]
+            ids, score = ids[top], score[top]
+        best = np.lexsort((ids, -score))[:k]
+        return ids[best], score[best]
 
 
 def search(
@@ -101,7 +112,9 @@ def search(
     spark = base.sparkSession
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     n, largest = base.agg(F.count("*"), F.max(norm)).first()
-    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect() if n else []
+    # copies of one vector are one pivot at most
+    distinct = base.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"))
+    sample = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect() if n else []
     dims = len(sample[0].embedding) if sample else 0
     largest = largest or 1.0
     chosen = spark.sparkContext.broadcast(_lift(np.array([r.embedding for r in sample]).reshape(len(sample), dims), largest))
@@ -115,7 +128,7 @@ def search(
         if vs and qs:
             ids = np.concatenate([b.column("vec_id").to_numpy() for b in vs])
             x = np.vstack([_matrix(b.column("embedding")) for b in vs])
-            block = Block(ids, x, _lift(x, largest), chosen.value, posted)
+            block = Block(ids, x, largest, chosen.value, posted)
             for b in qs:
                 q = _matrix(b.column("embedding"))
                 lists = nearest_pivots(_lift(q, None), chosen.value, posted)

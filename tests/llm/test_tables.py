@@ -34,6 +34,29 @@ def test_search_finds_most_and_ranks_exactly(spark):
     assert hits / (10 * len(found)) >= 0.9
 
 
+def test_search_at_production_share_with_a_third_alike(spark):
+    """A full block whose third is one vector: queries inside and outside the group, against brute force."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(permutation_index.BLOCK_VECTORS, 24))
+    group = rng.permutation(len(x))[: len(x) // 3]
+    x[group] = x[group[0]]
+    asked = [*group[:40].tolist(), *np.setdiff1d(np.arange(len(x)), group)[:40].tolist()]
+    vectors = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = {}
+    for r in sorted(permutation_index.search(vectors, vectors.where(F.col("vec_id").isin(asked)), 20).collect(), key=lambda r: (r.query_id, r.rank)):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert sorted(found) == sorted(asked) and all(len(f) == 20 for f in found.values())
+    hits = {}
+    for q, own in found.items():
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        hits[q] = len(set(own) & set(np.lexsort((np.arange(len(s)), -s))[:20].tolist())) / 20
+        first = [j for j in sorted(group.tolist()) if j != q]
+        inside = [j for j in own if j in set(first)]
+        assert inside == first[: len(inside)]
+    assert min(hits[q] for q in asked[:40]) >= 0.95 and np.mean([hits[q] for q in asked[40:]]) >= 0.95
+
+
 def test_search_of_few_and_none(spark):
     few = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     got = permutation_index.search(few, few.where("vec_id % 20 = 0"), 20).collect()
