@@ -35,6 +35,15 @@ class Rule:
     any_case: bool = False
 
 
+#: A line break, as it stands or escaped, and what may stand in the key lines below the line that begins a private key.
+_BREAK = r"(?:[\x20\t]*+(?:[\r\n]|\\r|\\n))++[\x20\t]*+"
+_KEY_LINE = (
+    rf"{_BREAK}(?:Proc-Type|DEK-Info|Version|Comment|MessageID|Hash|Charset):[^\r\n\\]*+"
+    rf"|{_BREAK}[A-Za-z0-9+/=]++(?=[\x20\t]*+(?:[\r\n\\\"']|\Z))"
+    rf"|(?:{_BREAK}|[\x20\t]*+)[A-Za-z0-9+/=]{{16,}}+"
+)
+_KEY_NAME = r"(?:[A-Z0-9]++\x20)*PRIVATE KEY(?: BLOCK)?-----"
+
 # The kinds that every scan reports, in their order.
 BASE_RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2, True),
@@ -43,13 +52,14 @@ BASE_RULES = (
 )
 #: Rules that the scan adds.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"),
+    # to its END line; where that is missing, or another block begins before it, to the end of the key lines
+    Rule("private_key", rf"-----BEGIN {_KEY_NAME}(?:(?s:(?!-----BEGIN ).)*?-----END {_KEY_NAME}|(?:{_KEY_LINE})*+)"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("repo_token", r"(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("pay_key", r"(?:sk|rk)_live_[A-Za-z0-9]{16,}"),
-    Rule("url_login", r"[a-z]{2,12}://[A-Za-z0-9._-]{1,64}:[^\x00-\x20:@/]{3,128}@"),
+    Rule("url_login", r"(?<![A-Za-z0-9])[A-Za-z0-9]++://[^\x00-\x20:@/]*+:[^\x00-\x20@/]++@"),
     Rule("bearer", r"bearer\x20+([A-Za-z0-9._~+/-]{20,}=*)", any_case=True),
 )
 RULES = BASE_RULES + MORE_RULES
