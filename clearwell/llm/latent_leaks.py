@@ -3,8 +3,8 @@
 1. Words of all documents are hashed to ``TERMS`` term numbers once and kept as packed arrays.
 2. Document frequencies over all documents give the inverse document frequencies.
 3. A distributed randomised SVD of the TF-IDF matrix of the passages gives a latent basis: every task multiplies its passages
-   with a random matrix and back (A^T A G), the parts are added up, and the small factor is decomposed on the driver. Up to
-   ``BASIS_DOCUMENTS`` documents take part in this fit; every window of every document is searched.
+   with a random matrix and back (A^T A G), the parts are added up, and the small factor is decomposed on the driver. All
+   passages of all documents take part in this fit, and every window of every document is searched.
 4. Windows of all documents and the benchmark's items are projected on the basis; windows near an item by cosine are candidates.
 5. A candidate is a leak if the longest common subsequence of words covers enough of the item and its answer, the item's
    last words, stands in the window as well. This catches copies and paraphrases that keep most words in order.
@@ -33,8 +33,6 @@ PASSAGE, STEP = 64, 4
 COSINE, COVERED, ANSWER_WORDS, ANSWER_COVERED = 0.65, 0.75, 5, 0.6
 #: Lengths of windows in words; an item is looked for by the longest one that must lie within a copy of it.
 LADDER = (4, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024)
-#: The decomposition is fitted on the passages of about so many documents at most, chosen by a hash of their id.
-BASIS_DOCUMENTS = 50_000
 #: Log-frequency that is taken off a term's weight: terms in more than a fifth of the documents are left with ``LEAST_WEIGHT``.
 COMMON, LEAST_WEIGHT = 1.5, 0.05
 #: Cosines that a task holds at once.
@@ -150,13 +148,13 @@ def latent_basis(terms: DataFrame, idf: np.ndarray, rank: int = RANK, extra: int
             norm = np.sqrt(np.add.reduceat((scale.value**2)[x], starts))
             y /= np.maximum(norm, 1e-9)[:, None] ** 2
             which = np.cumsum(own % PASSAGE == 0) - 1
-            for j in range(g.shape[1]):
-                z[:, j] += np.bincount(x, weights=y[which, j], minlength=TERMS)
+            # the places of each term in a row, so that one pass adds up all columns
+            order = np.argsort(x.astype(np.uint16), kind="stable")
+            first = np.flatnonzero(np.diff(x[order], prepend=-1))
+            z[x[order[first]]] += np.add.reduceat(y[which[order]], first, axis=0)
         yield _sliced((z * scale.value[:, None]).ravel())
 
-    share = int(2**31 * min(1.0, BASIS_DOCUMENTS / max(1, terms.count())))
-    fitted = terms.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2**31)) < share)
-    z = _summed(fitted.select("terms").mapInArrow(run, "slice int, part binary"))
+    z = _summed(terms.select("terms").mapInArrow(run, "slice int, part binary"))
     if not len(z) or not np.any(z):
         return (random[:, :rank] * idf[:, None]).astype(np.float32)
     z = z.reshape(TERMS, -1)

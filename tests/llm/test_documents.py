@@ -212,6 +212,23 @@ def test_latent_leaks(spark):
     assert latent_leaks.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_basis_is_fitted_on_all_documents(spark):
+    """The basis is that of the whole matrix, also on more rows than an earlier form sampled."""
+    terms = np.random.default_rng(4).integers(0, latent_leaks.TERMS, (60_000, 4)).astype(np.uint16)
+    terms[:, 1:3] = terms[:, :1] % 50
+    rows = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(terms)], "doc_id long, terms binary").repartition(4)
+    idf = np.linspace(0.5, 2, latent_leaks.TERMS)
+    got = latent_leaks.latent_basis(rows, idf, 6, 4)
+    g = np.random.default_rng(11).standard_normal((latent_leaks.TERMS, 10)).astype(np.float32)
+    w = (g * idf[:, None])[terms].sum(axis=1) / (idf[terms] ** 2).sum(axis=1)[:, None]
+    z = np.zeros((latent_leaks.TERMS, 10))
+    np.add.at(z, terms.ravel(), np.repeat(w, 4, axis=0))
+    z *= idf[:, None]
+    span, _ = np.linalg.qr(z)
+    own = got / idf[:, None]
+    assert np.linalg.norm(own - span @ (span.T @ own)) < 1e-3 * np.linalg.norm(own)
+
+
 def test_common_subsequence():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
