@@ -28,15 +28,15 @@ TERMS = 1 << 14
 RANK, EXTRA = 40, 8
 #: Words of a passage for the decomposition, and the step between windows.
 PASSAGE, STEP = 64, 4
-#: Least cosine of a candidate window, least share of an item's words in the common subsequence, words of an answer and
+#: Least cosine of a candidate window, where an item's words do not ask for a lower one, least share of an item's words in the common subsequence, words of an answer and
 #: least share of them that the window must hold in order.
 COSINE, COVERED, ANSWER_WORDS, ANSWER_COVERED = 0.65, 0.75, 5, 0.6
-#: Lengths of windows in words; an item is looked for by the longest one that must lie within a copy of it.
-LADDER = (4, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024)
+#: Standard deviations that the cosine of a leak may fall short of what its words in common let expect.
+SPREAD = 3.0
 #: Log-frequency that is taken off a term's weight: terms in more than a fifth of the documents are left with ``LEAST_WEIGHT``.
 COMMON, LEAST_WEIGHT = 1.5, 0.05
 #: Cosines that a task holds at once.
-COSINE_CELLS = 8 << 20
+COSINE_CELLS = 2 << 20
 #: Items that are sent to the tasks at once: RANK * 4 bytes and their words each.
 ITEM_BLOCK = 20_000
 #: Packed terms that a task unfolds at once: half a million words, each a row of floats.
@@ -192,15 +192,32 @@ def _marks(terms: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _finder(basis, items, cosine: float, covered: float, answer_covered: float):
+def window_of(words: int, cosine: float = COSINE, covered: float = COVERED) -> tuple[int, float]:
+    """Length of the windows in which an item of ``words`` words is looked for, about its own, and their least cosine.
+
+    ``m`` of the item's words are left in the best window on a copy that begins anywhere and lacks as many words as it may.
+    If words were unit vectors at random, the cosine would be m / sqrt(item * window) on average; it may fall short of that by
+    ``SPREAD`` standard deviations, from the random directions and from the weights of the words that are missing.
+    """
+    def expected(n: int) -> float:
+        held = min(max(min(r + words, s + n) - max(r, s) for s in (0, STEP)) for r in range(STEP))
+        return (int(np.ceil(covered * words)) - (words - held)) / np.sqrt(words * n)
+
+    own = STEP * max(1, words // STEP)
+    n = max(range(own, own + 3 * STEP, STEP), key=expected)
+    e = max(0.0, expected(n))
+    return n, min(cosine, e - SPREAD * float(np.sqrt((1 - e * e) / RANK + covered * (1 - covered) / words)))
+
+
+def _finder(basis, items, covered: float, answer_covered: float):
     """Leaks (doc_id, item_id, start, cosine, covered) in batches of packed terms.
 
     A near window whose marks lack more of an item's than may be missing cannot cover it, which spares most subsequences.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = basis.value
-        ids, words, answers, windows = items.value
-        sizes = sorted(set(windows))
+        ids, words, answers, windows, bounds = items.value
+        sizes, bounds = sorted(set(windows)), np.array(bounds, dtype=np.float32)
         by_size = {n: np.flatnonzero(np.array(windows) == n) for n in sizes}
         targets = {n: _unit(np.array([b[words[i]].sum(axis=0) for i in by_size[n]])) for n in sizes}
         # steps around a window that the rest of its items may take
@@ -222,19 +239,28 @@ def _finder(basis, items, cosine: float, covered: float, answer_covered: float):
                 first = np.concatenate([[0], np.cumsum(steps_of)])
                 doc = np.repeat(np.arange(len(size)), steps_of)
                 last = first[1:][doc]
+                run_marks, length = step_marks, 1  # marks of runs of ``length`` steps, doubled as windows get longer
                 for n in sizes:
                     ends = np.minimum(np.arange(len(doc)) + n // STEP, last)
-                    lacks = ~np.bitwise_or.reduce([step_marks[j : j + len(doc)] for j in range(pad - around[n], pad + n // STEP + around[n])])
+                    wide = n // STEP + 2 * around[n]
+                    while 2 * length <= wide:
+                        run_marks, length = run_marks[:-length] | run_marks[length:], 2 * length
+                    low, high = pad - around[n], pad - around[n] + wide - length
+                    lacks = ~(run_marks[low : low + len(doc)] | run_marks[high : high + len(doc)])
                     height = max(1, COSINE_CELLS // max(len(by_size[n]), b.shape[1]))
                     for low in range(0, len(doc), height):
                         window = (steps[ends[low : low + height]] - steps[low : min(low + height, len(doc))]).astype(np.float32)
                         norm = np.sqrt(np.einsum("ij,ij->i", window, window)) + np.float32(1e-9)
                         near = window @ targets[n].T
-                        at_step, item = np.nonzero(near >= cosine * norm[:, None])
+                        at_step, item = np.nonzero(near >= bounds[by_size[n]] * norm[:, None])
                         cos, at_step, item = near[at_step, item] / norm[at_step], at_step + low, by_size[n][item]
                         missing = np.bitwise_count(marks[item] & lacks[at_step]).sum(axis=1, dtype=np.int64)
                         keep = np.flatnonzero(missing <= may_miss[item])
-                        for s, i, c in zip(at_step[keep].tolist(), item[keep].tolist(), cos[keep].tolist()):
+                        keep = keep[np.argsort(-cos[keep], kind="stable")]
+                        for s, i, c, miss in zip(at_step[keep].tolist(), item[keep].tolist(), cos[keep].tolist(), missing[keep].tolist()):
+                            known = best.get((int(doc[s]), i))
+                            if known and (1 - miss / len(words[i]), c) < known[:2]:  # cannot become the best
+                                continue
                             d, at_word, slack = int(doc[s]), int(s - first[doc[s]]) * STEP, around[n] * STEP
                             held = x[at[d] + max(0, at_word - slack) : min(at[d + 1], at[d] + at_word + n + slack)]
                             share = common_subsequence(words[i], held) / len(words[i])
@@ -273,11 +299,11 @@ def find_leaks(
         numbers, at = term_numbers(pa.array([r.text for r in own], pa.string()))
         words = [numbers[s:e].astype(np.int64) for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
         kept = [i for i, w in enumerate(words) if len(w) >= LEAST_WORDS]
-        # windows are shorter than the item, so that one of them lies within a copy, wherever it begins
-        sizes = [max(n for n in LADDER if n == STEP or n <= len(words[i]) - STEP + 1) for i in kept]
-        items = spark.sparkContext.broadcast(([own[i].item_id for i in kept], [words[i] for i in kept], [words[i][-answer_words:] for i in kept], sizes))
+        windows = [window_of(len(words[i]), cosine, covered) for i in kept]
+        items = spark.sparkContext.broadcast((
+            [own[i].item_id for i in kept], [words[i] for i in kept], [words[i][-answer_words:] for i in kept], [n for n, _ in windows], [c for _, c in windows]))
         part = terms.where("doc_id is not null").mapInArrow(
-            _finder(basis, items, cosine, covered, answer_covered), "doc_id long, item_id long, start long, cosine double, covered double")
+            _finder(basis, items, covered, answer_covered), "doc_id long, item_id long, start long, cosine double, covered double")
         found = part if found is None else found.union(part)
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, start long, cosine double, covered double")

@@ -212,6 +212,31 @@ def test_latent_leaks(spark):
     assert latent_leaks.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_latent_leaks_of_all_lengths(spark):
+    """Items with a quarter of their words changed, short ones word by word, and very long ones are found."""
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8))) for _ in range(3000)]
+    say = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [say(n) for n in [5, 6, 7, 8, 10] * 12 + [26, 50] * 40 + [3500]]
+    rows, groups = [], {}
+    for i, item in enumerate(items):
+        copy = list(item)
+        if len(copy) in (26, 50):
+            for j in rng.sample(range(len(copy) - 5), len(copy) // 4):
+                copy[j] = rng.choice(vocab) + "x"
+        words = say(rng.randrange(20, 200))
+        at = rng.randrange(len(words))
+        words[at:at] = copy
+        rows.append((i, " ".join(words), "en", "s", 0))
+        groups.setdefault(len(item), []).append(i)
+    rows += [(1000 + i, " ".join(say(150)), "en", "s", 0) for i in range(200)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in latent_leaks.find_leaks(table(spark, rows), bench).collect()}
+    recall = {n: sum((i, i) in found for i in own) / len(own) for n, own in groups.items()}
+    assert min(recall.values()) >= 0.95
+    assert all(d == i for d, i in found)
+
+
 def test_basis_is_fitted_on_all_documents(spark):
     """The basis is that of the whole matrix, also on more rows than an earlier form sampled."""
     terms = np.random.default_rng(4).integers(0, latent_leaks.TERMS, (60_000, 4)).astype(np.uint16)
