@@ -42,7 +42,7 @@ def _plain(pattern: str, group: int) -> str:
 
 ANY = "|".join(f"(?:{_plain(p, i)})" for i, (_, p) in enumerate(PATTERNS))
 #: A text without any of these holds no entity, which spares most texts the full expression.
-HINT = r"@|\d{3}|\d\.\d|(?:" + "|".join(FEMALE_TITLES + MALE_TITLES + OPEN_TITLES) + r")\.?[  ]\p{Lu}"
+HINT = r"@|\d{3}|\d\.\d|\+\d|[A-Z]{2}\d{2}|(?:" + "|".join(FEMALE_TITLES + MALE_TITLES + OPEN_TITLES) + r")\.?[  ]\p{Lu}"
 
 #: Syllables of invented names by script: beginnings, then endings by gender.
 _LATIN = (("Al", "Bel", "Cor", "Dan", "El", "Fer", "Gil", "Hal", "Ing", "Jor", "Kal", "Lor", "Mar", "Nor", "Or", "Per"),

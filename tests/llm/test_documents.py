@@ -313,6 +313,16 @@ def test_surrogates(spark):
     assert surrogates.replace_entities(table(spark, []), "key").count() == 0
 
 
+def test_every_entity_is_found_alone(spark):
+    """One entity is enough: no text is passed over because of a cheap test before the expression."""
+    texts = {"mail": ["a@b.c"], "ip": ["1.2.3.4"], "phone": ["+33 6 12 34 56 78", "+49-89-12-34-56", "+1 (5) 12 34", "(555) 123-4567", "555-123-4567"],
+             "national": ["123-45-6789"], "card": ["4111 1111 1111 1111", "341234567890123"], "account": ["DE12 ABCD EFGH", "GB12A1B2C3D4E5"], "name": ["Mr Smith", "Госпожа Иванова"]}
+    rows = [(i, f"see {t} there", kind) for i, (kind, t) in enumerate((kind, t) for kind, own in texts.items() for t in own)]
+    got = surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string, kind string"), "key").collect()
+    assert {r.doc_id: (r.n_entities, r.kinds) for r in got} == {i: (1, kind) for i, _, kind in rows}
+    assert all(r.text != rows[r.doc_id][1] for r in got)
+
+
 def test_surrogates_stay_distinct(spark):
     """More entities than a small format has room for at the first draw."""
     people = spark.range(3000).select(F.lit("name").alias("kind"), F.concat(F.lit("Ab"), F.col("id").cast("string")).alias("normal"), F.lit("Mr Ab").alias("value"))
