@@ -3,12 +3,14 @@
 Detected entities (mail addresses, phone numbers, payment cards, network addresses, titled names) get replacements of
 the same type. A replacement is made from a keyed hash of the entity, the same in every document, so references stay
 together; it keeps the format (digits for digits, punctuation in place, a valid check digit on a card that had one) and, for
-names, gender, script and number of words. Distinct entities keep distinct surrogates: clashes, with each other or with an
+names, gender, script (Latin, Cyrillic or Greek) and number of words, each word by its own hash. Distinct entities keep distinct surrogates: clashes, with each other or with an
 entity that occurs, are drawn again with the next attempt until none is left.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,18 @@ FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle",
 MALE_TITLES = ("Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин")
 OPEN_TITLES = ("Dr", "Prof")
 
+_SPACE = r"[ \u00A0]"
+_TITLE = rf"(?:{'|'.join(FEMALE_TITLES + MALE_TITLES + OPEN_TITLES)})"
+#: The titles before a name. "Don" is a title behind a Spanish one only; behind others it is a name.
+_TITLES = (rf"(?:(?:Señor|Sr)\.?{_SPACE}Don|{_TITLE})\.?{_SPACE}"
+           rf"(?:(?:{'|'.join(t for t in FEMALE_TITLES + MALE_TITLES + OPEN_TITLES if t != 'Don')})\.?{_SPACE})*")
+#: A word of a name, initials, and the small words that stand before one.
+_WORD, _FULL, _INITIAL = rf"\p{{Lu}}[{_L}]*", rf"\p{{Lu}}[{_L}]+", r"\p{Lu}\.(?:-?\p{Lu}\.)*"
+_SMALL = rf"(?:(?:v[oa]n(?:{_SPACE}de[rnm])?|de|del|della|di|da|dos|du|la|le|bin|ibn|af|av){_SPACE})*"
+#: One full word at least, any number of further ones and initials, up to the next title.
+_NAME = (rf"(?:(?:{_INITIAL}{_SPACE}?|\p{{Lu}}{_SPACE}))*{_SMALL}{_FULL}"
+         rf"(?:(?:{_SPACE}|(?<=\.)){_SMALL}(?!{_TITLE}\.?{_SPACE}\p{{Lu}})(?:\p{{Lu}}{_SPACE})*(?:{_FULL}|{_INITIAL}))*")
+
 #: type, expression; where two match at one place, the first one counts.
 PATTERNS = (
     ("mail", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"),
@@ -31,7 +45,7 @@ PATTERNS = (
     ("card", r"(?<![\w.\-])\d{4}([ \-]?)\d{4}\1\d{4}\1\d{4}(?![\w\-])"),
     ("card", r"(?<![\w.\-])3[47]\d{13}(?![\w\-])"),
     ("account", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
-    ("name", rf"(?<![{_L}])(?:{'|'.join(FEMALE_TITLES + MALE_TITLES + OPEN_TITLES)})\.?[  ](?:\p{{Lu}}[{_L}]+)(?:[  ]\p{{Lu}}[{_L}]+)?"),
+    ("name", rf"(?<![{_L}]){_TITLES}{_NAME}"),
 )
 
 
@@ -42,7 +56,7 @@ def _plain(pattern: str, group: int) -> str:
 
 ANY = "|".join(f"(?:{_plain(p, i)})" for i, (_, p) in enumerate(PATTERNS))
 #: A text without any of these holds no entity, which spares most texts the full expression.
-HINT = r"@|\d{3}|\d\.\d|\+\d|[A-Z]{2}\d{2}|(?:" + "|".join(FEMALE_TITLES + MALE_TITLES + OPEN_TITLES) + r")\.?[  ]\p{Lu}"
+HINT = rf"@|\d{{3}}|\d\.\d|\+\d|[A-Z]{{2}}\d{{2}}|{_TITLE}\.?{_SPACE}"
 
 #: Syllables of invented names by script: beginnings, then endings by gender.
 _LATIN = (("Al", "Bel", "Cor", "Dan", "El", "Fer", "Gil", "Hal", "Ing", "Jor", "Kal", "Lor", "Mar", "Nor", "Or", "Per"),
@@ -51,6 +65,11 @@ _LATIN = (("Al", "Bel", "Cor", "Dan", "El", "Fer", "Gil", "Hal", "Ing", "Jor", "
 _CYRILLIC = (("Ал", "Бел", "Вер", "Дан", "Ел", "Жар", "Зор", "Иг", "Кир", "Лад", "Мар", "Ник", "Ол", "Пав", "Рад", "Сав"),
              ("ба", "ве", "га", "ли", "мо", "на", "ре", "со", "та", "ви", "ло", "ме", "ни", "ра", "се", "то"),
              ("ина", "ана", "елла", "ета"), ("ан", "ор", "ен", "ир"), ("ов", "ев", "ин", "ский"))
+_GREEK = (("Αλ", "Βελ", "Γορ", "Δαν", "Ελ", "Ζαν", "Θεο", "Ιαν", "Καλ", "Λορ", "Μαρ", "Νικ", "Ορ", "Περ", "Ραλ", "Σολ"),
+          ("βα", "δε", "γα", "λι", "μο", "να", "ρε", "σο", "τα", "βι", "λο", "με", "νι", "ρα", "σε", "το"),
+          ("ίνα", "έλλα", "άννα", "έτα"), ("ος", "ης", "ας", "ων"), ("άκης", "ίδης", "άτος", "έας"))
+#: Alphabets of initials.
+_ALPHABETS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 
 
 def find_entities(text: Column) -> Column:
@@ -69,7 +88,7 @@ def entity_type(value: Column) -> Column:
 def _normal(kind: Column, value: Column) -> Column:
     """What two mentions must share to be one entity: case for mail, digits for numbers, the words behind the title for names."""
     return (F.when(kind == "mail", F.lower(value))
-            .when(kind == "name", F.regexp_replace(value, r"^[^  ]+[  ]", ""))
+            .when(kind == "name", F.regexp_replace(F.regexp_replace(F.regexp_replace(value, f"^{_TITLES}", ""), _SPACE, " "), r"\.", ""))
             .when(kind.isin("phone", "card", "national"), F.regexp_replace(value, r"\D", ""))
             .when(kind == "account", F.replace(value, F.lit(" "), F.lit(""))).otherwise(value))
 
@@ -126,32 +145,65 @@ def _ip(draw: Column) -> Column:
     return F.concat_ws(".", *(byte(i) for i in range(4)))
 
 
-def _name(normal: Column, value: Column, draw: Column) -> Column:
-    """The title stays with the mention; each word behind it becomes an invented one of its script."""
-    title = F.regexp_replace(F.regexp_extract(value, r"^([^  ]+)", 1), r"\.$", "")
-    female, male = title.isin(*FEMALE_TITLES), title.isin(*MALE_TITLES)
+#: What stands before a word of a name in ``normal``: the gender of a given name (o: open), or s for a surname.
+_ROLE = "^([fmos]) "
+
+
+def _by_script(word: Column, one) -> Column:
+    return F.when(F.regexp_like(word, F.lit(r"^\p{IsCyrillic}")), one(_CYRILLIC)).when(F.regexp_like(word, F.lit(r"^\p{IsGreek}")), one(_GREEK)).otherwise(one(_LATIN))
+
+
+def _name(normal: Column, draw: Column) -> Column:
+    """An invented word in the script of a word of a name, as its role asks."""
+    role = F.regexp_extract(normal, _ROLE, 1)
+
+    def word(s: tuple) -> Column:
+        end = F.when(role == "f", _pick(draw, 4, s[2])).when(role == "m", _pick(draw, 4, s[3])).when(role == "o", _pick(draw, 4, s[3] + s[2])).otherwise(_pick(draw, 4, s[4]))
+        return F.concat(_pick(draw, 1, s[0]), _pick(draw, 2, s[1]), _pick(draw, 3, s[1]), end)
 
-    def word(s: tuple, at: int, last: Column | bool) -> Column:
-        first_name = F.when(female, _pick(draw, at + 3, s[2])).when(male, _pick(draw, at + 3, s[3])).otherwise(_pick(draw, at + 3, s[3] + s[2]))
-        end = F.when(last, _pick(draw, at + 3, s[4])).otherwise(first_name)
-        return F.concat(_pick(draw, at, s[0]), _pick(draw, at + 1, s[1]), _pick(draw, at + 2, s[1]), end)
+    return _by_script(_plain_word(normal), word)
 
-    two = F.size(F.split(normal, "[ \\u00A0]")) > 1
 
-    def full(s: tuple) -> Column:
-        return F.when(two, F.concat(word(s, 1, F.lit(False)), F.lit(" "), word(s, 9, F.lit(True)))).otherwise(word(s, 1, F.lit(True)))
+def _plain_word(normal: Column) -> Column:
+    return F.regexp_replace(normal, _ROLE, "")
 
-    return F.when(F.regexp_like(normal, F.lit(r"^\p{IsCyrillic}")), full(_CYRILLIC)).otherwise(full(_LATIN))
+
+def _initial(key: str, letter: Column) -> Column:
+    """Another letter of its alphabet, by a shift that depends on the key: distinct initials stay distinct. Null for other letters."""
+    out = F.lit(None).cast("string")
+    for letters in _ALPHABETS:
+        shift = 1 + int(hashlib.sha256(f"{key}\u0001{letters}".encode()).hexdigest(), 16) % (len(letters) - 1)
+        out = F.when(F.contains(F.lit(letters), letter), F.translate(letter, letters, letters[shift:] + letters[:shift])).otherwise(out)
+    return out
+
+
+def _name_words(names: DataFrame, key: str) -> DataFrame:
+    """(mention, title, pieces, pos, word, unit) for each word of ``names`` (mention, normal); ``unit`` is null for initials.
+
+    The last full word is the surname, which is the same unit in all names. Other words are units by the gender that most
+    of the mentions of their name show.
+    """
+    title = F.regexp_extract("mention", f"^{_TITLES}", 0)
+    rest = F.substr("mention", F.length("title") + 1)
+    held = lambda titles: F.regexp_like("title", F.lit(rf"(?<![{_L}])(?:{'|'.join(titles)})(?![{_L}])")).cast("int")
+    rows = names.select("mention", "normal").distinct().withColumn("title", title).withColumn("female", held(FEMALE_TITLES)).withColumn("male", held(MALE_TITLES))
+    gender = rows.groupBy("normal").agg(F.sign(F.sum("female") - F.sum("male")).alias("g"))
+    rows = rows.join(gender, "normal").withColumn("words", F.regexp_extract_all(rest, F.lit(_WORD), F.lit(0))).withColumn("pieces", F.split(rest, _WORD, -1))
+    surname = F.array_max(F.transform("words", lambda w, i: F.when(F.length(w) > 1, i).otherwise(-1)))
+    rows = rows.select("mention", "title", "pieces", "g", surname.alias("surname"), F.posexplode("words").alias("pos", "word"))
+    role = F.when(F.col("pos") == F.col("surname"), "s").when(F.col("g") > 0, "f").when(F.col("g") < 0, "m").otherwise("o")
+    is_initial = (F.length("word") == 1) & _initial(key, F.col("word")).isNotNull()
+    return rows.select("mention", "title", "pieces", "pos", "word", F.when(~is_initial, F.concat_ws(" ", role, "word")).alias("unit"))
 
 
 def _surrogate(key: str) -> Column:
-    """The surrogate of (kind, normal, value) in columns, at the column ``attempt``; for names without their title."""
+    """The surrogate of (kind, normal, value) in columns, at the column ``attempt``; for names that of one word."""
     kind, normal, value = F.col("kind"), F.col("normal"), F.col("value")
     draw = _stream(key, F.col("attempt"), kind, normal)
     host = F.regexp_extract(value, r"@[^.]+((?:\..+)?)$", 1)
     mail = F.concat(_shaped(F.substring_index(normal, "@", 1), draw), F.lit("@"), _shaped(F.regexp_extract(normal, r"@([^.]+)", 1), F.substr(draw, F.lit(101))), host)
     return (F.when(kind == "mail", mail).when(kind == "ip", _ip(draw)).when(kind == "card", _card(normal, draw))
-            .when(kind == "name", _name(normal, value, draw)).when(kind == "account", F.concat(F.substr(normal, F.lit(1), F.lit(2)), F.substr(_shaped(normal, draw), F.lit(3))))
+            .when(kind == "name", _name(normal, draw)).when(kind == "account", F.concat(F.substr(normal, F.lit(1), F.lit(2)), F.substr(_shaped(normal, draw), F.lit(3))))
             .otherwise(_shaped(normal, draw)))
 
 
@@ -164,14 +216,14 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     the ninth attempt on.
     """
     people = stored(entities, "entities")
-    known = people.select("kind", F.col("normal").alias("surrogate")).distinct()
+    known = people.select("kind", F.when(F.col("kind") == "name", _plain_word(F.col("normal"))).otherwise(F.col("normal")).alias("surrogate")).distinct()
     done, left, attempt = None, people, 0
     while True:
         draw = _surrogate(key)
         if attempt > 8:
             extra = F.conv(_hex(key, F.col("attempt"), F.lit("more"), F.col("normal"), size=4 + attempt // 2), 16, 10)
             draw = F.when(F.col("kind").isin("phone", "national", "account", "card"), F.concat(draw, extra)).when(
-                F.col("kind") == "mail", F.concat(extra, draw)).when(F.col("kind") == "name", F.concat(draw, _pick(_hex(key, F.col("attempt"), F.col("normal")), 5, _LATIN[1]))).otherwise(draw)
+                F.col("kind") == "mail", F.concat(extra, draw)).when(F.col("kind") == "name", F.concat(draw, _by_script(_plain_word(F.col("normal")), lambda s: _pick(_hex(key, F.col("attempt"), F.col("normal")), 5, s[1])))).otherwise(draw)
         drawn = stored(left.withColumn("attempt", F.lit(attempt)).select("kind", "normal", "value", draw.alias("surrogate")), "draws")
         # what the format looks like must differ as well: phone numbers and cards are compared by their digits
         first = drawn.groupBy("kind", "surrogate").agg(F.min("normal").alias("normal"))
@@ -186,7 +238,7 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
 
 
 def _dressed(kind: Column, mention: Column, surrogate: Column) -> Column:
-    """A surrogate in the format of one mention: the mention's punctuation for numbers, its title for names."""
+    """A surrogate in the format of one mention: the mention's punctuation for numbers."""
     digits = F.split(surrogate, "")
 
     def put(acc: Column, c: Column) -> Column:
@@ -196,8 +248,7 @@ def _dressed(kind: Column, mention: Column, surrogate: Column) -> Column:
 
     zero = F.struct(F.lit("").alias("s"), F.lit(0).alias("n"))
     spaced = F.aggregate(F.split(mention, ""), zero, put, lambda a: F.concat(a["s"], F.array_join(F.slice(digits, a["n"] + 1, F.greatest(F.lit(0), F.size(digits) - a["n"])), "")))
-    return (F.when(kind.isin("phone", "card", "national", "account"), spaced)
-            .when(kind == "name", F.concat(F.regexp_extract(mention, r"^([^  ]+[  ])", 1), surrogate)).otherwise(surrogate))
+    return F.when(kind.isin("phone", "card", "national", "account"), spaced).otherwise(surrogate)
 
 
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:
@@ -215,10 +266,17 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     mentions = some.select("text_key", F.explode(F.array_distinct("found")).alias("mention")).distinct()
     mentions = mentions.withColumn("kind", entity_type(F.col("mention"))).withColumn("normal", _normal(F.col("kind"), F.col("mention")))
     mentions = stored(mentions, "mentions")
-    entities = mentions.groupBy("kind", "normal").agg(F.min("mention").alias("value"))
+    others, name_words = mentions.where("kind <> 'name'"), stored(_name_words(mentions.where("kind = 'name'"), key), "names")
+    entities = others.groupBy("kind", "normal").agg(F.min("mention").alias("value")).union(
+        name_words.where("unit is not null").select(F.lit("name"), "unit", "word").distinct())
     table = surrogate_table(entities, key).select("kind", "normal", "surrogate")
-    words = mentions.select("mention", "kind", "normal").distinct().join(table, ["kind", "normal"]).select(
+    words = others.select("mention", "kind", "normal").distinct().join(table, ["kind", "normal"]).select(
         "mention", "kind", _dressed(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new"))
+    told = name_words.join(table.where("kind = 'name'").select(F.col("normal").alias("unit"), "surrogate"), "unit", "left").withColumn(
+        "new", F.coalesce("surrogate", _initial(key, F.col("word"))))
+    told = told.groupBy("mention", "title", "pieces").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("told"))
+    name = F.array_join(F.zip_with("pieces", F.col("told.new"), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
+    words = words.union(told.select("mention", F.lit("name"), F.concat("title", name)))
     # a hot mention meets one row here; a text's map is as long as the text at most
     maps = mentions.select("text_key", "mention").join(words, "mention").groupBy("text_key").agg(
         F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias("new"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))

@@ -323,6 +323,22 @@ def test_every_entity_is_found_alone(spark):
     assert all(r.text != rows[r.doc_id][1] for r in got)
 
 
+def test_whole_names(spark):
+    """Titles, initials and any number of words; one surname is one surrogate; gender from all mentions; scripts."""
+    texts = ["met Mrs Anna Maria Schmidt today", "met Frau Dr. Müller today", "met Mr. J. Smith today", "met Mr Smith and Mr John Smith today", "met Dr Eva Weber today",
+             "met Mrs Eva Weber today", "met Mr Νίκος Παππάς today", "met Herr Prof. Dr. K.-H. von der Linde today", "met Mr Don Hill Mrs Ada Hill today", "yes Sir I will"]
+    got = {r.doc_id: r for r in surrogates.replace_entities(table(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)]), "key").collect()}
+    text = {i: r.text for i, r in got.items()}
+    for i, own in enumerate(re.findall(r"\w+", "Anna Maria Schmidt Müller Smith John Eva Weber Νίκος Παππάς Linde Don Hill Ada")):
+        assert all(own not in t.split() for t in text.values()), own
+    shapes = [r"met Mrs \w+ \w+ \w+ today", r"met Frau Dr\. \w+ today", r"met Mr\. [A-Z]\. (\w+) today", r"met Mr (\w+) and Mr \w+ (\w+) today", r"met Dr (\w+ \w+) today",
+              r"met Mrs (\w+ \w+) today", r"met Mr [Ͱ-Ͽ]+ [Ͱ-Ͽ]+ today", r"met Herr Prof\. Dr\. [A-Z]\.-[A-Z]\. von der \w+ today", r"met Mr \w+ (\w+) Mrs \w+ (\w+) today", r"yes Sir I will"]
+    m = [re.fullmatch(s, text[i]) for i, s in enumerate(shapes)]
+    assert all(m), [(text[i], shapes[i]) for i, x in enumerate(m) if not x]
+    assert m[2][1] == m[3][1] == m[3][2] and m[4][1] == m[5][1] and m[4][1].split()[0].endswith("a") and m[8][1] == m[8][2]
+    assert [got[i].n_entities for i in range(10)] == [1, 1, 1, 2, 1, 1, 1, 1, 2, 0] and "J." not in text[2] and "K.-H." not in text[7]
+
+
 def test_surrogates_stay_distinct(spark):
     """More entities than a small format has room for at the first draw."""
     people = spark.range(3000).select(F.lit("name").alias("kind"), F.concat(F.lit("Ab"), F.col("id").cast("string")).alias("normal"), F.lit("Mr Ab").alias("value"))
