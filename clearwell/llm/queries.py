@@ -16,6 +16,7 @@ from clearwell.llm.mixing import mix_sources
 from clearwell.llm.ngram_join import ngram_join
 from clearwell.llm.permutation_index import search
 from clearwell.llm.secret_scan import BASE_RULES, RULES, scan_secrets
+from clearwell.llm.spelling_groups import spelling_groups
 from clearwell.llm.surrogates import replace_entities
 from clearwell.llm.warc_archive import read_archives, write_archives
 
@@ -250,3 +251,39 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_keyed_surrogates")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_entities(table(spark, sf_dir, "documents"), key="surrogates")
+
+
+@query("op11_spelling_trie", rf"""
+WITH RECURSIVE crc_table AS (
+    SELECT list(list_reduce(list_concat([b], range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t
+    FROM (SELECT unnest(range(0, 256)) AS b)),
+runs AS (
+    SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS named, run, count(*) AS times FROM (
+        SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{UPPER}', '{LOWER}') AS run FROM documents)
+    GROUP BY 1, 2),
+bytes AS (
+    SELECT run, times, list_transform(range(1, len(hex(encode(named))), 2), lambda i: ('0x' || substr(hex(encode(named)), i, 2))::BIGINT) AS bs FROM runs),
+hashed AS (
+    SELECT run, times, xor(list_reduce(list_concat([4294967295], bs), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+    FROM bytes, crc_table),
+said AS (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % len(run))::BIGINT) || substr(run, (h % len(run))::BIGINT + 2) ELSE run END AS word, times FROM hashed),
+words AS (SELECT word, sum(times)::BIGINT AS n FROM said WHERE len(word) >= 5 GROUP BY 1 HAVING sum(times) >= 3),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM words)),
+near AS (
+    SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b USING (i, rest) WHERE a.word <> b.word
+    UNION SELECT a.word, a.n, b.word, b.n FROM words a JOIN cut b ON b.rest = a.word
+    UNION SELECT b.word, b.n, a.word, a.n FROM words a JOIN cut b ON b.rest = a.word),
+chosen AS (
+    SELECT word, count(*) AS n_near, max(CASE WHEN other_n >= 2 * n THEN other_n END) AS form_n FROM near GROUP BY 1),
+forms AS (
+    SELECT c.word, n_near, form_n, (SELECT min(other) FROM near b WHERE b.word = c.word AND b.other_n = c.form_n) AS form FROM chosen c),
+walk(word, root, step) AS (
+    SELECT word, form, 1 FROM forms WHERE form IS NOT NULL
+    UNION ALL SELECT w.word, f.form, step + 1 FROM walk w JOIN forms f ON f.word = w.root WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, step) AS root FROM walk GROUP BY 1)
+SELECT word, form, coalesce(root, word) AS root, n, coalesce(n_near, 0) AS n_near, form_n
+FROM words LEFT JOIN forms USING (word) LEFT JOIN roots USING (word)
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
