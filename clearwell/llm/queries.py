@@ -15,6 +15,7 @@ from clearwell.llm.license_scan import BASE_PHRASES, TEMPLATES, WORD, compile_te
 from clearwell.llm.mixing import mix_sources
 from clearwell.llm.ngram_join import ngram_join
 from clearwell.llm.permutation_index import search
+from clearwell.llm.phrase_mining import mine_phrases
 from clearwell.llm.secret_scan import BASE_RULES, RULES, scan_secrets
 from clearwell.llm.spelling_groups import spelling_groups
 from clearwell.llm.surrogates import replace_entities
@@ -287,3 +288,33 @@ FROM words LEFT JOIN forms USING (word) LEFT JOIN roots USING (word)
 """)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op12_phrase_frontier", rf"""
+WITH p AS (
+    SELECT lang, regexp_extract_all(unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws
+    FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text FROM documents)),
+one AS (SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(ws) AS x FROM p) GROUP BY ALL),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY 1),
+two AS (SELECT lang, x, y, count(*) AS f FROM (SELECT lang, ws[i] AS x, ws[i + 1] AS y FROM (SELECT lang, ws, unnest(range(1, len(ws))) AS i FROM p)) GROUP BY ALL),
+three AS (
+    SELECT lang, x, y, z, count(*) AS f FROM (SELECT lang, ws[i] AS x, ws[i + 1] AS y, ws[i + 2] AS z FROM (SELECT lang, ws, unnest(range(1, len(ws) - 1)) AS i FROM p))
+    GROUP BY ALL HAVING count(*) >= 10),
+c3 AS (
+    SELECT three.lang, x || ' ' || y || ' ' || z AS phrase, three.f AS a, o1.f AS l1, t1.f AS r1, t2.f AS l2, o2.f AS r2,
+        (1000000::HUGEINT * a * a // (l1::HUGEINT * r1))::BIGINT AS s1, (1000000::HUGEINT * a * a // (l2::HUGEINT * r2))::BIGINT AS s2
+    FROM three JOIN one o1 USING (lang, x) JOIN (SELECT lang, x AS y, y AS z, f FROM two) t1 USING (lang, y, z)
+    JOIN two t2 USING (lang, x, y) JOIN (SELECT lang, x AS z, f FROM one) o2 USING (lang, z)),
+longest AS (SELECT lang, x, y, max(f) AS f FROM (SELECT lang, x, y, f FROM three UNION ALL SELECT lang, y, z, f FROM three) GROUP BY ALL),
+c2 AS (
+    SELECT two.lang, x || ' ' || y AS phrase, two.f AS a, o1.f AS l, o2.f AS r, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score
+    FROM two JOIN one o1 USING (lang, x) JOIN (SELECT lang, x AS y, f FROM one) o2 USING (lang, y) LEFT JOIN longest m USING (lang, x, y)
+    WHERE two.f >= 10 AND (m.f IS NULL OR 100 * m.f < 50 * two.f)),
+c AS (
+    SELECT * FROM c2 UNION ALL
+    SELECT lang, phrase, a, CASE WHEN s2 < s1 THEN l2 ELSE l1 END, CASE WHEN s2 < s1 THEN r2 ELSE r1 END, least(s1, s2) FROM c3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM c)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"))
