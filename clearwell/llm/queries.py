@@ -16,6 +16,8 @@ from clearwell.llm.mixing import mix_sources
 from clearwell.llm.ngram_join import ngram_join
 from clearwell.llm.permutation_index import search
 from clearwell.llm.phrase_mining import mine_phrases
+from clearwell.llm.quality_rules import BASE as BASE_QUALITY
+from clearwell.llm.quality_rules import RULES as QUALITY, judge
 from clearwell.llm.secret_scan import BASE_RULES, RULES, scan_secrets
 from clearwell.llm.spelling_groups import spelling_groups
 from clearwell.llm.surrogates import replace_entities
@@ -318,3 +320,29 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang)
 """)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_phrases(table(spark, sf_dir, "documents"))
+
+
+def _quality_sql() -> str:
+    failed = lambda rules: " OR ".join(f"({r.sql})" for r in rules)
+    full = lambda x: rf"regexp_matches({x}, '[^\x20\x09-\x0D]')"
+    return rf"""
+WITH w AS (
+    SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: {full('x')}) AS lines
+    FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+grams AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+again AS (SELECT doc_id, unnest(list(i)) AS i FROM grams GROUP BY doc_id, gram HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest(range(0, 8)) AS k) GROUP BY 1),
+m AS (
+    SELECT doc_id, len(ws) AS n_words, len(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+        len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+        len(regexp_extract_all(text, '[A-Z]')) AS n_upper, len(regexp_extract_all(text, '[a-z]')) AS n_lower,
+        len(list_filter(ws, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_letter_words
+    FROM w LEFT JOIN covered USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({failed(BASE_QUALITY)}) AS base_failed, NOT ({failed(QUALITY)}) AS kept
+FROM m
+"""
+
+
+@query("op13_quality_cascade", _quality_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"))
