@@ -81,9 +81,22 @@ def layout_of(paths: tuple[str, ...]) -> str:
     return show(tree)
 
 
+#: Records of more characters are fingerprinted without their strings, which the parser takes up to a size only.
+LONG_RECORD = 1_000_000
+#: Strings of any length are read.
+_ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
+
+
+def _without_strings(record: Column) -> Column:
+    """A JSON record with empty strings as values; names of fields stay."""
+    inside = r'[^"\\]*+(?s:\\.[^"\\]*+)*+'
+    return F.regexp_replace(record, rf'("{inside}"\s*+:)|("){inside}(")', "$1$2$3")
+
+
 def fingerprint(record: Column) -> Column:
     """The hash of a JSON record's nested field paths; null where it is no JSON object. Values and their types do not count."""
-    schema = F.schema_of_variant(F.try_parse_json(record))
+    short = F.when(F.length(record) > LONG_RECORD, _without_strings(record)).otherwise(record)
+    schema = F.schema_of_variant(F.try_parse_json(short))
     return F.when(schema.startswith("OBJECT<"), F.md5(_bare(schema)))
 
 
@@ -104,8 +117,28 @@ def unescape(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, r"\\\\", -1), plain), "\\")
 
 
+def _read(record: str, paths: tuple[str, ...], kind: str = "string") -> dict[str, Column]:
+    """The fields at ``paths`` of a JSON record, each of type ``kind``, from one parse; null where there is none."""
+    tree: dict = {}
+    for path in paths:
+        node = tree
+        for part in path.split("."):
+            node = node.setdefault(part, {})
+
+    def show(node: dict) -> str:
+        return "struct<" + ", ".join(f"`{name}`: {show(inner) if inner else kind}" for name, inner in node.items()) + ">"
+
+    parsed = F.from_json(F.col(record), show(tree), _ANY_LENGTH)
+    out = {}
+    for path in paths:
+        out[path] = parsed
+        for part in path.split("."):
+            out[path] = out[path][part]
+    return out
+
+
 def _messages(record: str, m: Mapping) -> Column:
-    items = F.from_json(F.get_json_object(record, f"$.{m.messages}"), f"array<struct<`{m.role}`: string, `{m.text}`: string>>")
+    items = _read(record, (m.messages,), f"array<struct<`{m.role}`: string, `{m.text}`: string>>")[m.messages]
     named = F.create_map(*(F.lit(x) for pair in m.roles for x in pair)) if m.roles else None
 
     def said(x: Column) -> Column:
@@ -120,7 +153,7 @@ def canonical_turns(df: DataFrame, record: str = "record", mappings: tuple[Mappi
 
     A record that is null, no JSON, or of a layout that no mapping declares has null ``layout`` and ``turns``: it is
     kept for the caller to look at, not dropped. A null text is an empty one in an array of messages; there, an unknown role
-    name stays as it is. All other columns stay.
+    name stays as it is. All other columns stay. Texts of any length that a row can hold come out whole.
     """
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role: string, text: string>>")
     mark = F.col("_fingerprint")
@@ -129,8 +162,9 @@ def canonical_turns(df: DataFrame, record: str = "record", mappings: tuple[Mappi
         if m.messages:
             found = _messages(record, m)
         else:
+            fields = _read(record, tuple(path for _, path in m.turns))
             found = F.filter(
-                F.array(*(F.struct(F.lit(role).alias("role"), F.get_json_object(record, f"$.{path}").alias("text")) for role, path in m.turns)),
+                F.array(*(F.struct(F.lit(role).alias("role"), fields[path].alias("text")) for role, path in m.turns)),
                 lambda x: x["text"].isNotNull())
         layout, turns = F.when(is_it, m.name).otherwise(layout), F.when(is_it, found).otherwise(turns)
     named = df.withColumn("_fingerprint", fingerprint(F.col(record)))
