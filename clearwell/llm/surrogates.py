@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from clearwell.llm.blocks import stored
 
+# Loops over groups are possessive: the engine runs these step by step, and others by one call inside the other, which a junk
+# text of many repetitions would end. No loop takes what the rest of its pattern needs. A mail or a row of titles is tried where it
+# begins (or where the last entity ended), not once more from each of its letters or titles.
 _L = r"\p{L}\p{M}'’\-"
 #: Titles by gender, of several languages and scripts.
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña", "Госпожа")
@@ -26,17 +29,17 @@ _SPACE = r"[ \u00A0]"
 _TITLE = rf"(?:{'|'.join(FEMALE_TITLES + MALE_TITLES + OPEN_TITLES)})"
 #: The titles before a name. "Don" is a title behind a Spanish one only; behind others it is a name.
 _TITLES = (rf"(?:(?:Señor|Sr)\.?{_SPACE}Don|{_TITLE})\.?{_SPACE}"
-           rf"(?:(?:{'|'.join(t for t in FEMALE_TITLES + MALE_TITLES + OPEN_TITLES if t != 'Don')})\.?{_SPACE})*")
+           rf"(?:(?:{'|'.join(t for t in FEMALE_TITLES + MALE_TITLES + OPEN_TITLES if t != 'Don')})\.?{_SPACE})*+")
 #: A word of a name, initials, and the small words that stand before one.
-_WORD, _FULL, _INITIAL = rf"\p{{Lu}}[{_L}]*", rf"\p{{Lu}}[{_L}]+", r"\p{Lu}\.(?:-?\p{Lu}\.)*"
-_SMALL = rf"(?:(?:v[oa]n(?:{_SPACE}de[rnm])?|de|del|della|di|da|dos|du|la|le|bin|ibn|af|av){_SPACE})*"
+_WORD, _FULL, _INITIAL = rf"\p{{Lu}}[{_L}]*", rf"\p{{Lu}}[{_L}]+", r"\p{Lu}\.(?:-?\p{Lu}\.)*+"
+_SMALL = rf"(?:(?:v[oa]n(?:{_SPACE}de[rnm])?|de|del|della|di|da|dos|du|la|le|bin|ibn|af|av){_SPACE})*+"
 #: One full word at least, any number of further ones and initials, up to the next title.
-_NAME = (rf"(?:(?:{_INITIAL}{_SPACE}?|\p{{Lu}}{_SPACE}))*{_SMALL}{_FULL}"
-         rf"(?:(?:{_SPACE}|(?<=\.)){_SMALL}(?!{_TITLE}\.?{_SPACE}\p{{Lu}})(?:\p{{Lu}}{_SPACE})*(?:{_FULL}|{_INITIAL}))*")
+_NAME = (rf"(?:{_INITIAL}{_SPACE}?|\p{{Lu}}{_SPACE})*+{_SMALL}{_FULL}"
+         rf"(?:(?:{_SPACE}|(?<=\.)){_SMALL}(?!{_TITLE}\.?{_SPACE}\p{{Lu}})(?:\p{{Lu}}{_SPACE})*+(?:{_FULL}|{_INITIAL}))*+")
 
 #: type, expression; where two match at one place, the first one counts.
 PATTERNS = (
-    ("mail", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"),
+    ("mail", r"(?:\G|(?<![A-Za-z0-9._%+\-]))[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]++)++"),
     ("ip", r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d.]*\d)"),
     ("phone", r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)"),
     ("phone", r"(?<![\w(])\(\d{3}\) ?\d{3}[.\-]\d{4}(?!\d)"),
@@ -45,7 +48,7 @@ PATTERNS = (
     ("card", r"(?<![\w.\-])\d{4}([ \-]?)\d{4}\1\d{4}\1\d{4}(?![\w\-])"),
     ("card", r"(?<![\w.\-])3[47]\d{13}(?![\w\-])"),
     ("account", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
-    ("name", rf"(?<![{_L}]){_TITLES}{_NAME}"),
+    ("name", rf"(?<![{_L}])(?<!(?<![{_L}]){_TITLE}\.?{_SPACE}){_TITLES}{_NAME}"),
 )
 
 
@@ -177,11 +180,11 @@ def _initial(key: str, letter: Column) -> Column:
     return out
 
 
-def _name_words(names: DataFrame, key: str) -> DataFrame:
-    """(mention, title, pieces, pos, word, unit) for each word of ``names`` (mention, normal); ``unit`` is null for initials.
+def _name_words(names: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``names`` (mention, normal) to their heads (mention_key, mention, title, pieces) and their words (mention_key, pos, word, unit).
 
     The last full word is the surname, which is the same unit in all names. Other words are units by the gender that most
-    of the mentions of their name show.
+    of the mentions of their name show; ``unit`` is null for initials. Words carry a hash of the mention, which may be long.
     """
     title = F.regexp_extract("mention", f"^{_TITLES}", 0)
     rest = F.substr("mention", F.length("title") + 1)
@@ -190,10 +193,12 @@ def _name_words(names: DataFrame, key: str) -> DataFrame:
     gender = rows.groupBy("normal").agg(F.sign(F.sum("female") - F.sum("male")).alias("g"))
     rows = rows.join(gender, "normal").withColumn("words", F.regexp_extract_all(rest, F.lit(_WORD), F.lit(0))).withColumn("pieces", F.split(rest, _WORD, -1))
     surname = F.array_max(F.transform("words", lambda w, i: F.when(F.length(w) > 1, i).otherwise(-1)))
-    rows = rows.select("mention", "title", "pieces", "g", surname.alias("surname"), F.posexplode("words").alias("pos", "word"))
+    heads = stored(rows.select(F.md5("mention").alias("mention_key"), "mention", "title", "pieces", "words", "g", surname.alias("surname")), "name-heads")
+    words = heads.select("mention_key", "g", "surname", F.posexplode("words").alias("pos", "word"))
     role = F.when(F.col("pos") == F.col("surname"), "s").when(F.col("g") > 0, "f").when(F.col("g") < 0, "m").otherwise("o")
     is_initial = (F.length("word") == 1) & _initial(key, F.col("word")).isNotNull()
-    return rows.select("mention", "title", "pieces", "pos", "word", F.when(~is_initial, F.concat_ws(" ", role, "word")).alias("unit"))
+    words = words.select("mention_key", "pos", "word", F.when(~is_initial, F.concat_ws(" ", role, "word")).alias("unit"))
+    return heads.select("mention_key", "mention", "title", "pieces"), stored(words, "names")
 
 
 def _surrogate(key: str) -> Column:
@@ -251,9 +256,26 @@ def _dressed(kind: Column, mention: Column, surrogate: Column) -> Column:
     return F.when(kind.isin("phone", "card", "national", "account"), spaced).otherwise(surrogate)
 
 
+_PARTS = "array<struct<word: string, rank: int, new: string>>"
+
+
+def _mentioned_again(piece: Column, known: Column) -> Column:
+    """A piece of text between entities, with the words of the text's names replaced where they stand alone, in the genitive as well."""
+    word = rf"(?<![{_L}])\p{{Lu}}[{_L}]++"
+
+    def one(w: Column) -> Column:
+        bare = F.regexp_replace(w, "['’]s?$", "")
+        return F.coalesce(F.try_element_at(known, w), F.concat(F.try_element_at(known, bare), F.substr(w, F.length(bare) + 1)), w)
+
+    words = F.transform(F.regexp_extract_all(piece, F.lit(word), F.lit(0)), one)
+    return F.array_join(F.zip_with(F.split(piece, word, -1), words, lambda p, w: F.concat(p, F.coalesce(w, F.lit("")))), "")
+
+
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` (doc_id, text, ...) to (doc_id, n_entities, kinds, text): every entity replaced by its surrogate.
 
+    Names are found behind a title; where a full word of such a name stands again in the same text, it gets the same
+    surrogate. ``n_entities`` counts the entities found, without such words.
     ``kinds`` are the distinct types found, sorted and comma-joined ("" if none). One row for each row; texts without
     entities come out as they were, null as null with 0 entities. Repeated rows and repeated doc_ids are told apart by a
     hash of the text, so rows alike come out alike. Other columns are ignored; an empty table gives an empty result.
@@ -266,21 +288,28 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     mentions = some.select("text_key", F.explode(F.array_distinct("found")).alias("mention")).distinct()
     mentions = mentions.withColumn("kind", entity_type(F.col("mention"))).withColumn("normal", _normal(F.col("kind"), F.col("mention")))
     mentions = stored(mentions, "mentions")
-    others, name_words = mentions.where("kind <> 'name'"), stored(_name_words(mentions.where("kind = 'name'"), key), "names")
+    others = mentions.where("kind <> 'name'")
+    heads, name_words = _name_words(mentions.where("kind = 'name'"), key)
     entities = others.groupBy("kind", "normal").agg(F.min("mention").alias("value")).union(
         name_words.where("unit is not null").select(F.lit("name"), "unit", "word").distinct())
     table = surrogate_table(entities, key).select("kind", "normal", "surrogate")
     words = others.select("mention", "kind", "normal").distinct().join(table, ["kind", "normal"]).select(
-        "mention", "kind", _dressed(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new"))
+        "mention", "kind", _dressed(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new"), F.lit(None).cast(_PARTS).alias("parts"))
     told = name_words.join(table.where("kind = 'name'").select(F.col("normal").alias("unit"), "surrogate"), "unit", "left").withColumn(
         "new", F.coalesce("surrogate", _initial(key, F.col("word"))))
-    told = told.groupBy("mention", "title", "pieces").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("told"))
+    # a surname goes before a given name where one word is both
+    part = F.when(F.col("surrogate").isNotNull() & (F.length("word") > 1), F.struct("word", (~F.col("unit").startswith("s ")).cast("int").alias("rank"), F.col("surrogate").alias("new")))
+    told = told.groupBy("mention_key").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("told"), F.collect_list(part).cast(_PARTS).alias("parts"))
+    told = told.join(heads, "mention_key")
     name = F.array_join(F.zip_with("pieces", F.col("told.new"), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
-    words = words.union(told.select("mention", F.lit("name"), F.concat("title", name)))
+    words = words.union(told.select("mention", F.lit("name"), F.concat("title", name), "parts"))
     # a hot mention meets one row here; a text's map is as long as the text at most
     maps = mentions.select("text_key", "mention").join(words, "mention").groupBy("text_key").agg(
-        F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias("new"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))
-    pieces = F.split("text", ANY, -1)
+        F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias("new"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"),
+        F.sort_array(F.flatten(F.collect_list("parts"))).alias("parts"))
+    first = F.filter("parts", lambda x, i: (i == 0) | (x["word"] != F.get("parts", i - 1)["word"]))
+    maps = maps.withColumn("again", F.map_from_entries(F.transform(first, lambda x: F.struct(x["word"], x["new"])))).drop("parts")
+    pieces = F.transform(F.split("text", ANY, -1), lambda p: F.when(F.size("again") > 0, _mentioned_again(p, F.col("again"))).otherwise(p))
     told = F.transform("found", lambda m: F.element_at(F.col("new"), m))
     text = F.array_join(F.zip_with(pieces, told, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
     changed = some.join(maps, "text_key").select("doc_id", F.size("found").cast("long").alias("n_entities"), "kinds", text.alias("text"))
