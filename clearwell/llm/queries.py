@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -183,9 +184,38 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def _private_keys_sql(k: int) -> str:
+    """Private keys for an engine without lookarounds: what follows each BEGIN mark is a piece of its own.
+
+    A key line counts if a line break, a quote or the text's end follows it; a mark is put behind such runs first.
+    """
+    name = r"(?:[A-Z0-9]+\x20)*PRIVATE KEY(?: BLOCK)?-----"
+    brk = r"(?:[\x20\t]*(?:[\r\n]|\\r|\\n))+[\x20\t]*"
+    mark = "\ue000"
+    line = (rf"{brk}(?:Proc-Type|DEK-Info|Version|Comment|MessageID|Hash|Charset):[^\r\n\\]*"
+            rf"|{brk}[A-Za-z0-9+/=]+{mark}|(?:{brk}|[\x20\t]*)[A-Za-z0-9+/=]{{16,}}{mark}?")
+    marked = rf"regexp_replace(piece, '([A-Za-z0-9+/=]+)([\x20\t]*(?:[\r\n\\\"'']|$))', '\1{mark}\2', 'g')"
+    return rf"""
+    SELECT doc_id, place - 11 AS s, 11 + len(replace(CASE WHEN regexp_matches(piece, '^{name}(?s:.)*?-----END {name}')
+        THEN regexp_extract(piece, '^{name}(?s:.)*?-----END {name}') ELSE regexp_extract({marked}, '^{name}(?:{line})*') END, '{mark}', '')) AS n, {k} AS k, 'private_key' AS kind
+    FROM (
+        SELECT doc_id, unnest(list_transform(range(2, len(pieces) + 1), lambda i: {{
+            'piece': pieces[i], 'place': list_sum(list_transform(pieces[1:i - 1], lambda x: len(x)))::BIGINT + 11 * (i - 1)}}), recursive := true)
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), '-----BEGIN ') AS pieces FROM documents))
+    WHERE regexp_matches(piece, '^{name}')"""
+
+
+def _plain_loops(pattern: str) -> str:
+    """A rule for an engine without lookbehind and possessive loops. Leftmost matches begin where a run of the first loop does,
+    and each loop ends at a character that it can't take, so both say the same."""
+    return re.sub(r"\(\?<![^)]*\)", "", pattern).replace("++", "+").replace("*+", "*")
+
+
 def _secret_sql() -> str:
     def spans(k: int, rule) -> str:
-        pattern = _quoted(("(?i)" if rule.any_case else "") + rule.pattern)
+        if rule.kind == "private_key":
+            return _private_keys_sql(k)
+        pattern = _quoted(("(?i)" if rule.any_case else "") + _plain_loops(rule.pattern))
         long_enough = f"len(regexp_extract(m[i], '{pattern}', {rule.group})) >= {rule.least}" if rule.least else "true"
         return f"""
     SELECT doc_id, unnest(list_transform(list_filter(range(1, len(m) + 1), lambda i: {long_enough}), lambda i: {{

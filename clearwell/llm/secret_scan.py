@@ -206,8 +206,11 @@ def find_spans(texts: pa.StringArray, rules: tuple[Rule, ...]) -> list[list[tupl
         rows = _rows(query, postings, len(texts))
         if query is None:  # a full scan; the vectorized search only says which texts have a match at all
             size = f"{{{rule.least}}}" if rule.least and rule.pattern.endswith("]+") else ""
-            hit = pc.match_substring_regex(texts, rule.pattern[:-1] + size if size else rule.pattern, ignore_case=rule.any_case)
-            rows = np.flatnonzero(hit.to_numpy(zero_copy_only=False))
+            try:
+                hit = pc.match_substring_regex(texts, rule.pattern[:-1] + size if size else rule.pattern, ignore_case=rule.any_case)
+                rows = np.flatnonzero(hit.to_numpy(zero_copy_only=False))
+            except pa.ArrowInvalid:  # an expression that only ``re`` knows: it looks at every text itself
+                pass
         for i in rows.tolist():
             out[i] += [(m.start(), m.end(), k) for m in pattern.finditer(texts[i].as_py()) if len(m[rule.group]) >= rule.least]
     return [sorted(x, key=lambda s: (s[0], s[2])) for x in out]
@@ -217,7 +220,8 @@ def scan_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``df`` (doc_id, text, ...) to (doc_id, spans: array of kind, start, end in code points, end exclusive), a row each.
 
     Matches are leftmost and do not overlap within a kind; spans are sorted by start, then by the order of the rules.
-    Null and empty texts have no spans. Repeated rows give repeated rows; other columns are ignored.
+    Null and empty texts have no spans, and texts of any length are searched whole. Repeated rows give repeated rows; other columns,
+    whatever their names, are ignored; an empty table gives an empty result.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches):
