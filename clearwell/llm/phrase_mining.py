@@ -136,8 +136,9 @@ class _Map:
         self.sent = hashes.sparkSession.sparkContext.broadcast(filled)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = (signed(hashes) % MAP_BITS).astype(np.int64)
-        return (self.sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        filled = self.sent.value
+        at = signed(hashes) % (8 * len(filled))
+        return (filled[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
     def drop(self) -> None:
         self.sent.destroy()
