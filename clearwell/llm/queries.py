@@ -190,8 +190,8 @@ def _private_keys_sql(k: int) -> str:
     A key line counts if a line break, a quote or the text's end follows it; a mark is put behind such runs first.
     """
     name = r"(?:[A-Z0-9]+\x20)*PRIVATE KEY(?: BLOCK)?-----"
-    brk = r"(?:[\x20\t]*(?:[\r\n]|\\r|\\n))+[\x20\t]*"
     mark = "\ue000"
+    brk = rf"(?:[\x20\t]*(?:[\r\n]|\\r{mark}?|\\n{mark}?))+[\x20\t]*"
     line = (rf"{brk}(?:Proc-Type|DEK-Info|Version|Comment|MessageID|Hash|Charset):[^\r\n\\]*"
             rf"|{brk}[A-Za-z0-9+/=]+{mark}|(?:{brk}|[\x20\t]*)[A-Za-z0-9+/=]{{16,}}{mark}?")
     marked = rf"regexp_replace(piece, '([A-Za-z0-9+/=]+)([\x20\t]*(?:[\r\n\\\"'']|$))', '\1{mark}\2', 'g')"

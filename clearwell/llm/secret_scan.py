@@ -38,7 +38,7 @@ class Rule:
 #: A line break, as it stands or escaped, and what may stand in the key lines below the line that begins a private key.
 _BREAK = r"(?:[\x20\t]*+(?:[\r\n]|\\r|\\n))++[\x20\t]*+"
 _KEY_LINE = (
-    rf"{_BREAK}(?:Proc-Type|DEK-Info|Version|Comment|MessageID|Hash|Charset):[^\r\n\\]*+"
+    rf"{_BREAK}(?:Proc-Type|DEK-Info|Version|Comment|MessageID|Hash|Charset):(?:(?!-----BEGIN )[^\r\n\\])*+"
     rf"|{_BREAK}[A-Za-z0-9+/=]++(?=[\x20\t]*+(?:[\r\n\\\"']|\Z))"
     rf"|(?:{_BREAK}|[\x20\t]*+)[A-Za-z0-9+/=]{{16,}}+"
 )
