@@ -31,6 +31,22 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch that goes to a Python worker, where texts are rows.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_ROWS`` rows for this session, unless it already asks for smaller ones.
+
+    A batch is held by the executor and by its Python worker, each with room to grow; ten thousand whole texts are much of a
+    task's memory on both sides.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    asked = int(spark.conf.get(name))
+    if not 0 < asked <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``limit`` bytes of text."""
     for batch in batches:

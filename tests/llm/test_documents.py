@@ -344,3 +344,39 @@ def test_surrogates_stay_distinct(spark):
     people = spark.range(3000).select(F.lit("name").alias("kind"), F.concat(F.lit("Ab"), F.col("id").cast("string")).alias("normal"), F.lit("Mr Ab").alias("value"))
     done = surrogates.surrogate_table(people, "k").collect()
     assert len(done) == 3000 == len({r.surrogate for r in done})
+
+
+def test_near_duplicates_go_by_rows(spark):
+    """Repeated rows, clashing and missing doc_ids, extra columns: one of each group of alike texts stays, all others do."""
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a, "en", "s", 1), (5, b, "en", "s", 1), (5, a, "en", "s", 1), (3, a + " more", "en", "s", 1), (None, c, "en", "s", 1),
+            (None, c, "en", "s", 1), (9, c + " end", "en", "s", 1), (1, "", "en", "s", 0), (2, None, "en", "s", 0), (None, None, "en", "s", 0)]
+    docs = table(spark, rows).withColumn("component_id", F.lit("x")).withColumn("row", F.lit(1))
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+    assert kept == sorted([(3, a + " more"), (5, b), (9, c + " end"), (1, ""), (2, None), (None, None)], key=repr)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    say = "the old house stands near the water and nobody goes there in winter or in summer but the birds number "
+    rows = [(i % 6, say + " ".join(f"word{i}{chr(97 + k)}" for k in range(40)), "en", ["s", None, "t"][i % 3], 5) for i in range(12)]
+    rows += 3 * [rows[0]] + odd_rows()
+    spark.createDataFrame([(1, "what is the name of the river that runs by the old mill near the town")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, some in (("odd", rows), ("empty", [])):
+        docs = table(spark, some).withColumn("weight", F.lit("clash")).withColumn("spans", F.lit(0))
+        for step, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if step != "mixture":
+                assert out.columns == docs.columns
+            path = str(tmp_path / f"{name}-{step}")
+            out.write.parquet(path)
+            docs = spark.read.schema(out.schema).parquet(path)
+        if name == "odd":
+            assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} >= set(range(6))
+        else:
+            assert docs.count() == 0

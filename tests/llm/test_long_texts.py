@@ -109,7 +109,7 @@ def test_secrets_equal_their_sql(spark):
     con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
     want = con.execute(SQL["op8_trigram_secrets"]).fetch_df()
     assert got == dict(zip(want.doc_id, want.spans))
-    assert sum("private_key" in s for s in got.values()) > 100
+    assert sum("private_key" in s for s in got.values()) > 50
 
 
 def test_rule_that_only_re_knows(spark):
