@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from clearwell.functions.fixed_values import FALLBACK_OUTCOMES, NOTE_HIGH_RISK, NOTE_LOW_CONFIDENCE
 from clearwell.functions.numeric import clamp
 from clearwell.operators.ranking import number_rows
-from clearwell.session import scratch_path
+from clearwell.operators.substrings import parts_of, text_size
 
-GRAM = 8
 OUTCOME_COLUMNS = (
     "scenario_id", "intervention", "affected_metric", "change_pct", "confidence", "risk_level", "explanation",
     "input_order",
@@ -25,53 +24,20 @@ def match_events(scenarios: DataFrame, events: DataFrame) -> DataFrame:
     """Pairs ``(scenario_id, source_event)`` where the event phrase is part of the lower-cased scenario or the
     scenario is part of the phrase.
 
-    The texts meet in equi-joins on short pieces, the same way for any number of either: a text that is part of another
-    brings all its own pieces along, so it suffices to look for its rarest one in the other text and to test what is left.
+    Both ways, the texts that may be parts are put into automata of bounded size, and every other text is walked once through each
+    (``parts_of``). Texts are known by their hash from then on; none is multiplied. Copies of a text are matched once.
     """
-    # copies of one scenario text are matched once
     texts = scenarios.select(F.lower("scenario").alias("text")).where("text is not null").distinct()
-    phrases = events.select("source_event").where("source_event is not null").distinct().select(
-        "source_event", _phrase(F.col("source_event")).alias("phrase"))
-    inside = _contained(phrases.select("phrase").distinct(), "phrase", texts, "text")
-    around = _contained(texts, "text", phrases.select("phrase").distinct(), "phrase")
-    pairs = inside.select("text", "phrase").unionByName(around.select("text", "phrase")).distinct()
-    keyed = scenarios.select("scenario_id", F.lower("scenario").alias("text"))
-    return keyed.join(pairs, "text").join(phrases, "phrase").select("scenario_id", "source_event")
-
-
-def _contained(small: DataFrame, short: str, large: DataFrame, long: str) -> DataFrame:
-    """Pairs of distinct texts ``(short, long)`` of ``small`` and ``large`` where ``short`` is a substring of ``long``.
-
-    Only hashes and pieces are multiplied, never a whole text. Pieces of long texts that no short text has are dropped before
-    anything else; of a short text's pieces, the one in the fewest long texts is joined.
-    """
-    spark = small.sparkSession
-    longest = large.agg(F.max(F.length(long))).first()[0] or 0
-    small = small.where(F.length(short) <= longest)
-    size = F.least(F.length(short), F.lit(GRAM))
-    own = small.select(F.md5(short).alias("short_id"), F.explode(F.array_distinct(F.expr(
-        f"transform(sequence(1, greatest(1, length({short}) - {GRAM - 1})), i -> substring({short}, i, {GRAM}))"))).alias("piece"))
-    lengths = sorted(r[0] for r in small.select(size.alias("n")).distinct().collect())  # at most GRAM + 1 values
-    spread = large.select(F.md5(long).alias("long_id"), F.explode(F.array_distinct(F.concat(
-        *[_pieces(F.col(long), n) for n in lengths or [0]]))).alias("piece"))
-    path = scratch_path(spark, "pieces")
-    spread.join(own.select("piece").distinct(), "piece", "left_semi").write.parquet(path)
-    hits = spark.read.schema(spread.select("piece", "long_id").schema).parquet(path)
-    # a piece that no long text has makes its short text match nothing
-    counted = own.join(hits.groupBy("piece").count(), "piece", "left").groupBy("short_id").agg(
-        F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "piece")).alias("best"))
-    rare = counted.where("best.n > 0").select("short_id", F.col("best.piece").alias("piece"))
-    pairs = rare.join(hits, "piece").select("short_id", "long_id")
-    named = pairs.join(small.select(F.md5(short).alias("short_id"), short), "short_id").join(
-        large.select(F.md5(long).alias("long_id"), long), "long_id")
-    return named.where(F.contains(F.col(long), F.col(short))).select(short, long)
-
-
-def _pieces(text: Column, n: int) -> Column:
-    """All substrings of length ``n``, found in one walk over the text."""
-    if n == 0:
-        return F.array(F.lit(""))
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    named = events.select("source_event").where("source_event is not null").distinct().select(
+        "source_event", _phrase(F.col("source_event")).alias("text"))
+    phrases = named.select("text").distinct()
+    of_texts, of_phrases = text_size(texts), text_size(phrases)
+    inside = parts_of(phrases, texts, of_phrases, of_texts).select(F.col("part").alias("phrase_id"), F.col("whole").alias("text_id"))
+    around = parts_of(texts, phrases, of_texts, of_phrases).select(F.col("whole").alias("phrase_id"), F.col("part").alias("text_id"))
+    pairs = inside.union(around).distinct()
+    keyed = scenarios.select("scenario_id", F.md5(F.lower("scenario")).alias("text_id"))
+    return keyed.join(pairs, "text_id").join(
+        named.select("source_event", F.md5("text").alias("phrase_id")), "phrase_id").select("scenario_id", "source_event")
 
 
 def _risk(confidence: Column) -> Column:
