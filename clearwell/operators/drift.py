@@ -144,17 +144,21 @@ def schema_drift(current: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def outlier_stats(
-    df: DataFrame, columns: list[str] | None = None, multiplier: float = IQR_MULTIPLIER, approximate: bool = False
+    df: DataFrame, columns: list[str] | None = None, multiplier: float = IQR_MULTIPLIER, approximate: bool = False,
+    quartiles: dict[str, tuple] | None = None,
 ) -> DataFrame:
     """Quartiles, fences and the number of values outside them, one row per numeric column with a spread.
 
-    Exact quartiles come from :func:`exact_quantiles`; ``approximate`` reads them from one sketch pass. The outliers
+    Exact quartiles come from :func:`exact_quantiles`; ``approximate`` reads them from one sketch pass, and ``quartiles`` gives
+    them, for instance from merged states. The outliers
     of all columns are then counted in one pass with the fences as literals.
     """
     columns = numeric_columns(df) if columns is None else columns
     types = dict(df.dtypes)
     value = {c: present(F.col(quoted(c)), types[c]).cast("double") for c in columns}
-    if not columns:
+    if quartiles is not None:
+        quartiles = {c: quartiles.get(c, (None, None)) for c in columns}
+    elif not columns:
         quartiles = {}
     elif approximate:
         row = df.agg(*[F.percentile_approx(value[c], [0.25, 0.75], 10_000).alias(f"q{i}")
@@ -209,18 +213,23 @@ def detect_drift(
     raw: DataFrame | None = None,
     exact: bool = True,
     probe_dates: bool = True,
+    current: DataFrame | None = None,
+    quartiles: dict[str, tuple] | None = None,
 ) -> DataFrame:
     """All alerts of a batch, schema alerts first.
 
+    ``current`` and ``quartiles`` stand for the profile and the fences of ``df`` where they are known already.
+
     Null rates are taken from ``raw`` where given, since a cleaned batch has none left. A baseline registered under
     raw headers should go through the same header normalization first.
     """
-    current = profile(df, exact=exact, probe_dates=probe_dates)
+    if current is None:
+        current = profile(df, exact=exact, probe_dates=probe_dates)
     if raw is not None:
         nulls = null_counts(raw)
         current = current.drop("null_count", "row_count").join(nulls, "column_name", "left")
     stats = _joined(current, baseline).join(
-        outlier_stats(df, multiplier=thresholds.iqr_multiplier, approximate=not exact), "column_name", "left"
+        outlier_stats(df, multiplier=thresholds.iqr_multiplier, approximate=not exact, quartiles=quartiles), "column_name", "left"
     )
     alerts = [*_schema_alerts(), _null_alert(thresholds), _outlier_alert(thresholds), _cardinality_alert(thresholds)]
     return _emit(stats, alerts).orderBy(F.col("alert_order") > 3, "alert_order", "column_name")

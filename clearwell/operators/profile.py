@@ -136,6 +136,14 @@ def profile(
     slow down the statistics if they shared an aggregation.
     String columns whose values all parse as timestamps are ``datetime``.
     """
+    counts = distinct_counts(df) if exact else sketched_counts(df)
+    long = column_statistics(df, probe_dates, date_layouts).join(counts, "ordinal", "left")
+    long = long.withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0)))
+    return long.select([c.split()[0] for c in PROFILE_SCHEMA.split(", ")])
+
+
+def column_statistics(df: DataFrame, probe_dates: bool = True, date_layouts: tuple = DATE_LAYOUTS) -> DataFrame:
+    """A profile without distinct values, one row per column."""
     fields = df.schema.fields
     strings = string_columns(df)
     aggs: list[Column] = [F.count(F.lit(1)).alias("n")]
@@ -168,14 +176,13 @@ def profile(
         long = long.join(dated, "ordinal", "left").withColumn(
             "data_type", F.when(F.col("dates"), F.lit("datetime")).otherwise(F.col("data_type"))
         )
-    counts = distinct_counts(df) if exact else sketched_counts(df)
-    long = long.join(counts, "ordinal", "left").withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0)))
-    return long.select([c.split()[0] for c in PROFILE_SCHEMA.split(", ")])
+    return long
 
 
 def _all_dates(c: Column, layouts: tuple) -> Column:
-    """True if every non-null value parses and at least one exists."""
-    return F.coalesce(F.bool_and(F.when(c.isNotNull(), parse_timestamp(c, layouts).isNotNull())), F.lit(False))
+    """True if every non-null value parses and at least one exists. A text without a digit is no date and is not parsed."""
+    parsed = F.when(c.rlike("[0-9]"), parse_timestamp(c, layouts).isNotNull()).otherwise(F.lit(False))
+    return F.coalesce(F.bool_and(F.when(c.isNotNull(), parsed)), F.lit(False))
 
 
 def schema_document(df: DataFrame, table_name: str, enrichment: DataFrame | None = None, **options) -> DataFrame:

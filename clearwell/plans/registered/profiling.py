@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from clearwell.functions.fixed_values import DEFAULT_TAG, SEMANTIC_RULES
 from clearwell.operators.profile import baseline_of, profile, tag_columns
+from clearwell.operators.sketches import merge_states, profile_state, state_profile
 from clearwell.operators.state import confirm_drafts, latest_state, newest_first
 from clearwell.plans.registered.base import Registry, gapped_events, table
 from clearwell.plans.runs import DOCUMENT_SCHEMA
@@ -247,3 +248,42 @@ def baseline_columns(spark, sf_dir):
 def newest_first_query(spark, sf_dir):
     return newest_first(table(spark, sf_dir, "orders"), "o_orderdate", o_orderstatus="F").select(
         "o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"))
+
+
+def checked_sketches(merged, rows):
+    """A merged profile with its sketched values held against the rows: distinct values within 4 %, quartiles within 2 % of their rank."""
+    exact = profile(rows, exact=True).select("column_name", F.col("distinct_values").alias("exact"))
+    fine = merged.join(exact, "column_name").withColumn(
+        "distinct_near", F.abs(F.col("distinct_values") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.04 * F.col("exact")))
+    marks = merged.select("column_name", F.col("q1").alias("a"), F.col("median").alias("b"), F.col("q3").alias("c")).where("b is not null")
+    numbers = [f.name for f in rows.schema.fields if f.dataType.typeName() in ("integer", "long", "double", "float")]
+    cells = rows.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in numbers]))).where("v is not null")
+    # how much lies below a mark, and how much up to it
+    def near(mark, p):
+        return (F.count_if(F.col("v") < F.col(mark)) <= (p + 0.02) * F.count("v")) & (F.count_if(F.col("v") <= F.col(mark)) >= (p - 0.02) * F.count("v"))
+
+    ranks = cells.join(marks, "column_name").groupBy("column_name").agg((near("a", 0.25) & near("b", 0.5) & near("c", 0.75)).alias("quartiles_near"))
+    shown = _rounded(fine.join(ranks, "column_name", "left"))
+    return shown.select("column_name", "data_type", "nullable", "row_count", "null_count", "min", "max", "mean", "stddev", "distinct_near", "quartiles_near")
+
+
+def sketched_sql(source, columns):
+    """The exact profile, and that every sketch is near."""
+    numeric = ", ".join(f"'{c}'" for c, k in columns.items() if k in ("integer", "float"))
+    return f"""SELECT column_name, data_type, nullable, row_count, null_count, min, max, mean, stddev, true AS distinct_near,
+        CASE WHEN column_name IN ({numeric}) THEN true END AS quartiles_near FROM ({profile_sql(source, columns)})"""
+
+
+EVENT_KINDS = {"event_id": "integer", "ts": "datetime", "user_id": "integer", "event_type": "string", "value": "float", "props": "string"}
+
+
+@REGISTRY.add("profile_states", sketched_sql(GAPPED_SQL, EVENT_KINDS))
+def profile_states(spark, sf_dir):
+    """Events profiled in five uneven batches, the states merged: the sketch form of the profile."""
+    events = gapped_events(spark, sf_dir)
+    part = F.expr("case when user_id % 3 = 0 then 0 else user_id % 4 + 1 end")
+    states = [profile_state(events.where(part == i), probe_dates=False) for i in range(5)]
+    merged = states[0]
+    for state in states[1:]:
+        merged = merged.union(state)
+    return checked_sketches(state_profile(merge_states(merged)), events)

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from clearwell.plans.registered.base import Registry, table
 from clearwell.plans.registered.drifting import SUITE_SQL, baseline, batch, compared
 from clearwell.session import scratch_path
-from clearwell.streaming.ingest import dedup_events, ingest_events, read_folder, rollup, to_payload, watch_drift, write_files
+from clearwell.operators.sketches import merge_states, state_profile, stored_states
+from clearwell.plans.registered.profiling import EVENT_KINDS, checked_sketches, sketched_sql
+from clearwell.streaming.ingest import (
+    dedup_events, ingest_events, read_folder, rollup, to_payload, watch_drift, watch_states, write_files)
 
 REGISTRY = Registry()
 
@@ -88,3 +91,21 @@ def stream_drift(spark, sf_dir):
     stream = read_folder(spark, source, arrived.schema, "parquet")
     watch_drift(stream, baseline(spark, sf_dir), target, checkpoint, exact=True).awaitTermination()
     return compared(spark.read.parquet(target))
+
+
+def _watched(spark, sf_dir):
+    """Events arrive in three files, one a micro-batch; returns the folder of states, that of alerts, and the rows."""
+    events = table(spark, sf_dir, "events").select(*COLUMNS)
+    source, root, target, checkpoint = (scratch_path(spark, p) for p in ("parts", "states", "alerts", "checkpoint"))
+    for i in range(3):
+        events.where(f"user_id % 3 = {i}").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    watch_states(stream, baseline(spark, sf_dir), root, "events", target, checkpoint).awaitTermination()
+    return root, target, events
+
+
+@REGISTRY.add("stream_states", sketched_sql("events", {c: EVENT_KINDS[c] for c in COLUMNS}))
+def stream_states(spark, sf_dir):
+    """Profile after three micro-batches, merged from their states."""
+    root, _, events = _watched(spark, sf_dir)
+    return checked_sketches(state_profile(merge_states(stored_states(spark, root, "events").drop("batch_id"))), events)

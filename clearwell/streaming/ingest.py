@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from clearwell.operators.drift import Thresholds, detect_drift
+from clearwell.operators.sketches import merge_states, state_profile, store_state, stored_states
 
 DEFAULT_TOPIC = "iot-sensor-stream"
 SENSOR_SCHEMA = (
@@ -135,3 +136,28 @@ def watch_drift(
 
     return stream.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint).trigger(
         **(trigger or ONCE)).start()
+
+
+def watch_states(
+    stream: DataFrame, baseline: DataFrame, root: str, table: str, target: str, checkpoint: str,
+    thresholds: Thresholds = Thresholds(), trigger: dict | None = None,
+) -> StreamingQuery:
+    """Keep the state of every micro-batch and check the table as it stands behind it against a baseline.
+
+    Profile and fences come from the merged states of all batches so far; only the new batch's rows are read. Outliers are counted in
+    the new batch. Alerts go to the batch's own ``batch_id`` folder; a batch that is run again replaces its state and its alerts.
+    """
+
+    def check(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            store_state(batch, root, table, batch_id)
+            kept = stored_states(batch.sparkSession, root, table).where(F.col("batch_id") <= batch_id).drop("batch_id")
+            profile = state_profile(merge_states(kept))
+            fences = {r.column_name: (r.q1, r.q3) for r in profile.where("q1 is not null").select("column_name", "q1", "q3").collect()}
+            alerts = detect_drift(batch, baseline, thresholds, current=profile.drop("q1", "median", "q3"), quartiles=fences)
+            alerts.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return stream.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE)).start()
