@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clearwell.functions.fixed_values import IQR_MULTIPLIER, REPAIR_STRATEGIES, RISK_ORDER
 from clearwell.functions.numeric import clamp, present
 from clearwell.functions.text import parse_timestamp
 from clearwell.functions.types import numeric_columns, physical_type, quoted
+from clearwell.operators.frequent import COUNTED_TYPES, most_frequent
 from clearwell.operators.profile import profile
 from clearwell.operators.quantiles import exact_medians, exact_quantiles
 
@@ -52,14 +55,24 @@ def gate(chosen: DataFrame, max_risk: str = "low") -> DataFrame:
 def column_modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
     """Most frequent non-null value per column, the smallest on ties, ``None`` for an empty column.
 
-    Values are counted by key first, so no task ever holds all distinct values of a column.
+    Texts, booleans and dates of all columns share two or three jobs (``most_frequent``); other types are counted by key, a
+    job each. No task ever holds all distinct values of a column.
     """
-    modes = {}
+    types = dict(df.dtypes)
+    together = [c for c in columns if types[c] in COUNTED_TYPES]
+    found = most_frequent(df, together)
+    modes: dict[str, object] = {c: found[c][0] if found[c] else None for c in together}
+    typed = [c for c in together if types[c] != "string" and modes[c] is not None]
+    if typed:
+        row = df.sparkSession.range(1).select(*[F.lit(modes[c]).cast(types[c]).alias(f"m{i}") for i, c in enumerate(typed)]).first()
+        modes.update(zip(typed, row))
     for c in columns:
+        if c in modes:
+            continue
         counted = df.where(F.col(quoted(c)).isNotNull()).groupBy(F.col(quoted(c)).alias("v")).count()
         best = counted.agg(F.min(F.struct((-F.col("count")).alias("n"), F.col("v"))).alias("best")).first()["best"]
         modes[c] = best["v"] if best is not None else None
-    return modes
+    return {c: modes[c] for c in columns}
 
 
 def backfill_nulls(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, object]]:
@@ -110,10 +123,27 @@ def clamp_bounds(
 
 
 def clamp_outliers(df: DataFrame, bounds: dict[str, Bounds]) -> DataFrame:
+    """Values outside the bounds become the bounds. Whole numbers stay whole and keep their type: a cell inside is left as it is, and one
+    outside takes the nearest whole number inside, or the bound itself, rounded, where there is none."""
     types = dict(df.dtypes)
-    return df.withColumns(
-        {c: clamp(present(F.col(quoted(c)), types[c]).cast("double"), b.low, b.high) for c, b in bounds.items()}
-    )
+    fields = {f.name: f.dataType for f in df.schema.fields}
+
+    def clamped(c: str, b: Bounds) -> Column:
+        col = present(F.col(quoted(c)), types[c])
+        as_double = col.cast("double")
+        if not _is_whole(fields[c]):
+            return clamp(as_double, b.low, b.high)
+        low, high = math.ceil(b.low), math.floor(b.high)
+        if low > high:
+            low = high = round((b.low + b.high) / 2)
+        bound = lambda v: F.lit(v).cast("decimal(38,0)").try_cast(types[c])
+        return F.when(as_double < b.low, F.coalesce(bound(low), col)).when(as_double > b.high, F.coalesce(bound(high), col)).otherwise(col)
+
+    return df.withColumns({c: clamped(c, b) for c, b in bounds.items()})
+
+
+def _is_whole(kind: T.DataType) -> bool:
+    return isinstance(kind, T.IntegralType) or (isinstance(kind, T.DecimalType) and kind.scale == 0)
 
 
 def clamp_counts(df: DataFrame, bounds: dict[str, Bounds]) -> dict[str, tuple[int, int]]:

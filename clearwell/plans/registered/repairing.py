@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clearwell.operators.drift import detect_drift
+from clearwell.operators.frequent import most_frequent
 from clearwell.operators.profile import profile
 from clearwell.operators.repair import (
+    Bounds,
     apply_repairs,
     backfill_nulls,
     cast_columns,
@@ -22,7 +24,7 @@ from clearwell.operators.repair import (
     split_quarantine,
 )
 from clearwell.plans.registered.base import GAPPED, Registry, gapped_events, table
-from clearwell.plans.registered.drifting import baseline, batch
+from clearwell.plans.registered.drifting import baseline, batch, whole
 from clearwell.session import scratch_path
 
 REGISTRY = Registry()
@@ -248,9 +250,38 @@ def resolved(spark, sf_dir):
 
 @REGISTRY.add(
     "profile_after_repair",
-    f"""{REPAIRED_SQL} SELECT 'value' AS column_name, CAST(0 AS BIGINT) AS null_count, count(*) AS row_count FROM m""",
+    "SELECT 'value' AS column_name, CAST(0 AS BIGINT) AS null_count, count(*) AS row_count FROM events",
 )
 def profile_after(spark, sf_dir):
-    found = batch(spark, sf_dir)
+    found = whole(spark, sf_dir)
     out, _ = backfill_nulls(found, ["value"])
     return profile(out.select("value"), probe_dates=False).select("column_name", "null_count", "row_count")
+
+
+@REGISTRY.add(
+    "clamp_whole",
+    """WITH k AS (SELECT o_orderkey, 9007199254740993 + o_custkey % 1000 * 2 AS big, o_custkey FROM orders),
+    s AS (SELECT avg(o_custkey) - stddev_samp(o_custkey) AS lo, avg(o_custkey) + stddev_samp(o_custkey) AS hi FROM orders)
+    SELECT o_orderkey, big, CASE WHEN o_custkey < lo THEN ceil(lo)::BIGINT WHEN o_custkey > hi THEN floor(hi)::BIGINT ELSE o_custkey END AS o_custkey
+    FROM k, s""",
+)
+def clamp_whole(spark, sf_dir):
+    """Whole numbers stay whole, also those that no double holds."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", (F.lit(9007199254740993) + F.col("o_custkey") % 1000 * 2).alias("big"), F.col("o_custkey").cast("bigint").alias("o_custkey"))
+    bounds = clamp_bounds(orders, ["o_custkey"], sigma=1.0) | {"big": Bounds(0.0, 1e17)}
+    return clamp_outliers(orders, bounds)
+
+
+MODE_COLUMNS = ("l_returnflag", "l_linestatus", "note", "mark")
+
+
+@REGISTRY.add("column_modes", "WITH l AS (SELECT *, 'n' || l_orderkey || '-' || l_linenumber AS note, 'm' || l_orderkey % 97 AS mark FROM lineitem) " + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, v AS mode, n AS times FROM (SELECT {c} AS v, count(*) AS n FROM l GROUP BY 1 ORDER BY n DESC, v LIMIT 1)" for c in MODE_COLUMNS))
+def modes(spark, sf_dir):
+    """Most frequent values of four columns, one of them of distinct values, with their counts."""
+    lines = table(spark, sf_dir, "lineitem").withColumns({
+        "note": F.concat(F.lit("n"), "l_orderkey", F.lit("-"), "l_linenumber"), "mark": F.concat(F.lit("m"), F.col("l_orderkey") % 97)})
+    found = most_frequent(lines, list(MODE_COLUMNS))
+    # one row a column, made from what the jobs counted
+    return spark.createDataFrame([(c, *found[c]) for c in MODE_COLUMNS if found[c]], "column_name string, mode string, times long")

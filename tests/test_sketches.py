@@ -91,3 +91,50 @@ def test_a_hundred_thousand_phrases_with_a_shared_opening(spark):
     wholes = spark.range(2_000).select(F.concat(F.lit("report: production line stopped at station "), F.format_string("%06d", F.col("id") * 7), F.lit("; next")).alias("text"))
     found = substrings.parts_of(phrases, wholes).join(phrases.select(F.md5("text").alias("part"), "text"), "part")
     assert found.count() == 2_000
+
+
+@pytest.mark.parametrize("limit", [512, 8, 1])
+def test_most_frequent_equals_brute_force(spark, limit):
+    """Columns with a hot value, with ties, of distinct values, of nulls, and one where the best value is just below the bound."""
+    from collections import Counter
+
+    from clearwell.operators.frequent import most_frequent
+
+    rng = random.Random(limit)
+    n = 4000
+    data = [(rng.choice(["hot", f"v{rng.randrange(300)}", None]), f"d{i:05d}", ["b", "a"][i % 2], None, f"x{rng.randrange(12) ** 2 % 7}",
+             f"n{i // 2}" if i else "n1") for i in range(n)]
+    df = spark.createDataFrame(data, "a string, b string, c string, d string, `e.f` string, g string").repartition(7)
+    got = most_frequent(df, df.columns, limit)
+    for i, c in enumerate(df.columns):
+        counts = Counter(r[i] for r in data if r[i] is not None)
+        want = min(((-k, v) for v, k in counts.items()), default=None)
+        assert got[c] == ((want[1], -want[0]) if want else None)
+
+
+def test_modes_of_fifty_columns_in_few_jobs(spark):
+    from clearwell.operators.repair import column_modes
+
+    df = spark.range(5000).select(*[F.when(F.col("id") % (i + 2) != 0, F.concat(F.lit("w"), (F.col("id") % (i + 3)).cast("string"))).alias(f"c{i}") for i in range(49)],
+                                  F.expr("date_add(date'2024-01-01', cast(id % 3 as int))").alias("day"), (F.col("id") % 3 == 0).alias("flag"), F.expr("timestamp_seconds(id % 4)").alias("at"))
+    want = {}
+    for c in df.columns:
+        best = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).count().orderBy(F.desc("count"), "v").first() if c in ("c0", "c7", "c48", "day", "flag", "at") else None
+        want[c] = best.v if best else None
+    sc = spark.sparkContext
+    sc.setJobGroup("modes", "modes")
+    got = column_modes(df, df.columns)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("modes"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert all(got[c] == v for c, v in want.items() if v is not None) and jobs <= 16
+
+
+def test_clamp_keeps_whole_numbers(spark):
+    from clearwell.operators.repair import Bounds, clamp_outliers
+
+    df = spark.createDataFrame([(9007199254740993, 5, 1.5), (-3, 900, None), (None, -7, 9.5), (9223372036854775807, 7, -1.0)], "a long, b int, c double")
+    got = clamp_outliers(df, {"a": Bounds(-2.5, 9.1e15), "b": Bounds(4.2, 7.9), "c": Bounds(0.25, 2.0)})
+    assert got.dtypes == df.dtypes
+    assert sorted(got.collect(), key=repr) == sorted([(9007199254740993, 5, 1.5), (-2, 7, None), (None, 5, 2.0), (9100000000000000, 7, 0.25)], key=repr)
+    narrow = clamp_outliers(df.select("b"), {"b": Bounds(5.2, 5.8)})
+    assert {r.b for r in narrow.collect()} <= {5, 6}
