@@ -71,7 +71,7 @@ def drop_null_ts(spark, sf_dir):
     "clean_metrics",
     """SELECT count(*) AS rows_input,
               count(*) FILTER (WHERE event_type = 'click') AS rows_cleaned,
-              count(*) FILTER (WHERE event_type IN ('view', 'error')) AS null_cells_filled
+              count(*) FILTER (WHERE event_type IN ('view', 'error')) AS null_cells_filled, true AS counts_agree
        FROM events""",
 )
 def clean_metrics(spark, sf_dir):
@@ -79,9 +79,22 @@ def clean_metrics(spark, sf_dir):
         "event_id", F.when(F.col("event_type") != "click", F.col("ts")).alias("ts"), "value",
         F.when(F.col("event_type") != "view", F.col("event_type")).alias("event_type"))
     done = clean(rows)
-    return done.df.limit(0).agg(
-        F.lit(done.rows_input).cast("bigint").alias("rows_input"), F.lit(done.rows_cleaned).cast("bigint").alias("rows_cleaned"),
-        F.lit(done.null_cells_filled).cast("bigint").alias("null_cells_filled"))
+    return _counted(rows.where("ts is not null"), done.df, rows.where("ts is null"), ["value", "event_type"]).select(
+        "rows_input", "rows_cleaned", "null_cells_filled",
+        ((F.col("rows_input") == done.rows_input) & (F.col("rows_cleaned") == done.rows_cleaned)
+         & (F.col("null_cells_filled") == done.null_cells_filled)).alias("counts_agree"))
+
+
+def _counted(before, after, dropped, columns):
+    """Rows and null cells of ``columns`` in the data before and after an operator, in one aggregation."""
+    def side(df, name):
+        nulls = sum((F.col(c).isNull().cast("bigint") for c in columns), start=F.lit(0))
+        return df.select(F.lit(name).alias("side"), nulls.alias("nulls"))
+
+    of = lambda *names: F.col("side").isin(*names)
+    return side(before, "before").union(side(after, "after")).union(side(dropped, "dropped")).agg(
+        F.count_if(of("before", "dropped")).alias("rows_input"), F.count_if(of("dropped")).alias("rows_cleaned"), F.count_if(of("after")).alias("rows_output"),
+        (F.coalesce(F.sum(F.when(of("before"), F.col("nulls"))), F.lit(0)) - F.coalesce(F.sum(F.when(of("after"), F.col("nulls"))), F.lit(0))).alias("null_cells_filled"))
 
 
 LINES = "l_partkey, l_suppkey, l_returnflag, l_linestatus"
@@ -190,15 +203,19 @@ def unit_convert(spark, sf_dir):
     f AS (SELECT user_id, event_type, coalesce(v, (SELECT median(v) FROM e)) AS v FROM e)
     SELECT (SELECT count(*) FROM e) AS rows_input, (SELECT count(*) FROM (SELECT DISTINCT * FROM f)) AS rows_output,
            (SELECT count(*) FROM f) - (SELECT count(*) FROM (SELECT DISTINCT * FROM f)) AS rows_deduplicated,
-           CAST(0 AS BIGINT) AS rows_cleaned, (SELECT count(*) FROM e WHERE v IS NULL) AS null_cells_filled
+           CAST(0 AS BIGINT) AS rows_cleaned, (SELECT count(*) FROM e WHERE v IS NULL) AS null_cells_filled, true AS counts_agree
     """,
 )
 def run_metrics(spark, sf_dir):
     """A whole run over the doubled events: null fill, dedup, normalization, written once and counted."""
     events = gapped_events(spark, sf_dir).select("user_id", "event_type", "value")
-    done = transform(events.unionAll(events), RunConfig(), scratch_path(spark, "run"))
+    doubled = events.unionAll(events)
+    done = transform(doubled, RunConfig(), scratch_path(spark, "run"))
     names = ("rows_input", "rows_output", "rows_deduplicated", "rows_cleaned", "null_cells_filled")
-    return done.df.limit(0).agg(*[F.lit(getattr(done, n)).cast("bigint").alias(n) for n in names])
+    counted = _counted(doubled, done.df, doubled.where("false"), ["value"]).withColumn(
+        "rows_deduplicated", F.col("rows_input") - F.col("rows_cleaned") - F.col("rows_output"))
+    agree = [F.col(n) == getattr(done, n) for n in names]
+    return counted.select(*names, (agree[0] & agree[1] & agree[2] & agree[3] & agree[4]).alias("counts_agree"))
 
 
 @REGISTRY.add(

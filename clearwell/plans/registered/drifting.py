@@ -29,9 +29,10 @@ ALERTS = ("alert_type", "severity", "column_name", "drift_kind", "measure")
 
 # The batch differs from the baseline: errors and views carry no reading, readings are cubed, user ids are text,
 # props is gone and channel is new.
-BATCH_SQL = f"""SELECT event_id, ts, CAST(user_id AS VARCHAR) AS user_id, event_type,
+WHOLE_SQL = """SELECT event_id, ts, CAST(user_id AS VARCHAR) AS user_id, event_type,
     CASE WHEN event_type IN ('error', 'view') THEN NULL ELSE value * value * value END AS value,
-    'channel-' || event_type AS channel FROM events WHERE ts >= TIMESTAMP '{SPLIT}'"""
+    'channel-' || event_type AS channel FROM events"""
+BATCH_SQL = f"{WHOLE_SQL} WHERE ts >= TIMESTAMP '{SPLIT}'"
 BASE_SQL = f"SELECT * FROM events WHERE ts < TIMESTAMP '{SPLIT}'"
 SHARED = ("event_id", "ts", "user_id", "event_type", "value")
 FENCES_SQL = """f AS (SELECT q1, q3, q1 - 3 * (q3 - q1) AS lo, q3 + 3 * (q3 - q1) AS hi FROM (
@@ -77,8 +78,12 @@ def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    second = table(spark, sf_dir, "events").where(F.col("ts") >= F.lit(SPLIT).cast("timestamp_ntz"))
-    return second.select(
+    return whole(spark, sf_dir).where(F.col("ts") >= F.lit(SPLIT).cast("timestamp_ntz"))
+
+
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events in the shape of the batch, for checks that need no baseline."""
+    return table(spark, sf_dir, "events").select(
         "event_id", "ts", F.col("user_id").cast("string").alias("user_id"), "event_type",
         F.when(~F.col("event_type").isin("error", "view"), F.col("value") * F.col("value") * F.col("value")).alias("value"),
         F.concat(F.lit("channel-"), "event_type").alias("channel"),
@@ -102,27 +107,27 @@ for _name, _kind, _sql in (("drift_new", "new_column", NEW_SQL), ("drift_missing
     REGISTRY.add(_name, f"WITH a AS ({BASE_SQL}), b AS ({BATCH_SQL}) {_sql}")(_drift_of(_kind))
 
 
-@REGISTRY.add("null_spike", f"WITH a AS ({BASE_SQL}), b AS ({BATCH_SQL}) {NULLS_SQL}")
+@REGISTRY.add("null_spike", f"WITH b AS ({WHOLE_SQL}) {NULLS_SQL}")
 def null_spike(spark, sf_dir):
-    return compared(null_spikes(profile(batch(spark, sf_dir), probe_dates=False)))
+    return compared(null_spikes(profile(whole(spark, sf_dir), probe_dates=False)))
 
 
 @REGISTRY.add(
     "iqr_fences",
-    f"""WITH b AS ({BATCH_SQL}), {FENCES_SQL}
+    f"""WITH b AS ({WHOLE_SQL}), {FENCES_SQL}
     SELECT 'value' AS column_name, (SELECT count(value) FROM b) AS value_count,
            (SELECT count(*) FILTER (WHERE value < lo OR value > hi) FROM b, f) AS outlier_count,
            round(q1, 6) AS q1, round(q3, 6) AS q3, round(lo, 6) AS lower_fence, round(hi, 6) AS upper_fence FROM f""",
 )
 def iqr_fences(spark, sf_dir):
-    stats = outlier_stats(batch(spark, sf_dir).select("value"))
+    stats = outlier_stats(whole(spark, sf_dir).select("value"))
     return stats.select("column_name", "value_count", "outlier_count",
                         *[F.round(c, 6).alias(c) for c in ("q1", "q3", "lower_fence", "upper_fence")])
 
 
-@REGISTRY.add("iqr_outliers", f"WITH b AS ({BATCH_SQL}), {FENCES_SQL} {OUTLIER_SQL}")
+@REGISTRY.add("iqr_outliers", f"WITH b AS ({WHOLE_SQL}), {FENCES_SQL} {OUTLIER_SQL}")
 def iqr_outliers(spark, sf_dir):
-    return compared(outlier_alerts(outlier_stats(batch(spark, sf_dir))))
+    return compared(outlier_alerts(outlier_stats(whole(spark, sf_dir))))
 
 
 @REGISTRY.add("cardinality_shift", f"""WITH a AS ({BASE_SQL}), b AS (SELECT * REPLACE (event_type || '-' || CAST(event_id % 7 AS VARCHAR)
@@ -141,13 +146,13 @@ def drift_suite(spark, sf_dir):
 
 @REGISTRY.add(
     "drift_details",
-    f"""WITH b AS ({BATCH_SQL})
+    f"""WITH b AS ({WHOLE_SQL})
     SELECT 'value' AS column_name, round_even((count(*) - count(value)) / CAST(count(*) AS DOUBLE), 4) AS null_rate,
            count(*) - count(value) AS null_count FROM b""",
 )
 def drift_details(spark, sf_dir):
     """Evidence of an alert, read back from its JSON."""
-    spikes = null_spikes(profile(batch(spark, sf_dir), probe_dates=False))
+    spikes = null_spikes(profile(whole(spark, sf_dir), probe_dates=False))
     evidence = F.from_json("details", "null_rate double, null_count bigint")
     return spikes.select("column_name", evidence.alias("e")).select("column_name", "e.*")
 

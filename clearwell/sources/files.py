@@ -15,6 +15,8 @@ INTEGER = r"^[+-]?[0-9]+$"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 BOOLEANS = ("True", "TRUE", "true", "False", "FALSE", "false")
 FORMATS = ("csv", "json")
+#: A line whose last cell opens with a quote and never closes it. Quotes inside a cell that begins otherwise are text.
+TORN = r'^(?:(?:"(?:[^"]|"")*+"[^,]*+|[^",][^,]*+)?+,)*+"(?:[^"]|"")*+$'
 
 
 def read_csv(
@@ -24,11 +26,12 @@ def read_csv(
     inferred from what is left; ``inferSchema`` would take a numeric column with one ``NA`` for text.
 
     ``multi_line`` keeps line breaks inside quoted cells; each file is then read by one task. Without it a file is split
-    by lines, and an input with a line whose quotes do not balance is refused rather than torn apart.
+    by lines, and an input with a line that ends inside a quoted cell is refused rather than torn apart; a lone quote inside a
+    cell is text.
     """
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     if not multi_line:
-        torn = spark.read.text(path).where(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1)
+        torn = spark.read.text(path).where(F.contains("value", F.lit('"')) & F.col("value").rlike(TORN))
         if not torn.isEmpty():
             raise ValueError("a quoted cell goes over a line break; read this input with multi_line=True")
     if schema is not None:
@@ -68,11 +71,16 @@ def read_json(
 ) -> DataFrame:
     """An array of records per file, or one record per line (``lines``), the form Spark can split.
 
-    A file that is no array is refused in the first form: of several records, Spark would read one.
+    A file that is no array is refused in the first form: of several records, Spark would read one. What stands before a
+    file's first comma shows its form, so files are looked at in small pieces of any split.
     """
     if not lines:
-        opening = F.substring(F.btrim("value", F.lit("\ufeff \t\r\n")), 1, 1)
-        if not spark.read.text(path, wholetext=True).where(opening != "[").isEmpty():
+        opening = F.substring(F.ltrim(F.regexp_replace("value", "^[\ufeff\\s]+", "")), 1, 1)
+        pieces = spark.read.option("lineSep", ",").text(path).select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), opening.alias("opening"),
+            F.monotonically_increasing_id().alias("at"))
+        first = pieces.where("block = 0 and opening <> ''").groupBy("file").agg(F.min_by("opening", "at").alias("opening"))
+        if not first.where("opening <> '['").isEmpty():
             raise ValueError("not an array of records; read one record per line with lines=True")
     reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema is not None else reader).json(path)
