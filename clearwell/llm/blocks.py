@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +87,29 @@ def rows_asked_for(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return df.withColumn("_bit", bit).mapInArrow(run, df.schema)
 
 
+#: Parts that one task adds up.
+FAN_IN = 32
+
+
+def in_levels(parts: DataFrame, keys: list[str], add: Callable[[tuple, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """One row for each of ``keys``: the tasks' rows added up by ``add``, ``FAN_IN`` at a time until one is left."""
+    tasks = parts.rdd.getNumPartitions()
+    parts = parts.withColumn("_piece", F.spark_partition_id())
+    while tasks > FAN_IN:
+        tasks = -(-tasks // FAN_IN)
+        level = parts.withColumn("_piece", F.col("_piece") % tasks)
+        parts = level.groupBy("_piece", *keys).applyInArrow(_kept_piece(add), f"_piece int, {schema}")
+    return parts.groupBy(*keys).applyInArrow(lambda key, rows: add(key, rows.drop_columns(["_piece"])), schema)
+
+
+def _kept_piece(add: Callable[[tuple, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table], pa.Table]:
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        out = add(key[1:], rows.drop_columns(["_piece"]))
+        return out.add_column(0, "_piece", pa.array([key[0].as_py()] * len(out), pa.int32()))
+
+    return run
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer, so that every bit of the input reaches every bit of the output."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

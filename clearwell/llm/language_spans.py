@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clearwell.llm.blocks import hash_strings, mixed, text_blocks
+from clearwell.llm.blocks import hash_strings, in_levels, mixed, text_blocks
 
 #: Hash bins of character n-grams for each language.
 BINS = 1 << 16
@@ -172,9 +172,8 @@ def fit(labelled: DataFrame) -> Model:
 
     parts = labelled.where("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     packed = parts.mapInArrow(count, "lang string, counts binary")
-    # first by lang and piece, then by lang, so that no task adds up all tasks' rows of one language
-    packed = packed.withColumn("piece", F.spark_partition_id() % 16).groupBy("lang", "piece").applyInArrow(add, "lang string, counts binary")
-    rows = sorted(packed.groupBy("lang").applyInArrow(add, "lang string, counts binary").collect())
+    # level by level, so that no task adds up all tasks' rows of one language
+    rows = sorted(in_levels(packed, ["lang"], add, "lang string, counts binary").collect())
     counts = np.array([np.frombuffer(r.counts) for r in rows]).reshape(len(rows), BINS + len(SCRIPTS))
     return Model([r.lang for r in rows], counts[:, :BINS], counts[:, BINS:])
 

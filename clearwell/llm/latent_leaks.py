@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clearwell.llm.blocks import hash_strings, split_words, stored, text_blocks
+from clearwell.llm.blocks import hash_strings, in_levels, split_words, stored, text_blocks
 
 #: Term numbers that words are hashed to; also the height of the random matrix.
 TERMS = 1 << 14
@@ -35,8 +35,6 @@ COSINE, COVERED, ANSWER_WORDS, ANSWER_COVERED = 0.65, 0.75, 5, 0.6
 SPREAD = 3.0
 #: Log-frequency that is taken off a term's weight: terms in more than a fifth of the documents are left with ``LEAST_WEIGHT``.
 COMMON, LEAST_WEIGHT = 1.5, 0.05
-#: Cosines that a task holds at once.
-COSINE_CELLS = 2 << 20
 #: Items that are sent to the tasks at once: RANK * 4 bytes and their words each.
 ITEM_BLOCK = 20_000
 #: Packed terms that a task unfolds at once: half a million words, each a row of floats.
@@ -58,12 +56,21 @@ _BLANKED = np.arange(256, dtype=np.uint8)
 _BLANKED[[i for i in range(33, 127) if not chr(i).isalnum()]] = 32
 
 
-def term_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Term numbers of all words and where each text's words begin."""
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code of each word of all texts, the hash of each code, and where each text's words begin."""
     words, at = split_words(_strip(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), ""))))
     coded = words.dictionary_encode()
-    terms = (hash_strings(coded.dictionary) >> np.uint64(64 - 14)).astype(np.uint16)
-    return terms[coded.indices.to_numpy(zero_copy_only=False)], at
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), hash_strings(coded.dictionary), at
+
+
+def _terms_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - 14)).astype(np.int64)
+
+
+def term_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Term numbers of all words and where each text's words begin."""
+    codes, hashes, at = word_codes(texts)
+    return _terms_of(hashes).astype(np.uint16)[codes], at
 
 
 def packed_terms(docs: DataFrame) -> DataFrame:
@@ -88,12 +95,13 @@ def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _summed(parts: DataFrame) -> np.ndarray:
-    """The sum of all tasks' vectors (rows: number of the slice, bytes), added slice by slice in the engine."""
+    """The sum of all tasks' vectors (rows: number of the slice, bytes), added slice by slice and level by level: no task adds up
+    more than about ``FAN_IN`` parts."""
     def add(key: tuple, rows: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_py()) for x in rows.column("part"))
         return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "part"])
 
-    rows = parts.groupBy("slice").applyInArrow(add, "slice int, part binary").collect()
+    rows = in_levels(parts, ["slice"], add, "slice int, part binary").collect()
     return np.concatenate([np.frombuffer(r.part) for r in sorted(rows)]) if rows else np.zeros(0)
 
 
@@ -183,15 +191,6 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
 
 
-def _marks(terms: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Which of 256 marks the terms of each run set; a run without a mark lacks all terms of that mark."""
-    out = np.zeros((len(starts), 4), dtype=np.uint64)
-    bit = np.left_shift(np.uint64(1), (terms & 63).astype(np.uint64))
-    for k in range(4):
-        out[:, k] = np.bitwise_or.reduceat(np.where((terms >> 6) & 3 == k, bit, np.uint64(0)), starts)
-    return out
-
-
 def window_of(words: int, cosine: float = COSINE, covered: float = COVERED) -> tuple[int, float]:
     """Length of the windows in which an item of ``words`` words is looked for, about its own, and their least cosine.
 
@@ -209,63 +208,84 @@ def window_of(words: int, cosine: float = COSINE, covered: float = COVERED) -> t
     return n, min(cosine, e - SPREAD * float(np.sqrt((1 - e * e) / RANK + covered * (1 - covered) / words)))
 
 
+def rare_words(words: list[np.ndarray], idf: np.ndarray, covered: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted (word, number of the item): of each item the words with the rarest terms, just so many that a leak has one of them.
+
+    A leak may miss ``w - ceil(covered * w)`` of an item's ``w`` words, so of words that stand in one place more, one is there.
+    """
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i, w in enumerate(words):
+        distinct, times = np.unique(w, return_counts=True)
+        order = np.argsort(-idf[_terms_of(distinct)], kind="stable")
+        may_miss = len(w) - int(np.ceil(covered * len(w)))
+        n = int(np.searchsorted(np.cumsum(times[order]), may_miss + 1)) + 1
+        keys.append(distinct[order[:n]])
+        owners.append(np.full(len(keys[-1]), i))
+    key, owner = np.concatenate(keys), np.concatenate(owners)
+    order = np.lexsort((owner, key))
+    return key[order], owner[order]
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """start, start + 1, ... of each run, and the number of the run."""
+    run = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes), run
+
+
 def _finder(basis, items, covered: float, answer_covered: float):
-    """Leaks (doc_id, item_id, start, cosine, covered) in batches of packed terms.
+    """Leaks (doc_id, item_id, start, cosine, covered) in batches of texts.
 
-    A near window whose marks lack more of an item's than may be missing cannot cover it, which spares most subsequences.
+    Only windows that hold one of an item's rare words can cover it, so each such word in a text asks for the windows around it and
+    no window meets all items. Words are compared by their 64-bit hashes.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = basis.value
-        ids, words, answers, windows, bounds = items.value
-        sizes, bounds = sorted(set(windows)), np.array(bounds, dtype=np.float32)
-        by_size = {n: np.flatnonzero(np.array(windows) == n) for n in sizes}
-        targets = {n: _unit(np.array([b[words[i]].sum(axis=0) for i in by_size[n]])) for n in sizes}
-        # steps around a window that the rest of its items may take
-        around = {n: 1 + max(-(-(len(words[i]) - n) // STEP) for i in by_size[n]) for n in sizes}
-        marks = np.concatenate([_marks(w, np.zeros(1, dtype=np.int64)) for w in words]) if words else None
-        may_miss = np.array([len(w) - int(np.ceil(covered * len(w))) for w in words])
-        for batch in text_blocks(batches, "terms", TERM_BYTES):
-            x, at = _unpacked(batch)
+        ids, words, answers, windows, bounds, rare, owner = items.value
+        windows, bounds, lists = np.array(windows, dtype=np.int64), np.array(bounds), [w.tolist() for w in words]
+        targets = _unit(np.array([b[_terms_of(w)].sum(axis=0) for w in words]).reshape(-1, b.shape[1]))
+        # steps around a window that the rest of the item may take
+        around = np.array([1 + max(0, -(-(len(w) - n) // STEP)) for w, n in zip(words, windows.tolist())], dtype=np.int64)
+        for batch in text_blocks(batches):
             best: dict[tuple[int, int], tuple[float, float, int]] = {}
-            if len(x) and sizes:
-                size = np.diff(at)
-                # sums over steps of STEP words, begun anew in each document; windows are runs of steps
-                own = np.arange(len(x)) - np.repeat(at[:-1], size)
-                starts = np.flatnonzero(own % STEP == 0)
-                steps = np.vstack([np.zeros((1, b.shape[1])), np.cumsum(np.add.reduceat(b[x], starts, axis=0), axis=0, dtype=np.float64)])
-                pad = max(around.values())
-                step_marks = np.pad(_marks(x, starts), ((pad, sizes[-1] // STEP + pad), (0, 0)))
-                steps_of = -(-size // STEP)
-                first = np.concatenate([[0], np.cumsum(steps_of)])
-                doc = np.repeat(np.arange(len(size)), steps_of)
-                last = first[1:][doc]
-                run_marks, length = step_marks, 1  # marks of runs of ``length`` steps, doubled as windows get longer
-                for n in sizes:
-                    ends = np.minimum(np.arange(len(doc)) + n // STEP, last)
-                    wide = n // STEP + 2 * around[n]
-                    while 2 * length <= wide:
-                        run_marks, length = run_marks[:-length] | run_marks[length:], 2 * length
-                    low, high = pad - around[n], pad - around[n] + wide - length
-                    lacks = ~(run_marks[low : low + len(doc)] | run_marks[high : high + len(doc)])
-                    height = max(1, COSINE_CELLS // max(len(by_size[n]), b.shape[1]))
-                    for low in range(0, len(doc), height):
-                        window = (steps[ends[low : low + height]] - steps[low : min(low + height, len(doc))]).astype(np.float32)
-                        norm = np.sqrt(np.einsum("ij,ij->i", window, window)) + np.float32(1e-9)
-                        near = window @ targets[n].T
-                        at_step, item = np.nonzero(near >= bounds[by_size[n]] * norm[:, None])
-                        cos, at_step, item = near[at_step, item] / norm[at_step], at_step + low, by_size[n][item]
-                        missing = np.bitwise_count(marks[item] & lacks[at_step]).sum(axis=1, dtype=np.int64)
-                        keep = np.flatnonzero(missing <= may_miss[item])
-                        keep = keep[np.argsort(-cos[keep], kind="stable")]
-                        for s, i, c, miss in zip(at_step[keep].tolist(), item[keep].tolist(), cos[keep].tolist(), missing[keep].tolist()):
-                            known = best.get((int(doc[s]), i))
-                            if known and (1 - miss / len(words[i]), c) < known[:2]:  # cannot become the best
-                                continue
-                            d, at_word, slack = int(doc[s]), int(s - first[doc[s]]) * STEP, around[n] * STEP
-                            held = x[at[d] + max(0, at_word - slack) : min(at[d + 1], at[d] + at_word + n + slack)]
-                            share = common_subsequence(words[i], held) / len(words[i])
-                            if share >= covered and common_subsequence(answers[i], held) >= answer_covered * len(answers[i]):
-                                best[d, i] = max(best.get((d, i), (0.0, 0.0, 0)), (share, c, -at_word))
+            coded, hashes, at = word_codes(batch.column("text"))
+            low, high = (np.searchsorted(rare, hashes, side=s) for s in ("left", "right"))
+            place = np.flatnonzero((high > low)[coded])
+            if len(place):
+                size, x = np.diff(at), hashes[coded]
+                entry, hit = _runs(low[coded[place]], (high - low)[coded[place]])
+                item, place = owner[entry], place[hit]
+                doc = np.searchsorted(at, place, side="right") - 1
+                # windows begin at each STEP words of a document; those whose surroundings hold the place
+                n, slack, own = windows[item], around[item] * STEP, place - at[doc]
+                last = (size[doc] - 1) // STEP
+                begin = np.clip(-(-(own - n - slack + 1) // STEP), 0, last)
+                end = np.clip((own + slack) // STEP, 0, last)
+                step, k = _runs(begin, end - begin + 1)
+                item, doc = item[k], doc[k]
+                _, one = np.unique((doc * len(words) + item) * (last.max() + 1) + step, return_index=True)
+                step, item, doc = step[one], item[one], doc[one]
+                # sums of the steps before each step, for the documents that are asked for
+                asked, doc_at = np.unique(doc, return_inverse=True)
+                spots, _ = _runs(at[asked], size[asked])
+                steps_of = -(-size[asked] // STEP)
+                inner = np.concatenate([[0], np.cumsum(steps_of)])
+                of_step, run_of = _runs(np.zeros(len(asked), np.int64), steps_of)
+                starts = of_step * STEP + (np.cumsum(size[asked]) - size[asked])[run_of]
+                sums = np.vstack([np.zeros((1, b.shape[1])), np.cumsum(np.add.reduceat(b[_terms_of(x[spots])], starts, axis=0), axis=0, dtype=np.float64)])
+                start = inner[doc_at] + step
+                window = sums[np.minimum(start + windows[item] // STEP, inner[doc_at + 1])] - sums[start]
+                cos = np.einsum("ij,ij->i", window, targets[item]) / (np.sqrt(np.einsum("ij,ij->i", window, window)) + 1e-9)
+                keep = np.flatnonzero(cos >= bounds[item])
+                for j in keep[np.argsort(-cos[keep], kind="stable")].tolist():
+                    d, i, c, at_word = int(doc[j]), int(item[j]), float(cos[j]), int(step[j]) * STEP
+                    room = int(around[i]) * STEP
+                    held = x[at[d] + max(0, at_word - room) : min(at[d + 1], at[d] + at_word + int(windows[i]) + room)]
+                    there, known = sum(map(set(held.tolist()).__contains__, lists[i])) / len(lists[i]), best.get((d, i))
+                    if there < covered or (known and (there, c) < known[:2]):  # cannot cover it, or become the best
+                        continue
+                    share = common_subsequence(words[i], held) / len(words[i])
+                    if share >= covered and common_subsequence(answers[i], held) >= answer_covered * len(answers[i]):
+                        best[d, i] = max(best.get((d, i), (0.0, 0.0, 0)), (share, c, -at_word))
             found = [(d, ids[i], -at_word, c, share) for (d, i), (share, c, at_word) in best.items()]
             docs = batch.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
             yield pa.record_batch(
@@ -277,17 +297,18 @@ def _finder(basis, items, covered: float, answer_covered: float):
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, covered: float = COVERED,
-    answer_words: int = ANSWER_WORDS, answer_covered: float = ANSWER_COVERED,
+    answer_words: int = ANSWER_WORDS, answer_covered: float = ANSWER_COVERED, least_words: int = LEAST_WORDS,
 ) -> DataFrame:
     """Leaks of ``benchmark`` (item_id, text, ...) in ``docs`` (doc_id, text, ...): (doc_id, item_id, start, cosine, covered).
 
     One row for each document and item, the best window's; ``start`` is in words, ``covered`` the share of the item's words in
     the common subsequence. Words are what stands between white space and punctuation, in lower case. Items of
-    fewer than ``LEAST_WORDS`` words, null texts and rows without an id are never matched. Repeated rows are one in
+    fewer than ``least_words`` words, null texts and rows without an id are never matched. Repeated rows are one in
     the result; other columns are ignored; empty tables give no leaks. Jobs run when this is called. Items are sent to the tasks
-    in blocks of ``ITEM_BLOCK``, each with one pass over the packed terms.
+    in blocks of ``ITEM_BLOCK``, each with one pass over the texts; windows of equal cover and cosine tie to the earlier one.
     """
     spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     terms = packed_terms(docs)
     idf = inverse_frequencies(terms)
     basis = spark.sparkContext.broadcast(latent_basis(terms, idf))
@@ -296,13 +317,14 @@ def find_leaks(
     found = None
     for (block,) in sorted(rows.select("block").distinct().collect()):
         own = rows.where(F.col("block") == block).orderBy("item_id", "text").collect()
-        numbers, at = term_numbers(pa.array([r.text for r in own], pa.string()))
-        words = [numbers[s:e].astype(np.int64) for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
-        kept = [i for i, w in enumerate(words) if len(w) >= LEAST_WORDS]
+        codes, hashes, at = word_codes(pa.array([r.text for r in own], pa.string()))
+        words = [hashes[codes[s:e]] for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+        kept = [i for i, w in enumerate(words) if len(w) >= least_words]
         windows = [window_of(len(words[i]), cosine, covered) for i in kept]
         items = spark.sparkContext.broadcast((
-            [own[i].item_id for i in kept], [words[i] for i in kept], [words[i][-answer_words:] for i in kept], [n for n, _ in windows], [c for _, c in windows]))
-        part = terms.where("doc_id is not null").mapInArrow(
+            [own[i].item_id for i in kept], [words[i] for i in kept], [words[i][-answer_words:] for i in kept], [n for n, _ in windows], [c for _, c in windows],
+            *rare_words([words[i] for i in kept], idf, covered)))
+        part = texts.where("doc_id is not null").mapInArrow(
             _finder(basis, items, covered, answer_covered), "doc_id long, item_id long, start long, cosine double, covered double")
         found = part if found is None else found.union(part)
     if found is None:
