@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clearwell.llm.blocks import stored, text_blocks
@@ -34,7 +35,14 @@ _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+    return pafs.FileSystem.from_uri(path)
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A full address of ``path``, found on the driver: tasks would take one without a scheme for a local folder of their own."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(place).toString()
+    return re.sub("^file:/+", "file:///", full)
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -46,9 +54,13 @@ def _record_id(page_id: int | None) -> str:
 
 
 def fit_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from a bounded sample of ``pages``; empty where the sample is too small to learn from."""
-    rows = (pages.where("html is not null").select(F.substring("html", 1, SAMPLE_CHARS).alias("html"), F.xxhash64("page_id").alias("h"))
-            .orderBy("h", F.xxhash64("html")).limit(SAMPLE_PAGES).collect())
+    """A dictionary from a bounded sample of ``pages``; empty where the sample is too small to learn from.
+
+    Ids are chosen first, so that a task hands on numbers and not texts; then one text for each of them is fetched.
+    """
+    full = pages.where("html is not null and page_id is not null")
+    ids = [r.page_id for r in full.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES).collect()]
+    rows = sorted(full.where(F.col("page_id").isin(sorted(set(ids)))).groupBy("page_id").agg(F.min(F.substring("html", 1, SAMPLE_CHARS)).alias("html")).collect()) if ids else []
     samples = [r.html.encode() for r in rows if r.html]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) >= 32 else b""
@@ -116,14 +128,14 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     in the shared folder. Other columns are ignored; an empty table writes no archive.
     """
     spark = pages.sparkSession
-    folder = folder or scratch_path(spark, "warc")
+    folder = _qualified(spark, folder or scratch_path(spark, "warc"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     digest = F.sha1(F.encode("html", "utf-8"))
     first = rows.select("page_id", digest.alias("digest")).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies"))
     # most payloads are alone and need no lookup: only the keepers of repeated ones are joined
     rows = rows.withColumn("digest", digest).join(first.where("copies > 1").select("digest", "keeper"), "digest", "left")
-    dictionary = fit_dictionary(pages.select("page_id", F.col("html").cast("string").alias("html")))
+    dictionary = fit_dictionary(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Writer(folder, dictionary)
