@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clearwell.operators.vectors import index_vectors, nearest, nearest_batch
+from clearwell.operators.vectors import index_vectors, nearest, nearest_batch, pruned_search
 from clearwell.plans.registered.base import Registry, table
 from clearwell.session import scratch_path
 
@@ -71,9 +71,9 @@ def knn_one(spark, sf_dir):
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS r FROM d) WHERE r <= 3""",
 )
 def knn_all(spark, sf_dir):
-    """Three nearest vectors of every vector."""
+    """Three nearest vectors of every vector, by cells around pivots."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    found = nearest_batch(vectors, vectors.withColumnRenamed("vec_id", "query_id"), 3)
+    found, _ = pruned_search(vectors, vectors.withColumnRenamed("vec_id", "query_id"), 3)
     return found.select("query_id", "vec_id", F.round("distance", 5).alias("distance"), "rank")
 
 
