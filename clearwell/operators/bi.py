@@ -27,6 +27,27 @@ def group_counts(df: DataFrame, by: list[Column | str], name: str = "event_count
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
 
 
+def grouped_axes(df: DataFrame, axes: dict[str, list[str]], measures: list[Column]) -> DataFrame:
+    """Measures by several axes from one scan: ``(axis, labels, measures...)``, a row for each group of each axis.
+
+    ``axes`` names sets of columns; ``labels`` maps a group's columns to its values as text, null for a null. Every row is counted once for
+    each axis on the map side, so what is shuffled are the groups. Columns of an axis may be null: a null is a group of its own.
+    """
+    columns = list(dict.fromkeys(c for own in axes.values() for c in own))
+    sets = [[F.col(c) for c in own] for own in axes.values()]
+    grouped = df.groupingSets(sets, *[F.col(c) for c in columns]).agg(F.grouping_id().alias("_set"), *measures)
+    # a bit is set for each column that a grouping set leaves out, the first column's in front
+    def mark(own: list[str]) -> int:
+        return sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in own)
+
+    name, labels = F.lit(None).cast("string"), F.lit(None).cast("map<string, string>")
+    for axis, own in axes.items():
+        is_it = F.col("_set") == mark(own)
+        name = F.when(is_it, axis).otherwise(name)
+        labels = F.when(is_it, F.create_map(*[x for c in own for x in (F.lit(c), F.col(c).cast("string"))])).otherwise(labels)
+    return grouped.select(name.alias("axis"), labels.alias("labels"), *[c for c in grouped.columns if c not in columns and c != "_set"])
+
+
 def kpi_trend(series: DataFrame) -> DataFrame:
     """Change against the period before and its wording, for ``series(kpi, period, value)``.
 

@@ -6,6 +6,7 @@ from clearwell.plans.registered import (
     drifting,
     governing,
     graphs,
+    nearness,
     profiling,
     repairing,
     requests,
@@ -18,7 +19,7 @@ from clearwell.plans.registered.base import Query
 
 MODULES = (
     sourcing, profiling, cleaning, drifting, repairing, stateful, governing, graphs, vectors, decisions, requests,
-    streams,
+    streams, nearness,
 )
 
 

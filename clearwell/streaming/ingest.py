@@ -161,3 +161,16 @@ def watch_states(
             batch.unpersist()
 
     return stream.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE)).start()
+
+
+def answered_requests(
+    requests: DataFrame, decisions: DataFrame, wait: str = "1 hour", request_lateness: str = "10 minutes", decision_lateness: str = "10 minutes",
+) -> DataFrame:
+    """Requests ``(id, requested_at, ...)`` joined with their decisions ``(id, decided_at, decision)``, both streams: a decision answers
+    a request up to ``wait`` after it. A request without one comes out with nulls once no decision that is still allowed can
+    come; later decisions are dropped with their state. Both sides keep what the watermarks leave open and no more.
+    """
+    left = requests.withWatermark("requested_at", request_lateness)
+    right = decisions.select(F.col("id").alias("_id"), "decided_at", "decision").withWatermark("decided_at", decision_lateness)
+    on = (F.col("id") == F.col("_id")) & (F.col("decided_at") >= F.col("requested_at")) & (F.col("decided_at") <= F.col("requested_at") + F.expr(f"interval {wait}"))
+    return left.join(right, on, "left_outer").drop("_id")
