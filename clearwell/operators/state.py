@@ -72,6 +72,41 @@ def trust_after(status: Column, trust: Column) -> Column:
     return F.bround(clamp(trust + change, 0.0, 100.0), 2)
 
 
+def _idle() -> Column:
+    """Nothing done yet: any score stays what it is."""
+    return F.struct(F.lit(0.0).alias("shift"), F.lit(0.0).alias("low"), F.lit(100.0).alias("high"))
+
+
+def _step(x: Column, a: Column) -> Column:
+    """A triple with one more shift behind it."""
+    bound = lambda v: F.least(F.lit(100.0), F.greatest(F.lit(0.0), v))
+    return F.struct((x["shift"] + a["shift"]).alias("shift"), bound(x["low"] + a["shift"]).alias("low"),
+                    bound(x["high"] + a["shift"]).alias("high"))
+
+
+def _compose(x: Column, t: Column) -> Column:
+    return F.least(t["high"], F.greatest(t["low"], x + t["shift"]))
+
+
+def feedback_windows(feedback: DataFrame, time: str, window: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
+    """A stream of ``feedback(table_name, seq, status, <time>)`` to (table_name, window_start, t): each window's feedback as one triple.
+
+    Events may come in any order within the lateness: a window is folded by ``seq`` when the watermark passes its end. State is kept by table
+    and window, so a hot table's windows lie on many tasks and each holds a window's events at most. Later events are dropped.
+    ``seq`` rises with the time.
+    """
+    shift = F.when(F.col("status") == "approved", TRUST_APPROVED).otherwise(TRUST_NOT_APPROVED)
+    run = F.sort_array(F.collect_list(F.struct("seq", shift.alias("shift"))))
+    return feedback.withWatermark(time, lateness).groupBy("table_name", F.window(time, window).alias("w")).agg(run.alias("run")).select(
+        "table_name", F.col("w.start").alias("window_start"), F.aggregate("run", _idle(), _step).alias("t"))
+
+
+def trust_from_windows(windows: DataFrame, start: float = 100.0) -> DataFrame:
+    """Trust per table after all closed windows: their triples composed in order, as many as the calendar has windows."""
+    triples = F.sort_array(F.collect_list(F.struct("window_start", "t")))
+    return windows.groupBy("table_name").agg(F.bround(F.aggregate(F.transform(triples, lambda x: x["t"]), F.lit(float(start)), _compose), 2).alias("trust_score"))
+
+
 def fold_feedback(feedback: DataFrame, start: float = 100.0, partitions: int | None = None) -> DataFrame:
     """Trust per table after all its feedback in order: ``feedback(table_name, seq, status)``.
 
@@ -85,22 +120,12 @@ def fold_feedback(feedback: DataFrame, start: float = 100.0, partitions: int | N
     ).withColumn("key", F.to_json("name"))
     numbered = number_rows(steps, ["key"], [F.asc("seq"), F.asc("shift")], "n", partitions)
 
-    def step(x: Column, a: Column) -> Column:
-        bound = lambda v: F.least(F.lit(100.0), F.greatest(F.lit(0.0), v))
-        return F.struct((x["shift"] + a["shift"]).alias("shift"), bound(x["low"] + a["shift"]).alias("low"),
-                        bound(x["high"] + a["shift"]).alias("high"))
-
-    def compose(x: Column, t: Column) -> Column:
-        return F.least(t["high"], F.greatest(t["low"], x + t["shift"]))
-
-    # nothing done yet: any score stays what it is
-    idle = F.struct(F.lit(0.0).alias("shift"), F.lit(0.0).alias("low"), F.lit(100.0).alias("high"))
     run = F.sort_array(F.collect_list(F.struct("n", "shift")))  # STRETCH rows at most
     stretches = numbered.groupBy("key", F.expr(f"(n - 1) div {STRETCH}").alias("stretch")).agg(
-        F.first("name").alias("name"), F.aggregate(run, idle, step).alias("t"))
+        F.first("name").alias("name"), F.aggregate(run, _idle(), _step).alias("t"))
     triples = F.sort_array(F.collect_list(F.struct("stretch", "t")))
     return stretches.groupBy("key").agg(F.first("name").alias("name"), F.bround(F.aggregate(
-        F.transform(triples, lambda x: x["t"]), F.lit(float(start)), compose), 2).alias("trust_score")).select(
+        F.transform(triples, lambda x: x["t"]), F.lit(float(start)), _compose), 2).alias("trust_score")).select(
             "name.table_name", "trust_score")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from clearwell.plans.registered.base import Registry, table
 from clearwell.plans.registered.drifting import SUITE_SQL, baseline, batch, compared
 from clearwell.session import scratch_path
+from clearwell.operators.state import feedback_windows, trust_from_windows
 from clearwell.operators.sketches import merge_states, state_profile, stored_states
 from clearwell.plans.registered.profiling import EVENT_KINDS, checked_sketches, sketched_sql
 from clearwell.streaming.ingest import (
@@ -109,3 +110,25 @@ def stream_states(spark, sf_dir):
     """Profile after three micro-batches, merged from their states."""
     root, _, events = _watched(spark, sf_dir)
     return checked_sketches(state_profile(merge_states(stored_states(spark, root, "events").drop("batch_id"))), events)
+
+
+@REGISTRY.add(
+    "stream_feedback",
+    """WITH e AS (SELECT * FROM events WHERE time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY)
+    SELECT event_type AS table_name, round_even(list_reduce(
+        list_prepend(CAST(100 AS DOUBLE), list(CAST(CASE WHEN value > 20 THEN 1.5 ELSE -3.0 END AS DOUBLE) ORDER BY event_id)),
+        lambda x, a: least(100, greatest(0, x + a))), 2) AS trust_score
+    FROM e GROUP BY event_type""",
+)
+def stream_feedback(spark, sf_dir):
+    """Feedback in three files whose times overlap by a day; trust after all windows that no event can change any more."""
+    events = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("table_name"), F.col("event_id").alias("seq"),
+        F.when(F.col("value") > 20, "approved").otherwise("rejected").alias("status"), F.col("ts").cast("timestamp").alias("ts"))
+    source, out, checkpoint = (scratch_path(spark, p) for p in ("feedback", "windows", "checkpoint"))
+    part = F.least(F.floor((F.dayofmonth("ts") + F.col("seq") % 2) / 11), F.lit(2))
+    for i in range(3):
+        events.where(part == i).coalesce(1).write.mode("append").parquet(source)
+    stream = read_folder(spark, source, events.schema, "parquet", maxFilesPerTrigger=1)
+    write_files(feedback_windows(stream, "ts", "6 hours", "2 days"), out, checkpoint).awaitTermination()
+    return trust_from_windows(spark.read.parquet(out))
