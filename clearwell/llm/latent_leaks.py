@@ -5,7 +5,8 @@
 3. A distributed randomised SVD of the TF-IDF matrix of the passages gives a latent basis: every task multiplies its passages
    with a random matrix and back (A^T A G), the parts are added up, and the small factor is decomposed on the driver. All
    passages of all documents take part in this fit, and every window of every document is searched.
-4. Windows of all documents and the benchmark's items are projected on the basis; windows near an item by cosine are candidates.
+4. Windows of all documents that hold enough of an item's rarest words (a leak can't do without) and the item are projected on the
+   basis; windows near their item by cosine are candidates.
 5. A candidate is a leak if the longest common subsequence of words covers enough of the item and its answer, the item's
    last words, stands in the window as well. This catches copies and paraphrases that keep most words in order.
 """
@@ -39,6 +40,8 @@ COMMON, LEAST_WEIGHT = 1.5, 0.05
 ITEM_BLOCK = 20_000
 #: Packed terms that a task unfolds at once: half a million words, each a row of floats.
 TERM_BYTES = 1 << 20
+#: Places of an item's rarest words that a window is asked for, where the item is long enough.
+RARE_PLACES = 4
 #: Items with fewer words are too short to say anything.
 LEAST_WORDS = 5
 
@@ -208,17 +211,23 @@ def window_of(words: int, cosine: float = COSINE, covered: float = COVERED) -> t
     return n, min(cosine, e - SPREAD * float(np.sqrt((1 - e * e) / RANK + covered * (1 - covered) / words)))
 
 
+def needed(words: int, covered: float) -> int:
+    """How many places of a window must hold rare words of an item of ``words`` words."""
+    return min(RARE_PLACES, int(np.ceil(covered * words)))
+
+
 def rare_words(words: list[np.ndarray], idf: np.ndarray, covered: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted (word, number of the item): of each item the words with the rarest terms, just so many that a leak has one of them.
+    """Sorted (word, number of the item): of each item the words with the rarest terms, just so many that a leak holds ``needed`` of
+    their places.
 
-    A leak may miss ``w - ceil(covered * w)`` of an item's ``w`` words, so of words that stand in one place more, one is there.
+    A leak may miss ``w - ceil(covered * w)`` of an item's ``w`` words, so of words that stand in so many places more, these are there.
     """
     keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for i, w in enumerate(words):
         distinct, times = np.unique(w, return_counts=True)
         order = np.argsort(-idf[_terms_of(distinct)], kind="stable")
         may_miss = len(w) - int(np.ceil(covered * len(w)))
-        n = int(np.searchsorted(np.cumsum(times[order]), may_miss + 1)) + 1
+        n = int(np.searchsorted(np.cumsum(times[order]), may_miss + needed(len(w), covered))) + 1
         keys.append(distinct[order[:n]])
         owners.append(np.full(len(keys[-1]), i))
     key, owner = np.concatenate(keys), np.concatenate(owners)
@@ -235,8 +244,8 @@ def _runs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _finder(basis, items, covered: float, answer_covered: float):
     """Leaks (doc_id, item_id, start, cosine, covered) in batches of texts.
 
-    Only windows that hold one of an item's rare words can cover it, so each such word in a text asks for the windows around it and
-    no window meets all items. Words are compared by their 64-bit hashes.
+    Only windows that hold several of an item's rare words can cover it, so such words that stand together ask for the windows around
+    them and no window meets all items. Words are compared by their 64-bit hashes.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = basis.value
@@ -245,6 +254,7 @@ def _finder(basis, items, covered: float, answer_covered: float):
         targets = _unit(np.array([b[_terms_of(w)].sum(axis=0) for w in words]).reshape(-1, b.shape[1]))
         # steps around a window that the rest of the item may take
         around = np.array([1 + max(0, -(-(len(w) - n) // STEP)) for w, n in zip(words, windows.tolist())], dtype=np.int64)
+        least = np.array([needed(len(w), covered) for w in words], dtype=np.int64)
         for batch in text_blocks(batches):
             best: dict[tuple[int, int], tuple[float, float, int]] = {}
             coded, hashes, at = word_codes(batch.column("text"))
@@ -255,6 +265,17 @@ def _finder(basis, items, covered: float, answer_covered: float):
                 entry, hit = _runs(low[coded[place]], (high - low)[coded[place]])
                 item, place = owner[entry], place[hit]
                 doc = np.searchsorted(at, place, side="right") - 1
+                # as many rare words of an item as are needed, no further apart than a window and its surroundings reach
+                order = np.lexsort((place, item, doc))
+                item, place, doc = item[order], place[order], doc[order]
+                last = np.arange(len(item)) + least[item] - 1
+                end = np.minimum(last, len(item) - 1)
+                full = (last == end) & (item[end] == item) & (doc[end] == doc) & (place[end] - place < windows[item] + 2 * around[item] * STEP)
+                near = np.zeros(len(item), dtype=bool)
+                for t in range(RARE_PLACES):
+                    near[np.flatnonzero(full & (t < least[item])) + t] = True
+                item, place, doc = item[near], place[near], doc[near]
+            if len(place):
                 # windows begin at each STEP words of a document; those whose surroundings hold the place
                 n, slack, own = windows[item], around[item] * STEP, place - at[doc]
                 last = (size[doc] - 1) // STEP
