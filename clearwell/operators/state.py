@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from clearwell.functions.fixed_values import TRUST_APPROVED, TRUST_NOT_APPROVED
 from clearwell.functions.numeric import clamp
-from clearwell.operators.ranking import number_rows
 
 DECISIONS = ("approved", "rejected")
 #: Steps of a table's history that are folded to one triple.
@@ -111,17 +110,19 @@ def fold_feedback(feedback: DataFrame, start: float = 100.0, partitions: int | N
     """Trust per table after all its feedback in order: ``feedback(table_name, seq, status)``.
 
     Each step is ``min(100, max(0, x + a))``. Steps compose into the triple (shift, low, high), so a table's history
-    can be cut anywhere: its rows are numbered, runs of ``STRETCH`` rows are folded to one triple each, and a table's
-    triples are then composed in order. A hot table spreads over many tasks. A null table name is a name of its own.
+    can be cut anywhere: rows are range-partitioned and sorted by table and order, stretches of at most ``STRETCH`` rows are folded
+    to one triple each, and a table's triples are then composed in order. A hot table spreads over many tasks. A null table name is a
+    name of its own.
     """
     steps = feedback.select(
         F.struct("table_name").alias("name"), "seq",
         F.when(F.col("status") == "approved", TRUST_APPROVED).otherwise(TRUST_NOT_APPROVED).alias("shift"),
     ).withColumn("key", F.to_json("name"))
-    numbered = number_rows(steps, ["key"], [F.asc("seq"), F.asc("shift")], "n", partitions)
-
-    run = F.sort_array(F.collect_list(F.struct("n", "shift")))  # STRETCH rows at most
-    stretches = numbered.groupBy("key", F.expr(f"(n - 1) div {STRETCH}").alias("stretch")).agg(
+    n = partitions or int(feedback.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the id rises with the partition and with the row in it, in the order of the sort
+    ordered = steps.repartitionByRange(n, "key", "seq", "shift").sortWithinPartitions("key", "seq", "shift").withColumn("at", F.monotonically_increasing_id())
+    run = F.sort_array(F.collect_list(F.struct("at", "shift")))  # STRETCH rows at most
+    stretches = ordered.groupBy("key", F.expr(f"at div {STRETCH}").alias("stretch")).agg(
         F.first("name").alias("name"), F.aggregate(run, _idle(), _step).alias("t"))
     triples = F.sort_array(F.collect_list(F.struct("stretch", "t")))
     return stretches.groupBy("key").agg(F.first("name").alias("name"), F.bround(F.aggregate(
