@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -380,3 +381,55 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
             assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} >= set(range(6))
         else:
             assert docs.count() == 0
+
+
+def test_language_scores_equal_a_slow_count(spark):
+    """Counts, word scores and whole predictions against a plain walk over n-grams."""
+    from collections import Counter
+
+    rng = random.Random(7)
+    say = lambda lang, n: " ".join(rng.choice(LETTERS[lang]) for _ in range(n))
+    learned = [(i, say(lang, 12), lang, "s", 0) for i, lang in enumerate(list(LETTERS) * 8)]
+    model = language_spans.fit(table(spark, learned).repartition(5))
+
+    def bins(word):
+        rows, found = language_spans._features(pa.array([word]))
+        assert (rows == 0).all()
+        # the same n-grams as of a plain walk: each place of each length, and the word itself
+        marked = len(word) + 2
+        assert len(found) == 1 + (marked - 2) + sum(max(0, marked - n + 1) for n in language_spans.SIZES if n > 1)
+        return found.tolist()
+
+    counts = {lang: Counter(b for _, t, own, *_ in learned if own == lang for w in t.split() for b in bins(w)) for lang in LETTERS}
+    total = {lang: sum(c.values()) + 0.5 * language_spans.BINS for lang, c in counts.items()}
+    script = {"en": "latin", "de": "latin", "ru": "cyrillic"}
+
+    def score(word, lang):
+        own = [np.log((counts[lang][b] + 0.5) / total[lang]) for b in bins(word)]
+        fits = script[lang] == ("cyrillic" if re.search("[а-я]", word) else "latin")
+        return sum(own) / len(own) - (0 if fits else 50)
+
+    words = sorted({w for ws in LETTERS.values() for w in ws} | {"theund", "дома", "wassers"})
+    got = model.word_scores(pa.array(words))
+    assert np.allclose(got, [[score(w, lang) for lang in model.languages] for w in words], atol=1e-4)
+
+    tests = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 6))), None, "s", 0) for i in range(60)]
+    for r in language_spans.identify(table(spark, tests), model).collect():
+        said = tests[r.doc_id][1].split()
+        best = max(itertools.product(range(3), repeat=len(said)), key=lambda p: (
+            round(sum(score(w, model.languages[k]) for w, k in zip(said, p)) - language_spans.SWITCH * sum(a != b for a, b in zip(p, p[1:])), 4), [-k for k in p]))
+        letters = Counter()
+        for w, k in zip(said, best):
+            letters[model.languages[k]] += len(w)
+        top = max(sorted(letters), key=letters.get)
+        if list(letters.values()).count(letters[top]) == 1:
+            assert r.lang_pred == top
+
+
+def test_language_held_out_accuracy(spark):
+    """Documents that were not learned from, on the given table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_spans.fit(docs.where(~language_spans.held_out(F.col("doc_id"))).select("text", "lang"))
+    asked = docs.where(language_spans.held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    got = language_spans.identify(asked, model).join(asked.select("doc_id", "lang"), "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert got >= 0.98
