@@ -60,6 +60,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # the worker lives on, and other tasks beside it need the room
 
 
 #: Bits of the map that ``rows_asked_for`` sends to the tasks: 8 MB, whatever the number of ids.

@@ -38,8 +38,8 @@ SPREAD = 3.0
 COMMON, LEAST_WEIGHT = 1.5, 0.05
 #: Items that are sent to the tasks at once: RANK * 4 bytes and their words each.
 ITEM_BLOCK = 20_000
-#: Packed terms that a task unfolds at once: half a million words, each a row of floats.
-TERM_BYTES = 1 << 20
+#: Packed terms that a task unfolds at once: some 130,000 words, each a row of floats.
+TERM_BYTES = 1 << 18
 #: Places of an item's rarest words that a window is asked for, where the item is long enough.
 RARE_PLACES = 4
 #: Items with fewer words are too short to say anything.
