@@ -14,6 +14,8 @@ from clearwell.session import scratch_path
 
 #: Most bytes of text that one step of a task holds at once (a single longer text is a block of its own).
 BLOCK_BYTES = 4 << 20
+#: The same where each word takes many times its own size in the worker.
+SMALL_BLOCK = 2 << 20
 
 _MIX = np.random.default_rng(20240229).integers(1, 2**63, 300, dtype=np.uint64) | np.uint64(1)
 _BYTE_VALUE, _BASE, _SHINGLE = _MIX[:256], _MIX[256], _MIX[257:]

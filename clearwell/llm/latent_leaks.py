@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clearwell.llm.blocks import hash_strings, in_levels, split_words, stored, text_blocks
+from clearwell.llm.blocks import SMALL_BLOCK, hash_strings, in_levels, split_words, stored, text_blocks
 
 #: Term numbers that words are hashed to; also the height of the random matrix.
 TERMS = 1 << 14
@@ -79,7 +79,7 @@ def term_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def packed_terms(docs: DataFrame) -> DataFrame:
     """(doc_id, terms: two bytes a word)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_blocks(batches):
+        for batch in text_blocks(batches, limit=SMALL_BLOCK):
             terms, at = term_numbers(batch.column("text"))
             packed = [terms[s:e].tobytes() for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.record_batch([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "terms"])
@@ -255,7 +255,7 @@ def _finder(basis, items, covered: float, answer_covered: float):
         # steps around a window that the rest of the item may take
         around = np.array([1 + max(0, -(-(len(w) - n) // STEP)) for w, n in zip(words, windows.tolist())], dtype=np.int64)
         least = np.array([needed(len(w), covered) for w in words], dtype=np.int64)
-        for batch in text_blocks(batches):
+        for batch in text_blocks(batches, limit=SMALL_BLOCK):
             best: dict[tuple[int, int], tuple[float, float, int]] = {}
             coded, hashes, at = word_codes(batch.column("text"))
             low, high = (np.searchsorted(rare, hashes, side=s) for s in ("left", "right"))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clearwell.llm.blocks import rows_asked_for, shingle_sets, signed, stored, text_blocks
+from clearwell.llm.blocks import SMALL_BLOCK, rows_asked_for, shingle_sets, signed, stored, text_blocks
 from clearwell.llm.components import components
 
 #: Size bound of the table of frequent shingles that is sent to the tasks: 9 bytes for each entry.
@@ -67,7 +67,7 @@ def _describe(k: int):
                 [none, pa.nulls(len(x), pa.int32()), none, pa.nulls(len(x), pa.binary()), pa.array(signed(x)), pa.array(times.astype(np.int64))],
                 names=["doc_id", "n", "digest", "sig", "token", "times"])
 
-        for batch in text_blocks(batches):
+        for batch in text_blocks(batches, limit=SMALL_BLOCK):
             sets = shingle_sets(batch.column("text"), k)
             digests = [_digest(x) for x in sets]
             none = pa.nulls(len(sets), pa.int64())
@@ -108,7 +108,7 @@ def _prefixes(k: int, num: int, den: int, frequent):
         known = np.zeros(1 << 24, dtype=bool)
         known[(token >> np.uint64(40)).astype(np.int64)] = True
         seen: set[tuple[int, int]] = set()
-        for batch in text_blocks(batches):
+        for batch in text_blocks(batches, limit=SMALL_BLOCK):
             out: list[tuple[np.ndarray, int, int]] = []
             for x in shingle_sets(batch.column("text"), k):
                 n = len(x)
@@ -189,7 +189,7 @@ def _cells(k: int, num: int, den: int):
     """Rows sorted by (leader, salt, leader first): each member's set against its leader's; one leader set is kept."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, x = None, None
-        for batch in text_blocks(batches):
+        for batch in text_blocks(batches, limit=SMALL_BLOCK):
             out = []
             sets = shingle_sets(batch.column("text"), k)
             names = ("leader", "salt", "member", "is_member", "n", "digest")
