@@ -2,12 +2,16 @@
 
 Two texts link when their sets of ``k``-word shingles have a Jaccard similarity of ``num / den`` or more. Texts with equal
 sets form a class, which takes part once. A class posts only the rarest shingles of its set; any two similar sets share
-one of these. All classes with a posted shingle in common are candidates, in two rounds:
+one of these. All classes with a posted shingle in common are candidates, in three rounds:
 
 1. along each posting list, a class is paired with the list's first class and with the one before it. Such pairs grow
-   with the postings, not with their square, and mostly suffice to join a large group of near copies;
-2. where a list still holds classes of several components, all pairs across components follow. Pairs inside a component
-   are not needed: their link changes no component.
+   with the postings, not with their square;
+2. where a list still holds classes of several components, its classes are put in an order of chance, another one on each
+   list, and paired with the ``NEAR`` before them that are of other components; of the pairs that pass the filters, up to
+   ``PAIRS`` for each two components are verified. Such pairs grow with the postings too, and join most of what is left of a
+   large group of near copies;
+3. where a list even then holds classes of several components, all pairs across components follow, so that none is missed.
+   Pairs inside a component are not needed: their link changes no component.
 
 Each pair passes the length, positional and suffix filters and is verified once, on the whole texts. So no pair of two
 components is left unverified, and the components are those of all links. Components are the result, not the number of
@@ -40,6 +44,8 @@ ORDER_ENTRIES = 1 << 20
 COUNT_BLOCK = 2_000_000
 #: Members of a leader that are verified in one cell.
 CELL = 1000
+#: Classes of a list that a class is paired with in the second round, and pairs of two components that it verifies.
+NEAR, PAIRS = 32, 64
 
 _SETS = "doc_id long, n int, digest long, sig binary, token long, times long"
 _PARITY = ("p0", "p1", "p2", "p3")
@@ -263,12 +269,22 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10) -> Data
         for side in ("first", "last")
     ]
     tried = stored(_named(stars[0].union(stars[1]).distinct(), classes, num, den), "candidates")
-    links = stored(_verified(tried, docs, k, num, den), "links")
-    found = components(links)
-
-    rest = stored(_across(lists, classes, found, tried, num, den), "candidates")
+    found = components(_verified(tried, docs, k, num, den))
+
+    # lists of up to three classes have had all their pairs; a list's first class is no row of its own
+    long_ones = lists.groupBy("token").count().where("count >= 3").select("token")
+    own, first = (F.struct(*(F.col(f"{side}{c}").alias(c) for c in ("digest", "n", "pos"))) for side in ("", "first_"))
+    starts = F.expr("first_digest = last_digest and first_n = last_n")
+    members = stored(lists.join(long_ones.hint("merge"), "token", "left_semi").select(
+        "token", F.inline(F.when(starts, F.array(first, own)).otherwise(F.array(own)))), "long-lists")
+    pairs = stored(_across_by_chance(members, classes, found, tried, num, den), "candidates")
+    if not pairs.isEmpty():
+        found = components(_as_edges(found).union(_verified(pairs, docs, k, num, den)))
+        tried = tried.union(pairs)
+
+    rest = stored(_across(members, classes, found, tried, num, den), "candidates")
     if not rest.isEmpty():
-        found = components(links.union(_verified(rest, docs, k, num, den)))
+        found = components(_as_edges(found).union(_verified(rest, docs, k, num, den)))
     named = classes.join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select(
         "digest", "n", "class_size", F.coalesce("component", "rep").alias("component_id"))
     linked = sets.join(named.hint("merge"), ["digest", "n"], "left")
@@ -278,19 +294,67 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10) -> Data
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", alone)).alias("component_id"), "class_size")
 
 
-def _across(lists: DataFrame, classes: DataFrame, found: DataFrame, tried: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs of different components that are left after the first round.
+def _as_edges(found: DataFrame) -> DataFrame:
+    return found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+
+def _parts(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Classes with the component that they are in so far."""
+    return classes.join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select(
+        "digest", "n", "rep", *_PARITY, F.coalesce("component", "rep").alias("part"))
+
+
+def _near(num: int, den: int):
+    """Rows sorted by (token, place) to pairs of rows of one list, up to ``NEAR`` apart, that are in different components and pass all filters."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+        for batch in batches:
+            cols = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+            before = len(kept[0]) if kept else 0
+            cols = [np.concatenate(x) for x in zip(kept, cols)] if kept else cols
+            token, digest, n, pos, rep, part, *parity = cols
+            for away in range(1, min(NEAR, len(token) - 1) + 1):
+                b = np.arange(max(away, before), len(token))
+                a = b - away
+                b, a = (x[(token[a] == token[b]) & (part[a] != part[b])] for x in (b, a))
+                size = n[a] + n[b]
+                ok = (np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num) & (
+                    np.minimum(n[a] - pos[a], n[b] - pos[b]) * (num + den) >= size * num)
+                ok &= sum(np.bitwise_count(p[a] ^ p[b]).astype(np.int64) for p in parity) * (num + den) <= size * (den - num)
+                a, b = a[ok], b[ok]
+                turned = (digest[a] > digest[b]) | ((digest[a] == digest[b]) & (n[a] > n[b]))
+                a, b = np.where(turned, b, a), np.where(turned, a, b)
+                if len(a):
+                    yield pa.record_batch(
+                        [pa.array(c) for x in (a, b) for c in (rep[x], n[x].astype(np.int32), digest[x])]
+                        + [pa.array(f(part[a], part[b])) for f in (np.minimum, np.maximum)],
+                        names=["a", "a_n", "a_digest", "b", "b_n", "b_digest", "low", "high"])
+            kept = [c[-NEAR:].copy() for c in cols]
+
+    return run
+
+
+def _across_by_chance(members: DataFrame, classes: DataFrame, found: DataFrame, tried: DataFrame, num: int, den: int) -> DataFrame:
+    """Some candidate pairs of each two components that share a list: at most ``NEAR`` for each posting, ``PAIRS`` for each two components."""
+    rows = members.join(_parts(classes, found).hint("merge"), ["digest", "n"]).select(
+        "token", "digest", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "rep", "part", *_PARITY,
+        F.xxhash64("token", "digest", "n").alias("place"))
+    pairs = rows.repartition("token").sortWithinPartitions("token", "place").drop("place").mapInArrow(
+        _near(num, den), "a long, a_n int, a_digest long, b long, b_n int, b_digest long, low long, high long")
+    done = tried.select("a_digest", "a_n", "b_digest", "b_n")
+    pairs = pairs.distinct().join(done.hint("merge"), done.columns, "left_anti")
+    slot = F.pmod(F.xxhash64("a_digest", "b_digest"), F.lit(PAIRS)).alias("slot")
+    return pairs.groupBy("low", "high", slot).agg(F.min(F.struct("a", "a_n", "a_digest", "b", "b_n", "b_digest")).alias("pair")).select("pair.*")
+
+
+def _across(members: DataFrame, classes: DataFrame, found: DataFrame, tried: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs of different components that are left after two rounds.
 
-    Lists of up to three classes have had all their pairs. On each other list, the classes outside its largest component meet
-    all the list's classes; those inside it need no pair. All filters stand in the join's condition.
+    On each list, the classes outside its largest component meet all the list's classes; those inside it need no pair. All
+    filters stand in the join's condition.
     """
-    long_ones = lists.groupBy("token").count().where("count >= 3").select("token")  # a list's first class is no row of its own
-    rows = stored(lists.join(long_ones.hint("merge"), "token", "left_semi"), "long-lists")
-    parts = classes.join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select(
-        "digest", "n", *_PARITY, F.coalesce("component", "rep").alias("part"))
-    members = rows.select("token", "digest", "n", "pos").union(
-        rows.where("first_digest = last_digest and first_n = last_n").select("token", "first_digest", "first_n", "first_pos")).join(parts.hint("merge"), ["digest", "n"])
-    members = stored(members, "open-lists")
+    parts = _parts(classes, found).drop("rep")
+    members = stored(members.join(parts.hint("merge"), ["digest", "n"]), "open-lists")
     split = members.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token")
     largest = members.join(split.hint("merge"), "token", "left_semi").groupBy("token", "part").count().groupBy("token").agg(
         F.max_by("part", F.struct("count", "part")).alias("main"))

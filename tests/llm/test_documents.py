@@ -67,6 +67,30 @@ def test_ngram_join_equals_brute_force(spark, k, num, den):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, k, num, den)
 
 
+def test_ngram_join_of_a_large_group_grows_with_its_size(spark, monkeypatch):
+    """Near copies of one text, all different: they fall together without most of their pairs being verified."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(4000)}" for _ in range(150)]
+    rows = []
+    for i in range(300):
+        own = list(base)
+        for _ in range(rng.choice([1, 1, 2, 2, 3])):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own), "en", "s", 0))
+    asked = []
+    keep = ngram_join.stored
+
+    def counted(df, purpose):
+        out = keep(df, purpose)
+        asked.append(out.count() if purpose == "candidates" else 0)
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    got = ngram_join.ngram_join(table(spark, rows).repartition(7), 5, 4, 5).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 5, 4, 5)
+    assert sum(asked) <= 10 * len(rows)
+
+
 def test_ngram_join_odd_rows(spark):
     got = ngram_join.ngram_join(table(spark, odd_rows()).withColumn("digest", F.lit("clash"))).collect()
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in got if r.doc_id != 6) == sorted(
