@@ -52,9 +52,9 @@ class _Counters:
         return out
 
 
-def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
+def _cells(df: DataFrame, columns: dict[int, str]) -> DataFrame:
     return df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("ordinal"), F.col(quoted(c)).cast("string").alias("value")) for i, c in enumerate(columns)]))).where("value is not null")
+        F.struct(F.lit(i).alias("ordinal"), F.col(quoted(c)).cast("string").alias("value")) for i, c in columns.items()]))).where("value is not null")
 
 
 def counters(df: DataFrame, columns: list[str], limit: int = COUNTERS) -> DataFrame:
@@ -80,8 +80,8 @@ def counters(df: DataFrame, columns: list[str], limit: int = COUNTERS) -> DataFr
 def most_frequent(df: DataFrame, columns: list[str], limit: int = COUNTERS) -> dict[str, tuple[str, int] | None]:
     """The most frequent non-null value of each column as text, with its exact count; the smallest text on ties.
 
-    Two jobs, or three where a column's best value occurs in less than about one of ``limit`` rows. One row a column reaches the
-    driver. ``df`` is read in each of them.
+    ``df`` is read twice, once more where a column's best counter is below twice its error, and once more where a column's best value
+    occurs in less than about one of ``limit`` rows. One row a column reaches the driver.
     """
     if not columns:
         return {}
@@ -89,18 +89,27 @@ def most_frequent(df: DataFrame, columns: list[str], limit: int = COUNTERS) -> d
     kept = counters(df, columns, limit).checkpoint()
     best = kept.groupBy("ordinal").agg(F.max("low").alias("best"))
     can_win = kept.join(F.broadcast(best), "ordinal").where("low + error >= best").select("ordinal", "value", "error")
+    clear = {r.ordinal for r in kept.groupBy("ordinal").agg(F.max("low").alias("best"), F.max("error").alias("error")).where("best >= 2 * error").collect()}
 
     def winners(counted: DataFrame) -> DataFrame:
         return counted.groupBy("ordinal").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("top"), F.max("error").alias("error"))
 
-    exact = _cells(df, columns).join(can_win, ["ordinal", "value"]).groupBy("ordinal", "value").agg(F.count("*").alias("n"), F.max("error").alias("error"))
+    def recounted(which: dict[int, str], asked: DataFrame) -> dict[int, tuple[str, int, int]]:
+        if not which:
+            return {}
+        exact = _cells(df, which).join(asked, ["ordinal", "value"]).groupBy("ordinal", "value").agg(F.count("*").alias("n"), F.max("error").alias("error"))
+        return {r.ordinal: (r.top.value, -r.top.n, r.error) for r in winners(exact).collect()}
+
+    # where the best counter is twice the error, at most about ``limit`` values reach the error, so they go to the cells: by key, all
+    # cells of a frequent value would be sorted in one task. Elsewhere no value fills more than three of ``limit`` rows.
     out: dict[str, tuple[str, int] | None] = dict.fromkeys(columns)
-    found = {r.ordinal: (r.top.value, -r.top.n, r.error) for r in winners(exact).collect()}
+    few, many = ({i: c for i, c in enumerate(columns) if (i in clear) == told} for told in (True, False))
+    found = recounted(few, F.broadcast(can_win.where(F.col("ordinal").isin(*few)))) | recounted(many, can_win.where(F.col("ordinal").isin(*many)).hint("merge"))
     # a value without a counter may occur as often as the error; lowering may have left no counter at all
     open_ = [i for i in range(len(columns)) if i not in found or found[i][1] <= found[i][2]]
     out.update({columns[i]: (v, n) for i, (v, n, _) in found.items()})
     if open_:
-        names = [columns[i] for i in open_]
+        names = {i: columns[i] for i in open_}
         counted = _cells(df, names).groupBy("ordinal", "value").agg(F.count("*").alias("n")).withColumn("error", F.lit(0))
         out.update({names[r.ordinal]: (r.top.value, -r.top.n) for r in winners(counted).collect()})
     return out

@@ -112,6 +112,28 @@ def test_most_frequent_equals_brute_force(spark, limit):
         assert got[c] == ((want[1], -want[0]) if want else None)
 
 
+def test_most_frequent_deals_no_cells_by_a_frequent_value(spark, monkeypatch):
+    """Four values fill the column: the recount must not sort each value's cells in one task."""
+    from clearwell.operators.frequent import most_frequent
+
+    plans = []
+    collect = type(spark.range(1)).collect
+
+    def seen(self):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return collect(self)
+
+    monkeypatch.setattr(type(spark.range(1)), "collect", seen)
+    df = spark.range(20000).select(F.concat(F.lit("p"), (F.col("id") * F.col("id") % 7).cast("string")).alias("p"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with a table that is estimated larger
+    try:
+        assert most_frequent(df, ["p"]) == {"p": ("p1", 5714)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plans and not any("SortMergeJoin" in p for p in plans)
+
+
 def test_modes_of_fifty_columns_in_few_jobs(spark):
     from clearwell.operators.repair import column_modes
 
