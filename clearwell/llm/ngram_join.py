@@ -214,21 +214,22 @@ def _cells(k: int, num: int, den: int):
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those of the candidate pairs (a, b with n and digest) that link, each looked at once.
+    """Those of the candidate pairs (a, b with n and digest) that link, each looked at once; a pair comes again where a doc_id is repeated.
 
     A leader's text goes once to each cell of about ``CELL`` members, a member's text once for each pair.
     """
     size = pairs.groupBy("a").agg(F.count("*").alias("members"))
-    celled = pairs.join(size, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / CELL)).cast("int"))
+    celled = pairs.join(size.hint("merge"), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / CELL)).cast("int"))
     asked = celled.select(F.col("b").alias("doc_id"), F.col("a").alias("leader"), "salt", F.col("b").alias("member"),
                           F.lit(True).alias("is_member"), F.col("b_n").alias("n"), F.col("b_digest").alias("digest"))
     heads = celled.select(F.col("a").alias("doc_id"), F.col("a").alias("leader"), "salt", F.col("a").alias("member"),
                           F.lit(False).alias("is_member"), F.col("a_n").alias("n"), F.col("a_digest").alias("digest")).distinct()
     rows = asked.union(heads)
-    rows = rows.join(rows_asked_for(docs.select("doc_id", "text"), rows.select("doc_id"), "doc_id").hint("merge"), "doc_id")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+    rows = rows.join(rows_asked_for(docs.select("doc_id", "text"), ids, "doc_id").hint("merge"), "doc_id")
     return (rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "is_member")
             .select("leader", "salt", "member", "is_member", "n", "digest", "text")
-            .mapInArrow(_cells(k, num, den), "u long, v long").distinct())
+            .mapInArrow(_cells(k, num, den), "u long, v long"))
 
 
 def _named(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -342,7 +343,7 @@ def _across_by_chance(members: DataFrame, classes: DataFrame, found: DataFrame,
     pairs = rows.repartition("token").sortWithinPartitions("token", "place").drop("place").mapInArrow(
         _near(num, den), "a long, a_n int, a_digest long, b long, b_n int, b_digest long, low long, high long")
     done = tried.select("a_digest", "a_n", "b_digest", "b_n")
-    pairs = pairs.distinct().join(done.hint("merge"), done.columns, "left_anti")
+    pairs = pairs.join(done.hint("merge"), done.columns, "left_anti")
     slot = F.pmod(F.xxhash64("a_digest", "b_digest"), F.lit(PAIRS)).alias("slot")
     return pairs.groupBy("low", "high", slot).agg(F.min(F.struct("a", "a_n", "a_digest", "b", "b_n", "b_digest")).alias("pair")).select("pair.*")
 
@@ -353,18 +354,17 @@ def _across(members: DataFrame, classes: DataFrame, found: DataFrame, tried: Dat
     On each list, the classes outside its largest component meet all the list's classes; those inside it need no pair. All
     filters stand in the join's condition.
     """
-    parts = _parts(classes, found).drop("rep")
-    members = stored(members.join(parts.hint("merge"), ["digest", "n"]), "open-lists")
-    split = members.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token")
-    largest = members.join(split.hint("merge"), "token", "left_semi").groupBy("token", "part").count().groupBy("token").agg(
-        F.max_by("part", F.struct("count", "part")).alias("main"))
-    a = members.join(largest.hint("merge"), "token").where("part <> main")
-    side = lambda x, s: x.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("digest", "n", "pos", "part", *_PARITY)))
+    members = stored(members.join(_parts(classes, found).hint("merge"), ["digest", "n"]), "open-lists")
+    main = members.groupBy("token", "part").count().groupBy("token").agg(
+        F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    a = members.join(main.hint("merge"), "token").where("part <> main")
+    side = lambda x, s: x.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("digest", "n", "pos", "rep", "part", *_PARITY)))
     # a pair may come from both sides: the smaller digest leads
     low = F.struct("a_digest", "a_n") < F.struct("b_digest", "b_n")
     pairs = (side(a, "a").join(side(members, "b").hint("merge"), "token")
              .where((F.col("a_part") != F.col("b_part")) & _may_link(num, den, "a_", "b_") & _suffix_ok(num, den))
              .select(*(F.when(low, F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{x}_{c}")
-                       for x, y in (("a", "b"), ("b", "a")) for c in ("digest", "n"))).distinct())
+                       for x, y in (("a", "b"), ("b", "a")) for c in ("digest", "n", "rep"))))
     done = tried.select("a_digest", "a_n", "b_digest", "b_n")
-    return _named(pairs.join(done, ["a_digest", "a_n", "b_digest", "b_n"], "left_anti"), classes, num, den)
+    pairs = pairs.groupBy(*done.columns).agg(F.min("a_rep").alias("a"), F.min("b_rep").alias("b"))
+    return pairs.join(done.hint("merge"), done.columns, "left_anti").select("a", "a_n", "a_digest", "b", "b_n", "b_digest")
