@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clearwell.llm.blocks import SMALL_BLOCK, rows_asked_for, shingle_sets, signed, stored, text_blocks
+from clearwell.llm.blocks import SMALL_BLOCK, free_shuffles, rows_asked_for, shingle_sets, signed, stored, text_blocks
 from clearwell.llm.components import components
 
 #: Size bound of the table of frequent shingles that is sent to the tasks: 9 bytes for each entry.
@@ -263,6 +263,7 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10) -> Data
         _prefixes(k, num, den, frequent), "token long, digest long, n int, pos int")
     lists = stored(
         postings.repartition("token").sortWithinPartitions("token", "digest", "n").mapInArrow(_lists, _LISTS), "lists")
+    free_shuffles(docs.sparkSession)
     stars = [
         lists.select(*(F.col(f"{side}_{c}").alias(f"a_{c}") for c in ("digest", "n", "pos")),
                      *(F.col(c).alias(f"b_{c}") for c in ("digest", "n", "pos")))
@@ -270,7 +271,8 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10) -> Data
         for side in ("first", "last")
     ]
     tried = stored(_named(stars[0].union(stars[1]).distinct(), classes, num, den), "candidates")
-    found = components(_verified(tried, docs, k, num, den))
+    free_shuffles(docs.sparkSession)
+    found = _joined(_verified(tried, docs, k, num, den))
 
     # lists of up to three classes have had all their pairs; a list's first class is no row of its own
     long_ones = lists.groupBy("token").count().where("count >= 3").select("token")
@@ -279,13 +281,14 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10) -> Data
     members = stored(lists.join(long_ones.hint("merge"), "token", "left_semi").select(
         "token", F.inline(F.when(starts, F.array(first, own)).otherwise(F.array(own)))), "long-lists")
     pairs = stored(_across_by_chance(members, classes, found, tried, num, den), "candidates")
+    free_shuffles(docs.sparkSession)
     if not pairs.isEmpty():
-        found = components(_as_edges(found).union(_verified(pairs, docs, k, num, den)))
+        found = _joined(_as_edges(found).union(_verified(pairs, docs, k, num, den)))
         tried = tried.union(pairs)
 
     rest = stored(_across(members, classes, found, tried, num, den), "candidates")
     if not rest.isEmpty():
-        found = components(_as_edges(found).union(_verified(rest, docs, k, num, den)))
+        found = _joined(_as_edges(found).union(_verified(rest, docs, k, num, den)))
     named = classes.join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select(
         "digest", "n", "class_size", F.coalesce("component", "rep").alias("component_id"))
     linked = sets.join(named.hint("merge"), ["digest", "n"], "left")
@@ -295,6 +298,13 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10) -> Data
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", alone)).alias("component_id"), "class_size")
 
 
+def _joined(edges: DataFrame) -> DataFrame:
+    """The components; shuffled texts are the largest part of the disk used, and later steps have no use for them."""
+    found = components(edges)
+    free_shuffles(edges.sparkSession)
+    return found
+
+
 def _as_edges(found: DataFrame) -> DataFrame:
     return found.select(F.col("node").alias("u"), F.col("component").alias("v"))
 
